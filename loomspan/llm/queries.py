@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, toxicity
+from . import media, mixing, packing, pii, secrets, tokens, toxicity, vectors
 from .store import table
 
 
@@ -14,6 +14,22 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxic documents with their scores."""
     scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -31,6 +47,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_media_columns": op6_media_columns,
+        "op7_token_counts": op7_token_counts,
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
@@ -40,4 +60,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.SQL,
+        "op3_embedding_near_duplicates": vectors.SQL,
     }
