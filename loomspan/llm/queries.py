@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, pii, secrets, tokens, toxicity, vectors
+from . import language_model, media, mixing, packing, pii, secrets, tokens, toxicity, vectors
 from .store import table
 
 
@@ -22,6 +22,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.perplexity(table(spark, sf_dir, "documents"))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": op1_mix_sources,
         "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
         "op4_secret_scan": op4_secret_scan,
+        "op5_lm_perplexity": op5_lm_perplexity,
         "op6_media_columns": op6_media_columns,
         "op7_token_counts": op7_token_counts,
         "op8_toxicity": op8_toxicity,
