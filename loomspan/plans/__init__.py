@@ -1,0 +1 @@
+"""Queries by subject; importing this package registers them."""
