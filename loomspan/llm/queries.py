@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, media, mixing, packing, pii, secrets, tokens, toxicity, vectors
+from . import language_model, media, mixing, near_duplicates, packing, pii, secrets, tokens, toxicity, vectors
 from .store import table
 
 
@@ -14,6 +14,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_pairs(table(spark, sf_dir, "embeddings"))
 
@@ -51,6 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_embedding_near_duplicates": op3_embedding_near_duplicates,
         "op4_secret_scan": op4_secret_scan,
         "op5_lm_perplexity": op5_lm_perplexity,
@@ -65,5 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": mixing.SQL,
+        "op2_ngram_jaccard": near_duplicates.SQL,
         "op3_embedding_near_duplicates": vectors.SQL,
     }
