@@ -1,3 +1,3 @@
 """Queries by subject; importing this package registers them."""
 
-from . import ingest, search  # noqa: F401
+from . import compiling, ingest, markdown, search  # noqa: F401
