@@ -19,7 +19,7 @@ Jaccard similarity of their sets reaches the threshold t.  The join is exact:
 * Documents that share a signature are candidates; each is verified on its whole set.
 
 What is asked of the join is who belongs together, so candidates are verified until the components are
-known and no further: first each document with the partner it shares most signatures with, then every
+known and no further: in rounds, each component with the candidates it shares most signatures with, and when a round joins nothing more, every
 candidate pair whose sides are still apart.  No pair is dropped; pairs inside a component are implied.
 
 Document frequencies cover all documents: tasks send the hashes of a block of documents as blobs to the slice of
@@ -40,11 +40,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs
@@ -52,21 +51,29 @@ from .store import materialise, partitions
 from .words import chunks, gram_hashes, mix, word_hashes
 
 NGRAM, THRESHOLD = 3, 0.5
-BITS = 48
 BLOCK_TOKENS = 900_000
 #: Document frequencies above which tokens sign in combinations of 2, and of 3.
-FREQUENT = (128, 2048)
-#: Expected tokens of a document in one group of frequent tokens.
-GROUP_TOKENS = 8
+FREQUENT = (128, 100_000)
 SMALL = 32
-#: Documents to leave out are known to every task up to this many; beyond it they are joined by shuffle.
-BROADCAST_DROPS = 1_000_000
+#: Candidates tried a component in one round.
+TRIES = 3
+#: Edges whose components are found on the driver; beyond it they are found in rounds of joins.
+LOCAL_EDGES = 500_000
+#: Rounds go on while at least this share of the candidates they try joins.
+YIELD = 0.25
+#: Tables of two or three numbers a row are known to every task up to this many rows; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
-def token_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_bits(characters: int) -> int:
+    """Bits that make a token look shared by chance with a probability below 1 / 1000 (a text has less tokens than half its characters)."""
+    return min(64, max(32, int(characters).bit_length() + 9))
+
+
+def token_sets(texts: list[str], n: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """(distinct n-gram hashes of each text, sorted within the text; how many each has)."""
     grams, counts = gram_hashes(*word_hashes(texts), n)
-    grams >>= np.uint64(64 - BITS)
+    grams = grams >> np.uint64(64 - bits)
     owner = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
@@ -80,49 +87,64 @@ def tolerated(n: int, t: float) -> int:
     return n - math.ceil(t * n - 1e-9)
 
 
-def _combine(tokens: np.ndarray, salt: int) -> int:
-    h = np.full(1, salt, np.uint64)
-    for x in tokens:
-        h = mix((h ^ x) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return int(h.view(np.int64)[0])
+def _chain(*columns: np.ndarray) -> np.ndarray:
+    h = np.full(len(columns[-1]), 0x51ED270B, np.uint64)
+    for c in columns:
+        h = mix((h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return h
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, n: int, t: float, frequent: tuple[int, int] = FREQUENT) -> list[int] | None:
-    """Signatures of a document with n tokens, of which these are shared with others; None if it can have no partner."""
-    need = tolerated(n, t) - (n - len(tokens)) + 1
-    if need < 1 or not len(tokens):
-        return None
-    order = np.lexsort((tokens, frequency))
-    tokens, frequency = tokens[order], frequency[order]
+def signatures(
+    owner: np.ndarray, tokens: np.ndarray, frequency: np.ndarray, size: np.ndarray, t: float, frequent: tuple[int, int] = FREQUENT
+) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, signature) of documents 0 to len(size) - 1 with size[i] tokens each, of which those given are shared with others."""
+    order = np.lexsort((tokens, frequency, owner))
+    owner, tokens, frequency = owner[order], tokens[order], frequency[order]
+    begin = np.searchsorted(owner, np.arange(len(size) + 1))
+    shared = np.diff(begin)
+    need = np.array([tolerated(int(n), t) for n in size], np.int64) - (size - shared) + 1
+    rank = np.arange(len(owner)) - begin[owner]
     k = np.searchsorted(np.asarray(frequent), frequency, "left") + 1
-    rare = k == 1
-    band = n.bit_length()
-    out: set[int] = set()
-    single = 0  # prefix of rare tokens to sign
-    for b in (band, band - 1):
-        if b < 1:
-            continue
-        groups = max(1, (1 << b) // (2 * GROUP_TOKENS))
-        group = np.where(rare, np.uint64(0), (mix(tokens + np.uint64(b)) % np.uint64(groups)) + np.uint64(1) + k.astype(np.uint64) * np.uint64(1 << 40))
-        gain = np.ones(len(tokens), np.int64)
-        if not rare.all():
-            some = np.flatnonzero(~rare)
-            by = some[np.argsort(group[some], kind="stable")]
-            g = group[by]
-            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            nth = np.arange(len(by)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(by)]))))
-            gain[by] = nth >= k[by] - 1
-        end = int(np.searchsorted(np.cumsum(gain), need)) + 1
-        prefix = min(end, len(tokens))
-        single = max(single, int(rare[:prefix].sum()))
-        for key in np.unique(group[:prefix][~rare[:prefix]]):
-            members = np.sort(tokens[:prefix][group[:prefix] == key])
-            size = int(key >> np.uint64(40))
-            out.update(_combine(np.array(c), (b << 8) + size) for c in combinations(members, size))
-    out.update(mix(tokens[rare][:single] * np.uint64(2) + np.uint64(1)).view(np.int64).tolist())
-    if n <= SMALL:
-        out.update(mix(tokens[:need] * np.uint64(2)).view(np.int64).tolist())
-    return sorted(out)
+    rare, band = k == 1, np.frexp(size.astype(np.float64))[1].astype(np.int64)
+    single = np.zeros(len(owner), bool)
+    out = []
+    for b_of in (band, band - 1):
+        b = b_of[owner]
+        some = np.flatnonzero(~rare & (b >= 1))
+        groups = np.maximum(1, (np.int64(1) << np.maximum(b[some], 0)) >> np.where(k[some] == 2, 3, 4)).astype(np.uint64)
+        group = mix(tokens[some] + b[some].astype(np.uint64)) % groups
+        by = np.lexsort((rank[some], group, k[some], owner[some]))
+        some, group = some[by], group[by]
+        new = np.ones(len(some), bool)
+        new[1:] = (owner[some][1:] != owner[some][:-1]) | (k[some][1:] != k[some][:-1]) | (group[1:] != group[:-1])
+        run = np.cumsum(new) - 1
+        nth = np.arange(len(some)) - np.flatnonzero(new)[run] if len(some) else np.zeros(0, np.int64)
+        gain = np.ones(len(owner), np.int64)
+        gain[some] = nth >= k[some] - 1
+        before = np.cumsum(gain) - gain
+        before -= before[begin[owner]] if len(owner) else 0
+        prefix = (before < need[owner]) & (b >= 1)
+        single |= prefix & rare
+        inside = prefix[some]
+        some, run = some[inside], run[inside]
+        longest = int(np.bincount(run).max()) if len(run) else 0
+        for i in range(1, longest):
+            pair = np.flatnonzero(run[i:] == run[:-i])
+            if not len(pair):
+                break
+            two = pair[k[some[pair]] == 2]
+            x, y = some[two], some[two + i]
+            out.append((owner[x], _chain(b[x], tokens[x], tokens[y])))
+            three = pair[k[some[pair]] == 3]
+            for j in range(i + 1, longest if len(three) else 0):
+                fits = three[three + j < len(run)]
+                fits = fits[run[fits] == run[fits + j]]
+                x, y, z = some[fits], some[fits + i], some[fits + j]
+                out.append((owner[x], _chain(b[x], tokens[x], tokens[y], tokens[z])))
+    out.append((owner[single], _chain(tokens[single])))
+    small = (size[owner] <= SMALL) & (rank < need[owner])
+    out.append((owner[small], _chain(np.zeros(int(small.sum()), np.uint64), tokens[small])))
+    return np.concatenate([o for o, _ in out]), np.concatenate([h for _, h in out])
 
 
 def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
@@ -130,9 +152,9 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
 
     tokens is a blob of those that other documents share, own the number of the others.
     """
-    spark = docs.sparkSession
-    n_slices = partitions(spark)
+    n_slices = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    bits = hash_bits(rows.agg(F.sum(F.length("text"))).first()[0] or 0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -147,7 +169,7 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
             owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            bounds = blobs.slices(tokens, BITS, n_slices)
+            bounds = blobs.slices(tokens, bits, n_slices)
             out = [(-1, block, blobs.encode([ids.view(np.uint64), counts]))]
             out += [(s, block, blobs.encode([tokens[a:b], owner[a:b]], (0,))) for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
             block += 1
@@ -156,7 +178,7 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
         for batch in batches:
             ids = np.asarray(batch.column(0), np.int64)
             for start, texts in chunks(batch.column(1).to_pylist()):
-                tokens, counts = token_sets(texts, n)
+                tokens, counts = token_sets(texts, n, bits)
                 held.append((ids[start : start + len(texts)], tokens, counts))
                 size += len(tokens)
                 if size >= BLOCK_TOKENS:
@@ -192,19 +214,26 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
         ids, counts = next(p for s, p in pieces if s < 0)
         shared = [p for s, p in pieces if s >= 0]
         tokens, owner, frequency = (np.concatenate([p[i] for p in shared]) if shared else np.zeros(0, np.uint64) for i in range(3))
+        owner, size = owner.astype(np.int64), counts.astype(np.int64)
+        own = size - np.bincount(owner, minlength=len(size))
+        hopeful = (size > 0) & (own <= np.array([tolerated(int(x), t) for x in size]))
+        compact = np.cumsum(hopeful) - 1
+        inside = hopeful[owner]
+        tokens, owner, frequency = tokens[inside], compact[owner[inside]], frequency[inside].astype(np.int64)
+        ids, size, own = ids[hopeful].view(np.int64), size[hopeful], own[hopeful]
+        by, found = signatures(owner, tokens, frequency, size, t)
+        order = np.lexsort((found, by))
+        by, found = by[order], found[order].view(np.int64)
+        new = np.ones(len(by), bool)
+        new[1:] = (by[1:] != by[:-1]) | (found[1:] != found[:-1])
+        by, found = by[new], found[new]
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(by, np.arange(len(ids) + 1)), pa.int32()), pa.array(found))
         order = np.lexsort((tokens, owner))
-        tokens, owner, frequency = tokens[order], owner[order].astype(np.int64), frequency[order].astype(np.int64)
-        bounds = np.searchsorted(owner, np.arange(len(ids) + 1))
-        out = []
-        for i in range(len(ids)):
-            a, b, size = bounds[i], bounds[i + 1], int(counts[i])
-            if not size or size - (b - a) > tolerated(size, t):
-                continue
-            found = signatures(tokens[a:b], frequency[a:b], size, t)
-            if found is not None:
-                out.append((int(ids[i : i + 1].view(np.int64)[0]), size, size - int(b - a), blobs.encode([tokens[a:b]], (0,)), found))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        return pa.table([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["doc_id", "size", "own", "tokens", "signatures"])
+        bounds, tokens = np.searchsorted(owner[order], np.arange(len(ids) + 1)), tokens[order]
+        sets = [blobs.encode([tokens[bounds[i] : bounds[i + 1]]], (0,)) for i in range(len(ids))]
+        return pa.table(
+            [pa.array(ids), pa.array(size, pa.int32()), pa.array(own, pa.int32()), pa.array(sets, pa.binary()), lists], names=["doc_id", "size", "own", "tokens", "signatures"]
+        )
 
     pieces = rows.mapInArrow(send, "slice int, block bigint, piece binary")
     # The documents of a block travel under a key of their own, so that no slice gathers them all.
@@ -213,10 +242,16 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
     return shared.groupBy("block").applyInArrow(sign, "doc_id bigint, size int, own int, tokens binary, signatures array<bigint>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast where its counted rows allow."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     """The pairs (a, b) of sets whose similarity reaches t."""
-    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") >= F.lit(t) * F.greatest("size_a", "size_b") - 1e-9)
+    pairs = _small(materialise(pairs, "pairs"))
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("tokens").alias(f"tokens_{x}")).join(pairs, x)
+    both = side("a").join(side("b"), ["a", "b"]).where(F.least("size_a", "size_b") >= F.lit(t) * F.greatest("size_a", "size_b") - 1e-9)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +273,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in an edge (a, b); root is the lowest node it is connected with.
 
     Alternates large-star and small-star, which needs rounds in the order of the logarithm of the nodes.
+    Up to LOCAL_EDGES edges the same is done in one go on the driver.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _print(edges)
+    if seen[0] <= LOCAL_EDGES:
+        return _local_components(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -253,45 +291,97 @@ def components(edges: DataFrame) -> DataFrame:
         done = materialise(small, "edges")
         now = _print(done)
         if now == seen:
-            return done.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(done.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            roots = done.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return done.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         edges, seen = done, now
 
 
+def _local_components(edges: DataFrame) -> DataFrame:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up] if up in parent else up
+        return x
+
+    for batch in edges.toArrow().to_batches():
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            x, y = find(u), find(v)
+            parent[max(x, y)] = min(x, y)
+    rows = pa.table({"node": pa.array(list(parent), pa.int64()), "root": pa.array([find(x) for x in list(parent)], pa.int64())})
+    return materialise(edges.sparkSession.createDataFrame(rows), "components")
+
+
+def _placed(places: DataFrame, known: DataFrame) -> DataFrame:
+    """The lists (list_id, weight, node, size, shared, root) of which not all nodes are in one component, roots brought up to date."""
+    rows = places.drop("root").join(_small(known), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    one_list = Window.partitionBy("list_id")
+    mixed = rows.withColumn("x", F.min("root").over(one_list)).withColumn("y", F.max("root").over(one_list)).where("x <> y")
+    return materialise(mixed.drop("x", "y"), "places")
+
+
+def _may_join(a: str, b: str, t: float):
+    """Whether two sets could reach t by their sizes and by how many of their tokens are shared with any other set."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
+    return most >= F.lit(t) * (x + y - most) - 1e-9
+
+
+def _promising(placed: DataFrame, turn: int, t: float) -> DataFrame:
+    """For each component, the candidates (a, b) in others with which it shares most signatures.
+
+    In a list, a node outside the largest component is tried with one node of that
+    component, another one each turn.
+    """
+    member = F.struct("node", "size", "shared", "root")
+    lists = placed.groupBy("list_id", "weight").agg(F.sort_array(F.collect_list(member)).alias("all"), F.mode("root", True).alias("main"))
+    if turn:
+        inside = F.filter("all", lambda x: x["root"] == F.col("main"))
+        outside = F.filter("all", lambda x: x["root"] != F.col("main"))
+    else:  # each node is a component
+        inside, outside = F.slice("all", 1, 1), F.expr("slice(all, 2, size(all))")
+    apart = lists.select("list_id", "weight", inside.alias("inside"), F.explode(outside).alias("b"))
+    at = F.pmod(F.xxhash64("list_id", "b.node", F.lit(turn)), F.size("inside")) + 1 if turn else F.lit(1)
+    tried = apart.select("weight", "b", F.element_at("inside", at.cast("int")).alias("a"), F.col("b.root").alias("root")).where(_may_join("a", "b", t))
+    weighed = tried.groupBy("root", F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.sum("weight").alias("weight"))
+    best = weighed.groupBy("root").agg(F.slice(F.sort_array(F.collect_list(F.struct("weight", "a", "b")), asc=False), 1, TRIES).alias("best"))
+    return best.select(F.explode("best").alias("p")).select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")).distinct()
+
+
+def _apart(placed: DataFrame, t: float) -> DataFrame:
+    """Every candidate (a, b) whose sides are in different components and could reach t."""
+    left, right = placed.alias("l"), placed.alias("r")
+    pairs = left.join(right, "list_id").where(F.col("l.root") < F.col("r.root")).where(_may_join("l", "r", t))
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that joins another, directly or through others; group_id is the lowest doc_id."""
     if not 0.5 <= t <= 1:
         raise ValueError("the threshold is from 0.5 to 1")
     index = indexed(docs, n, t).withColumn("set_id", F.xxhash64("tokens", "size", F.when(F.col("own") > 0, F.col("doc_id"))))
-    index = materialise(index, "signed")
     # Equal sets, all of whose tokens are shared, are one set from here on.
-    members = materialise(index.groupBy("set_id").agg(F.collect_set("doc_id").alias("doc_ids")), "sets")
-    owner = members.select("set_id", F.array_min("doc_ids").alias("doc_id"))
-    sets = index.join(owner, ["set_id", "doc_id"], "left_semi")  # one row a set, but for repeated rows
-    shared = (
-        sets.select("set_id", F.explode("signatures").alias("s")).groupBy("s").agg(F.sort_array(F.collect_set("set_id")).alias("ids")).where(F.size("ids") > 1)
+    sets = materialise(
+        index.groupBy("set_id").agg(F.collect_set("doc_id").alias("doc_ids"), *[F.first(c).alias(c) for c in ("size", "own", "tokens", "signatures")]), "sets"
     )
+    members = sets.select("set_id", "doc_ids")
+    shared = sets.select("set_id", F.explode("signatures").alias("s")).groupBy("s").agg(F.sort_array(F.collect_set("set_id")).alias("ids")).where(F.size("ids") > 1)
     # Most signatures of a group are shared by the same sets: each such list is kept once, with how many signatures gave it.
-    lists = materialise(shared.groupBy("ids").agg(F.count(F.lit(1)).alias("weight")).withColumn("list_id", F.xxhash64("ids")), "candidates")
-    likely = (
-        lists.select(F.element_at("ids", 1).alias("a"), F.explode(F.expr("slice(ids, 2, size(ids))")).alias("b"), "weight")
-        .groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-        .groupBy("b").agg(F.max_by("a", F.struct("weight", -F.col("a"))).alias("a"))
-    )
-    first = materialise(verified(likely.select("a", "b"), sets, t), "first-edges")
-    known = components(first)
-    placed = (
-        lists.select("ids", "list_id", F.explode("ids").alias("node"))
-        .join(known, "node", "left")
-        .select("ids", "list_id", "node", F.coalesce("root", "node").alias("root"))
-    )
-    open_lists = placed.groupBy("list_id", "ids").agg(F.collect_list(F.struct("root", "node")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    rest = (
-        open_lists.select("m", F.explode("m").alias("p"))
-        .select("p", F.explode(F.filter("m", lambda q: q["root"] > F.col("p.root"))).alias("q"))
-        .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
-    )
-    second = verified(rest, sets, t)
-    whole = components(first.unionByName(second))
+    lists = shared.groupBy("ids").agg(F.count(F.lit(1)).alias("weight")).select(F.xxhash64("ids").alias("list_id"), "weight", F.explode("ids").alias("node"))
+    nodes = materialise(sets.select(F.col("set_id").alias("node"), "size", (F.col("size") - F.col("own")).alias("shared"), F.col("set_id").alias("root")), "nodes")
+    placed = materialise(lists.join(_small(nodes), "node"), "places")
+    edges, known, turn = None, None, 0
+    while True:  # each round joins components through their most promising candidates
+        pairs = materialise(_promising(placed, turn, t), "promising")
+        found = materialise(verified(pairs, sets, t), "joined")
+        edges = found if edges is None else edges.unionByName(found)
+        known, turn = components(edges), turn + 1
+        placed = _placed(placed, known)
+        if found.count() <= YIELD * pairs.count() or placed.isEmpty():
+            break
+    # What is still apart and could join is verified in full.
+    edges = edges.unionByName(verified(_apart(placed, t), sets, t))
+    whole = components(edges)
     grouped = (
         members.join(whole, members["set_id"] == whole["node"], "left")
         .select(F.coalesce("root", "set_id").alias("root"), F.explode("doc_ids").alias("doc_id"))
@@ -306,9 +396,7 @@ def keep_one_of_each(docs: DataFrame, n: int = NGRAM, t: float = THRESHOLD) -> D
     names = [F.col(f"`{c}`") for c in docs.columns]
     groups = near_duplicate_groups(docs, n, t)
     drop = materialise(groups.where("doc_id <> group_id").select(F.col("doc_id").alias("__ls_drop")), "near-duplicates")
-    if drop.count() <= BROADCAST_DROPS:
-        drop = F.broadcast(drop)
-    kept = docs.join(drop, docs["doc_id"] == F.col("__ls_drop"), "left_anti")
+    kept = docs.join(_small(drop), docs["doc_id"] == F.col("__ls_drop"), "left_anti")
     again = materialise(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__ls_again")), "repeated")
     if again.isEmpty():
         return kept.select(*names)
