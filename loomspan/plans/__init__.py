@@ -1,3 +1,3 @@
 """Queries by subject; importing this package registers them."""
 
-from . import compiling, history, ingest, markdown, search  # noqa: F401
+from . import catalogs, compiling, history, ingest, jobs, markdown, search, validating, web  # noqa: F401
