@@ -89,7 +89,7 @@ class Finding:
 
 def name_weight(name: str) -> float:
     """How sensitive what a name holds is, from 0 to 1."""
-    words = [w.lower() for w in _WORDS.findall(name.replace("_", " ").replace("-", " ").replace(".", " "))]
+    words = [w.lower() for w in _WORDS.findall(re.sub("[._-]", " ", name))]
     if not words:
         return 0.0
     joined = "".join(words)
