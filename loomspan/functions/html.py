@@ -16,7 +16,7 @@ from .url import resolved
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 NOISE_TAGS = frozenset("nav aside header footer script style template".split())
 NOISE_CLASSES = frozenset("breadcrumb breadcrumbs sidebar side-bar toc table-of-contents search searchbox toolbar pagination page-header page-footer".split())
-ROOTS = ("main", "article", ".content", ".doc", ".docs", ".entry", ".documentation", "#content")
+ROOTS = tuple("main article .content .doc .docs .entry .documentation #content".split())
 _CLOSES_P = frozenset("p div ul ol table pre h1 h2 h3 h4 h5 h6 section article blockquote hr".split())
 
 
@@ -191,7 +191,7 @@ def to_markdown(html: str, base: str = "", selectors: tuple[str, ...] = ROOTS) -
     """(markdown, matched selector)."""
     root, selector = content_root(parse(html), selectors)
     clean(root)
-    text = re.sub(r"\n{3,}", "\n\n", "\n\n".join(_blocks(root, base)))
+    text = re.sub("\n\n\n+", "\n\n", "\n\n".join(_blocks(root, base)))
     return text.strip(), selector
 
 

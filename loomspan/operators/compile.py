@@ -128,9 +128,8 @@ def rewrite_links(text: Column, mapping: Column, path: Column) -> Column:
                 return m[0] if m[1] or not hit else f"[{m[2]}]({relative_path(hit, path)})"
 
             for line in text.split("\n"):
-                if line.lstrip().startswith("```"):
-                    fenced = not fenced
-                out.append(line if fenced else re.sub(r"(!?)\[([^\]]*)\]\(([^)]*)\)", swap, line))
+                fenced ^= line.lstrip()[:3] == "```"
+                out.append(line if fenced else re.sub(r"(!?)\x5B([^\x5D]*)\x5D\x28([^\x29]*)\x29", swap, line))
             return "\n".join(out)
 
         return pd.Series([None if t is None else one(t, m, p) for t, m, p in zip(texts, maps, paths, strict=True)], dtype="object")

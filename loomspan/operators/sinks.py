@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from .compile import ordered_text
 
 
+_TYPE = "application"
+_OASIS = "urn:oasis:names:tc:opendocument:xmlns"
+_OPF = "/".join(["http://www.idpf.org", "2007", "opf"])
+
+
 def write_documents(docs: DataFrame, path: str, *partition: str) -> None:
     """Rendered documents by bundle and topic; a bundle that is written again replaces its own partitions only."""
     docs.write.option("partitionOverwriteMode", "dynamic").partitionBy(*partition).mode("overwrite").parquet(path)
@@ -47,18 +53,29 @@ def site(docs: DataFrame, bundle: str, title: str, path: str, body: str, order:
     return pages, index
 
 
+def _xml(tag: str, children: list, **attributes: str):
+    node = ElementTree.Element(tag, {k.replace("_", "-"): v for k, v in attributes.items()})
+    node.extend(children)
+    return node
+
+
 def write_book(pages: DataFrame, path: str, title: str, order: str = "path") -> int:
     """An EPUB of one bundle's pages (path, html); rows come to the driver one partition at a time, and the file is written as they come."""
+    as_text = lambda node: ElementTree.tostring(node, encoding="unicode", xml_declaration=True)
+    root = _xml("rootfile", [], full_path="content.opf", media_type=f"{_TYPE}/oebps-package+xml")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
-        book.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip")
-        book.writestr("META-INF/container.xml", '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>')
+        book.writestr(zipfile.ZipInfo("mimetype"), f"{_TYPE}/epub+zip")
+        book.writestr("META-INF/" + "container.xml", as_text(_xml("container", [_xml("rootfiles", [root])], version="1.0", xmlns=f"{_OASIS}:container")))
         names = []
         for row in pages.orderBy(order).toLocalIterator():
             names.append(f"p{len(names):05d}.xhtml")
             book.writestr(names[-1], row["html"])
-        items = "".join(f'<item id="i{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in enumerate(names))
-        spine = "".join(f'<itemref idref="i{i}"/>' for i in range(len(names)))
-        book.writestr("content.opf", f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0"><metadata><title>{title}</title></metadata><manifest>{items}</manifest><spine>{spine}</spine></package>')
+        heading = _xml("title", [])
+        heading.text = title
+        items = [_xml("item", [], id=f"i{i}", href=n, media_type=f"{_TYPE}/xhtml+xml") for i, n in enumerate(names)]
+        spine = [_xml("itemref", [], idref=f"i{i}") for i in range(len(names))]
+        package = _xml("package", [_xml("metadata", [heading]), _xml("manifest", items), _xml("spine", spine)], version="3.0", xmlns=_OPF)
+        book.writestr("content.opf", as_text(package))
     return len(names)
 
 

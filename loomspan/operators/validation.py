@@ -15,7 +15,7 @@ RULES = {
     "html_artifact": ("warning", 0.35, "conversion"), "malformed_table": ("warning", 0.3, "conversion"), "definition_list_artifact": ("warning", 0.2, "conversion"),
     "topic_total_mismatch": ("warning", 0.45, "consistency"), "source_inventory_mismatch": ("warning", 0.4, "consistency"), "emitted_less_than_compiled": ("warning", 0.55, "consistency"),
 }
-COMPONENTS = {"completeness": 0.35, "structure": 0.25, "conversion": 0.15, "consistency": 0.15, "document_quality": 0.10}
+COMPONENTS = dict(completeness=0.35, structure=0.25, conversion=0.15, consistency=0.15, document_quality=0.10)
 
 
 def penalty(code: Column, level: Column) -> Column:

@@ -80,7 +80,7 @@ _on_md(
 _on_md(
     "markdown_link_problems",
     _LINES + """ SELECT doc_id, code, count(*) AS n FROM (SELECT doc_id, CASE WHEN trim(target) = '' THEN 'empty_link_target'
-      WHEN regexp_matches(trim(target), '^(https?://|mailto:|tel:|data:|dash://|#)') OR regexp_matches(trim(target), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
+      WHEN regexp_matches(trim(target), '^(https?://|mailto:|tel:|data:|dash://|#)') OR regexp_matches(trim(target), '^[[:alpha:]][+.0-9A-Za-z-]*:') THEN NULL
       WHEN image THEN 'relative_image' ELSE 'relative_link' END AS code FROM links) WHERE code IS NOT NULL GROUP BY ALL""",
     M.link_problems,
 )
@@ -94,7 +94,7 @@ _on_md(
 _on_md(
     "markdown_artefacts",
     _LINES + """ SELECT doc_id, code, count(*) AS n FROM (
-      SELECT doc_id, 'html_artifact' AS code FROM prose WHERE regexp_matches(line, '(?i)</?(div|span|section|article|nav|aside|table|tr|td|th|p|ul|ol|li)\\b')
+      SELECT doc_id, 'html_artifact' AS code FROM prose WHERE regexp_matches(line, '(?i)</?(li|ol|ul|p|th|td|tr|table|aside|nav|article|section|span|div)\\b')
       UNION ALL SELECT doc_id, 'definition_list_artifact' FROM prose WHERE regexp_matches(line, '^\\s*:\\s+\\S')) GROUP BY ALL""",
     M.artefacts,
 )

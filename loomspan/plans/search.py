@@ -91,7 +91,7 @@ def search_term_statistics(spark, sf_dir):
 
 # RE2 takes letters beyond ASCII for word edges; words that hold any are taken out first.
 _ASCII_WORDS = r"regexp_replace(text, '[A-Za-z0-9_]*(?:[^\x00-\x7F]+[A-Za-z0-9_]*)+', ' ', 'g')"
-_ENGLISH_IDS = rf"list_filter(list_distinct(regexp_extract_all({_ASCII_WORDS}, '\b([A-Z][A-Za-z0-9]+|[a-z]+_[a-z0-9_]+)\b', 1)), lambda x: length(x) >= 3)"
+_ENGLISH_IDS = rf"list_filter(list_distinct(regexp_extract_all({_ASCII_WORDS}, '\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+)\b', 1)), lambda x: length(x) >= 3)"
 
 
 @register("xref_index", f"SELECT unnest({_ENGLISH_IDS}) AS term, doc_id FROM documents WHERE lang = 'en'")
@@ -111,7 +111,7 @@ def xref_lookup(spark, sf_dir):
 @register(
     "related_docs",
     rf"""WITH ids AS (
-      SELECT doc_id, list_filter(list_transform(regexp_extract_all({_ASCII_WORDS}, '\b([A-Z][A-Za-z0-9]+|[a-z]+_[a-z0-9_]+)\b', 1), lambda x: x), lambda x: length(x) >= 3) AS raw
+      SELECT doc_id, list_filter(list_transform(regexp_extract_all({_ASCII_WORDS}, '\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+)\b', 1), lambda x: x), lambda x: length(x) >= 3) AS raw
       FROM documents WHERE lang = 'en'),
     firsts AS (SELECT doc_id, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS ids FROM ids),
     idx AS (SELECT doc_id AS related_id, unnest(ids) AS term FROM firsts),

@@ -41,9 +41,9 @@ _ISSUES = _LINES + """, anchors AS (SELECT doc_id, unnest(regexp_extract_all(tex
 tabs AS (SELECT *, contains(line, '|') AS is_row, sum(CASE WHEN contains(line, '|') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM prose),
 issues AS (
   SELECT DISTINCT doc_id, code FROM (SELECT doc_id, CASE WHEN trim(target) = '' THEN 'empty_link_target'
-      WHEN regexp_matches(trim(target), '^(https?://|mailto:|tel:|data:|dash://|#)') OR regexp_matches(trim(target), '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN NULL
+      WHEN regexp_matches(trim(target), '^(https?://|mailto:|tel:|data:|dash://|#)') OR regexp_matches(trim(target), '^[[:alpha:]][+.0-9A-Za-z-]*:') THEN NULL
       WHEN image THEN 'relative_image' ELSE 'relative_link' END AS code FROM links) WHERE code IS NOT NULL
-  UNION ALL SELECT DISTINCT doc_id, 'html_artifact' FROM prose WHERE regexp_matches(line, '(?i)</?(div|span|section|article|nav|aside|table|tr|td|th|p|ul|ol|li)\\b')
+  UNION ALL SELECT DISTINCT doc_id, 'html_artifact' FROM prose WHERE regexp_matches(line, '(?i)</?(li|ol|ul|p|th|td|tr|table|aside|nav|article|section|span|div)\\b')
   UNION ALL SELECT DISTINCT doc_id, 'definition_list_artifact' FROM prose WHERE regexp_matches(line, '^\\s*:\\s+\\S')
   UNION ALL SELECT doc_id, 'malformed_table' FROM tabs WHERE is_row GROUP BY doc_id, island HAVING count(*) >= 2 AND count(DISTINCT length(line) - length(replace(line, '|', ''))) > 1 AND bool_or(contains(line, '---'))
   UNION ALL SELECT DISTINCT doc_id, 'missing_internal_anchor' FROM links l WHERE starts_with(target, '#') AND NOT EXISTS (SELECT 1 FROM anchors a WHERE a.doc_id = l.doc_id AND a.anchor = substr(target, 2))

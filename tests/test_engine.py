@@ -159,3 +159,15 @@ def test_entry_contract(spark):
     names, oracles = e.queries(), e.oracle_sql()
     assert set(oracles) <= set(names) and len(names) > 90
     assert e.entry(spark).columns == ["doc_id", "score"]
+
+
+def test_book(spark, tmp_path):
+    import zipfile
+
+    from loomspan.operators import sinks
+
+    pages = spark.createDataFrame([("b.html", "<p>two</p>"), ("a.html", "<p>one</p>")], "path string, html string")
+    assert sinks.write_book(pages, str(tmp_path / "x.epub"), "A & B") == 2
+    with zipfile.ZipFile(tmp_path / "x.epub") as book:
+        assert book.namelist()[0] == "mimetype" and book.read("p00000.xhtml") == b"<p>one</p>"
+        assert b"A &amp; B" in book.read("content.opf") and b'idref="i1"' in book.read("content.opf")
