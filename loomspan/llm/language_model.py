@@ -31,6 +31,7 @@ Defined cases
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,7 +98,7 @@ def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """One .npy a column, moved into place when whole."""
     for key, value in arrays.items():
         path = os.path.join(folder, f"{name}.{key}.npy")
-        temporary = f"{path}.{os.getpid()}.{pa.default_memory_pool().bytes_allocated()}.tmp"
+        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
         with open(temporary, "wb") as f:
             np.save(f, value)
         os.replace(temporary, path)
