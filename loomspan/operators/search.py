@@ -28,11 +28,9 @@ def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     )
 
 
-def term_frequencies(tokens: Column, term: str) -> Column:
-    """Occurrences of a term, or of a prefix written as ``term*``."""
-    if term.endswith("*"):
-        return F.size(F.filter(tokens, lambda t: t.startswith(term[:-1]))).cast("bigint")
-    return F.size(F.filter(tokens, lambda t: t == term)).cast("bigint")
+def occurrences(low: Column, term: str) -> Column:
+    """Occurrences of a term as a whole token of a lower-cased text; no array of tokens is built."""
+    return F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])")).cast("bigint")
 
 
 def has_phrase(tokens: Column, words: list[str]) -> Column:
@@ -87,7 +85,7 @@ def _matches(clause: Clause, tokens: Column, columns: dict[str, str]) -> Column:
     elif clause.kind == "phrase":
         hit = has_phrase(source, list(clause.words))
     elif clause.kind == "prefix":
-        hit = term_frequencies(source, clause.words[0] + "*") > 0
+        hit = F.exists(source, lambda t: t.startswith(clause.words[0]))
     else:
         hit = F.array_contains(source, clause.words[0])
     return ~hit if clause.negated else hit
@@ -115,10 +113,12 @@ def bm25(docs: DataFrame, terms: list[str], keep: Column | None = None, limit: i
     aggregated, so nothing but those few numbers is exchanged before the top-k.
     ``keep`` filters results, not the corpus that the statistics describe.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms))
+    terms = list(dict.fromkeys(word for t in terms for word in re.findall("[a-z0-9]+", t.lower())))
     kept = F.lit(True) if keep is None else keep
-    scanned = docs.select(F.col(id_column).alias("doc_id"), kept.alias("kept"), plain_tokens(F.col(text_column)).alias("tokens"))
-    counted = scanned.select("doc_id", "kept", F.size("tokens").cast("bigint").alias("len"), *[term_frequencies(F.col("tokens"), t).alias(f"f{i}") for i, t in enumerate(terms)])
+    low = F.lower(F.col(text_column))
+    counted = docs.select(
+        F.col(id_column).alias("doc_id"), kept.alias("kept"), F.regexp_count(low, F.lit("[a-z0-9]+")).cast("bigint").alias("len"), *[occurrences(low, t).alias(f"f{i}") for i, t in enumerate(terms)]
+    )
     totals = counted.agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"n{i}") for i in range(len(terms))]
     )
