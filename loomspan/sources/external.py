@@ -117,3 +117,12 @@ def union_catalogs(*catalogs: DataFrame) -> DataFrame:
     for c in catalogs[1:]:
         whole = whole.unionByName(c, allowMissingColumns=True)
     return whole
+
+
+def checked_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """(path, valid) of cached files with a .meta.json beside them: checksum and size must be those of the file."""
+    meta = spark.read.schema("checksum string, byte_count bigint").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").json(root)
+    meta = meta.select(F.regexp_replace(F.input_file_name(), r"^file:/+|\.meta\.json$", "").alias("path"), "checksum", "byte_count")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").endswith(".meta.json"))
+    files = files.select(F.regexp_replace("path", "^file:/+", "").alias("path"), F.sha2("content", 256).alias("sha"), "length")
+    return meta.join(files, "path", "left").select("path", F.coalesce((F.col("sha") == F.col("checksum")) & (F.col("length") == F.col("byte_count")), F.lit(False)).alias("valid"))

@@ -171,3 +171,25 @@ def test_book(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "x.epub") as book:
         assert book.namelist()[0] == "mimetype" and book.read("p00000.xhtml") == b"<p>one</p>"
         assert b"A &amp; B" in book.read("content.opf") and b'idref="i1"' in book.read("content.opf")
+
+
+def test_front_matter(spark):
+    from loomspan.functions import frontmatter
+
+    pytest.importorskip("yaml")
+    pages = ["---\ntitle: A\npage-type: [x, y]\n---\n\n# Body\n", "---\ntitle: [broken\n---\nrest", "plain", None]
+    rows = [r["p"] for r in spark.createDataFrame(list(enumerate(pages)), "i int, raw string").orderBy("i").select(frontmatter.parse(F.col("raw")).alias("p")).collect()]
+    assert json.loads(rows[0]["meta"]) == {"title": "A", "page-type": ["x", "y"]} and rows[0]["body"] == "# Body\n"
+    assert rows[1]["body"] == pages[1] and rows[1]["warning"].startswith("malformed_frontmatter") and rows[2]["body"] == "plain"
+    page = spark.range(1).select(frontmatter.with_head(F.create_map(F.lit("title"), F.lit('say "hi": now')), F.lit("b")).alias("x")).first()["x"]
+    assert json.loads(frontmatter.split_page(page)[0]) == {"title": 'say "hi": now'} and frontmatter.split_page(page)[1] == "b"
+
+
+def test_sidecars(spark, tmp_path):
+    import hashlib
+
+    for name, body, wrong in (("a.json", b"one", False), ("b.json", b"two", True)):
+        (tmp_path / name).write_bytes(body)
+        (tmp_path / f"{name}.meta.json").write_text(json.dumps({"checksum": hashlib.sha256(body).hexdigest(), "byte_count": len(body) + wrong}))
+    got = {r["path"].rsplit("/", 1)[-1]: r["valid"] for r in external.checked_sidecars(spark, str(tmp_path)).collect()}
+    assert got == {"a.json": True, "b.json": False}
