@@ -148,7 +148,7 @@ def train(docs: DataFrame) -> Trained:
             return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["slice", "piece"])
 
         for batch in batches:
-            for _, texts in chunks(batch.column(0).to_pylist()):
+            for _, texts in chunks(x.as_py() for x in batch.column(0)):
                 first, second, _ = word_sequence(texts)
                 held.append((first, second))
                 size += len(first)
@@ -290,8 +290,8 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
-            texts, held, size = batch.column(1).to_pylist(), [], 0
-            for start, some in chunks(texts):
+            held, size = [], 0
+            for start, some in chunks(x.as_py() for x in batch.column(1)):
                 held.append((start, *word_sequence(some)))
                 size += len(held[-1][1])
                 if size >= BLOCK_TOKENS:

@@ -51,7 +51,7 @@ from .store import materialise, partitions
 from .words import chunks, gram_hashes, mix, word_hashes
 
 NGRAM, THRESHOLD = 3, 0.5
-BLOCK_TOKENS = 900_000
+BLOCK_TOKENS = 600_000
 #: Document frequencies above which tokens sign in combinations of 2, and of 3.
 FREQUENT = (128, 100_000)
 SMALL = 32
@@ -177,7 +177,7 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
 
         for batch in batches:
             ids = np.asarray(batch.column(0), np.int64)
-            for start, texts in chunks(batch.column(1).to_pylist()):
+            for start, texts in chunks(x.as_py() for x in batch.column(1)):
                 tokens, counts = token_sets(texts, n, bits)
                 held.append((ids[start : start + len(texts)], tokens, counts))
                 size += len(tokens)

@@ -9,7 +9,7 @@ two prefixes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -47,7 +47,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: Iterable[str | None]) -> Iterator[tuple[int, list[str]]]:
     """Consecutive runs of texts of about CHUNK_CHARS; a longer text is a run of its own."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):
