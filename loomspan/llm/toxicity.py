@@ -55,7 +55,7 @@ def plain(text: str) -> np.ndarray:
     keep[1:] |= inside[:-1]  # the first of a run of others stays as the space
     if len(keep) and not inside[0]:
         keep[0] = False
-    return np.concatenate(([np.uint32(32)], points[keep], [np.uint32(32)] if len(points) and inside[-1] else np.zeros(0, np.int64)))
+    return np.concatenate(([np.uint32(32)], points[keep], [np.uint32(32)] if len(points) and inside[-1] else np.zeros(0, np.int32)))
 
 
 def features(points: np.ndarray) -> list[np.ndarray]:
@@ -69,7 +69,7 @@ def features(points: np.ndarray) -> list[np.ndarray]:
         h = (h[: len(p) - n + 1] + p[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         if n in SIZES:
-            found.append((h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64))
+            found.append((h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int32))
     return found
 
 
@@ -84,7 +84,7 @@ def passages(text: str | None) -> list[np.ndarray]:
     found = features(points)
     rows = []
     for s in range(0, max(1, len(points) - OVERLAP), PASSAGE - OVERLAP):
-        ids = np.concatenate([h[s : s + PASSAGE - n + 1] for h, n in zip(found, SIZES, strict=False)]) if found else np.zeros(0, np.int64)
+        ids = np.concatenate([h[s : s + PASSAGE - n + 1] for h, n in zip(found, SIZES, strict=False)]) if found else np.zeros(0, np.int32)
         place = np.arange(len(ids), dtype=np.int32)
         last[ids] = place
         rows.append(ids[last[ids] == place])  # each feature once, without sorting
@@ -155,9 +155,9 @@ def train(labelled: list[tuple[str | None, int]]) -> Model:
     if not toxic.any() or toxic.all():
         raise ValueError("the labels need toxic and clean documents")
     parts = [passages(text) for text, _ in labelled]
-    model = fit([np.unique(np.concatenate(p)) if p else np.zeros(0, np.int64) for p in parts], toxic, EPOCHS[0])
+    model = fit([np.unique(np.concatenate(p)) if p else np.zeros(0, np.int32) for p in parts], toxic, EPOCHS[0])
     for _ in range(2):
-        best = [p[int(np.argmax(model.score_features(p)))] if p else np.zeros(0, np.int64) for p in parts]
+        best = [p[int(np.argmax(model.score_features(p)))] if p else np.zeros(0, np.int32) for p in parts]
         model = fit(best, toxic, EPOCHS[1])
     return model
 
