@@ -3,8 +3,9 @@
 A payload is stored once, under its SHA-256, as a member of a tar shard in the
 shared folder.  Rows carry digest, shard, offset and length, never the payload.
 Payloads that compress (markup, raw audio) are stored as zstd frames when that is smaller; those that
-are compressed already stay as they are.  Metadata columns come from ranged reads of
-at most HEADER_BYTES of each stored member; no payload is read whole again.
+are compressed already stay as they are.  A frame's first block ends at HEADER_BYTES of the payload, so that
+they can be had without what follows.  Metadata columns come from these bytes by ranged reads; no longer
+payload is read whole again.
 
 One row of each digest (the one with the lowest id) owns the payload.  Which rows own is decided on
 (digest, id) alone; the payload itself is written where it is scanned and crosses no shuffle.
@@ -23,7 +24,6 @@ Defined cases
 from __future__ import annotations
 
 import hashlib
-import io
 import os
 import re
 import struct
@@ -40,6 +40,8 @@ from .store import local_path, materialise, scratch
 
 SHARD_BYTES = 256 << 20
 HEADER_BYTES = 4096
+#: What a frame's and a block's own headers take at most.
+FRAME_BYTES = 32
 #: Rows that do not own their payload are known to every task up to this many; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 INDEX_SCHEMA = "digest string, shard string, shard_offset bigint, stored_length bigint, size bigint, encoding string"
@@ -106,14 +108,21 @@ def _describe(head: bytes, size: int) -> dict:
 class _Shards:
     """The tar shards one task writes."""
 
-    def __init__(self, folder: str, task: int, attempt: int, shard_bytes: int):
+    def __init__(self, folder: str, task: int, attempt: int, shard_bytes: int, header_bytes: int = HEADER_BYTES):
         self.folder, self.task, self.attempt, self.limit, self.number, self.out = folder, task, attempt, shard_bytes, 0, None
-        self.squeeze = zstandard.ZstdCompressor(level=3)
+        self.squeeze, self.header_bytes = zstandard.ZstdCompressor(level=3), header_bytes
+
+    def _frame(self, payload: bytes) -> bytes:
+        if len(payload) <= self.header_bytes:
+            return self.squeeze.compress(payload)
+        out = self.squeeze.compressobj(size=len(payload))
+        head = out.compress(payload[: self.header_bytes]) + out.flush(zstandard.COMPRESSOBJ_FLUSH_BLOCK)
+        return head + out.compress(payload[self.header_bytes :]) + out.flush()
 
     def add(self, digest: str, payload: bytes) -> tuple[str, int, int, int, str]:
         """(shard, offset, stored length, size, encoding)."""
         stored, encoding = payload, "raw"
-        if len(payload) > 64 and len(packed := self.squeeze.compress(payload)) < 0.9 * len(payload):
+        if len(payload) > 64 and len(packed := self._frame(payload)) < 0.9 * len(payload):
             stored, encoding = packed, "zstd"
         if self.out is None:
             self.name = f"shard-{self.task:06d}-{self.number:04d}.tar"
@@ -137,7 +146,7 @@ class _Shards:
             self.out, self.number = None, self.number + 1
 
 
-def store_media(rows: DataFrame, id_column: str, payload_column: str, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame, str]:
+def store_media(rows: DataFrame, id_column: str, payload_column: str, shard_bytes: int = SHARD_BYTES, header_bytes: int = HEADER_BYTES) -> tuple[DataFrame, DataFrame, str]:
     """(rows of id and digest, index of digest to place, folder of the shards)."""
     spark = rows.sparkSession
     folder = scratch(spark, "media")
@@ -159,7 +168,7 @@ def store_media(rows: DataFrame, id_column: str, payload_column: str, shard_byte
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        shards = _Shards(target, context.partitionId(), context.taskAttemptId(), shard_bytes)
+        shards = _Shards(target, context.partitionId(), context.taskAttemptId(), shard_bytes, header_bytes)
         seen: set[str] = set()  # rows repeated in full: the payload goes in once a task
         for batch in batches:
             digests, payloads, out = batch.column(0), batch.column(1), []
@@ -181,18 +190,18 @@ def store_media(rows: DataFrame, id_column: str, payload_column: str, shard_byte
 
 
 def read_payload(folder: str, shard: str, offset: int, stored_length: int, encoding: str, limit: int | None = None) -> bytes:
-    """The payload, or its first ``limit`` bytes from a read of no more than that."""
+    """The payload, or its first ``limit`` bytes from ranged reads of about as many until they are out."""
     with open(os.path.join(local_path(folder), shard), "rb", buffering=0) as f:
         f.seek(offset)
-        data = f.read(stored_length if limit is None else min(stored_length, limit))
-    if encoding == "raw":
-        return data
-    if limit is None:
-        return zstandard.ZstdDecompressor().decompress(data)
-    try:
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_size=len(data)).read(limit)
-    except zstandard.ZstdError:
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)[:limit]
+        if limit is None:
+            data = f.read(stored_length)
+            return data if encoding == "raw" else zstandard.ZstdDecompressor().decompress(data)
+        if encoding == "raw":
+            return f.read(min(stored_length, limit))
+        frame, plain, left = zstandard.ZstdDecompressor().decompressobj(), b"", stored_length
+        while left > 0 and len(plain) < limit and (data := f.read(min(left, limit + FRAME_BYTES))):
+            plain, left = plain + frame.decompress(data), left - len(data)
+        return plain[:limit]
 
 
 def read_headers(index: DataFrame, folder: str, header_bytes: int = HEADER_BYTES) -> DataFrame:
@@ -214,6 +223,6 @@ def read_headers(index: DataFrame, folder: str, header_bytes: int = HEADER_BYTES
 
 def media_columns(rows: DataFrame, id_column: str, payload_column: str, shard_bytes: int = SHARD_BYTES, header_bytes: int = HEADER_BYTES) -> DataFrame:
     """(id, digest, place in the shards, metadata), a row for each row."""
-    digests, index, folder = store_media(rows, id_column, payload_column, shard_bytes)
+    digests, index, folder = store_media(rows, id_column, payload_column, shard_bytes, header_bytes)
     described = read_headers(index, folder, header_bytes)
     return digests.join(described, "digest", "left").select(F.col("id").alias(id_column), "digest", *[c for c in described.columns if c != "digest"])

@@ -1,6 +1,7 @@
 """Media round trips and the pipeline against brute force."""
 
 import hashlib
+import random
 import struct
 import tarfile
 import zlib
@@ -51,6 +52,21 @@ def test_header_columns(spark):
     assert zlib.crc32(PNG) and len(media.media_columns(rows, "id", "body").collect()) == len(PAYLOADS)
 
 
+def test_headers_of_pages_that_hardly_compress(spark):
+    r = random.Random(5)
+    page = lambda n: b"<!doctype html><html lang='fr'><head><meta charset='utf-8'></head><p>" + r.randbytes(n).hex().encode()
+    pages = [(i, page(n)) for i, n in enumerate((2_000, 5_000, 10_000, 200_000))]
+    for header_bytes in (media.HEADER_BYTES, 500):
+        got = media.media_columns(spark.createDataFrame(pages, "id bigint, body binary"), "id", "body", header_bytes=header_bytes).collect()
+        assert {(x["encoding"], x["media_type"], x["charset"], x["language"]) for x in got} == {("zstd", "text/html", "utf-8", "fr")} and len(got) == len(pages)
+    _, index, folder = media.store_media(spark.createDataFrame(pages, "id bigint, body binary"), "id", "body")
+    bodies = {hashlib.sha256(b).hexdigest(): b for _, b in pages}
+    for x in index.collect():
+        place, body = (folder, x["shard"], x["shard_offset"], x["stored_length"], x["encoding"]), bodies[x["digest"]]
+        assert media.read_payload(*place) == body
+        assert all(media.read_payload(*place, n) == body[:n] for n in (1, 4096, 5000, 150_000))
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = tmp_path_factory.mktemp("sf")
