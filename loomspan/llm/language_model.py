@@ -1,21 +1,23 @@
-"""Perplexity under an interpolated modified Kneser-Ney bigram model of the whole corpus.
+"""Perplexity under an interpolated modified Kneser-Ney n-gram model of the whole corpus.
 
-Tokens are words (see ``words``) as 48-bit hashes, between a start and an end mark a document.
+Tokens are words (see ``words``) as 48-bit hashes; ``order`` - 1 start marks stand before a document and an end mark
+behind it.  With h for the words before w, and h' for h without its first word:
 
-    p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + g(v) p(w)
+    p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h.) + g(h) p(w | h')
     p(w)     = max(a(w) - D'(a(w)), 0) / A + g' / (V + 1)
 
-c are counts of all documents; a(w) is the number of distinct words that w follows, A their sum, V the
-number of words with the end mark (one more shares in the rest: any unknown word).  D and D' have one discount each for counts of
-one, two, and three or more, from the counts of counts of their own order; g(v) and g' hand on what was discounted.
+In the highest order c are counts of all documents; below it c(hw) is the number of distinct words before hw.  a(w) is
+the number of distinct words that w follows, A their sum, V the number of words with the end mark (one more shares in
+the rest: any unknown word).  Every order has one discount each for counts of one, two, and three or more, from its
+counts of counts; g(h) and g' hand on what was discounted.  A context that was never seen leaves it to the next shorter.
 
-Counting: each task combines the bigrams of a block of documents and sends them as
-blobs to the slice of the hash range of their first word.  A slice sums them and writes
+Counting: each task combines the n-grams of a block of documents and sends them as
+blobs to the slice of the hash range of their context.  A slice sums them and writes
 its part of the model to the shared folder: sorted context hashes, and the successors
-of each context as sorted hashes with counts.  What a slice knows about second
-words goes to the slice of their hash, which writes continuation counts the same way.
+of each context as sorted hashes with counts.  Its distinct n-grams without their first word
+go to the slices of the next lower order, which count and write them in the same way, down to single words.
 Only a few numbers a slice reach the driver.  Scoring maps these files into memory and looks
-up the bigrams of a block together, in hash order.
+up the n-grams of a block together, in hash order.
 
 Files are written under a temporary name and moved into place, and their content
 follows from the input, so tasks can be run again.
@@ -30,9 +32,11 @@ Defined cases
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .store import local_path, materialise, partitions, scratch
-from .words import chunks, word_hashes
+from .words import chunks, mix, word_hashes
 
 BITS = 48
 START, END = np.uint64(1), np.uint64(2)
@@ -50,35 +54,77 @@ BLOCK_TOKENS = 900_000
 STATS = "part string, slice int, target int, piece binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n3plus bigint, total bigint, types bigint"
 
 
-def word_sequence(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, second word, bigrams a text) with marks; a text without words has none."""
+def word_sequence(texts: list[str], order: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """(the first to the last word of every n-gram, n-grams a text) with marks; a text without words has none."""
     words, counts = word_hashes(texts)
     words = np.maximum(words >> np.uint64(64 - BITS), np.uint64(3))
     per_text = np.where(counts > 0, counts + 1, 0)
-    total = int(per_text.sum())
-    first, second = np.full(total, START), np.full(total, END)
-    ends = np.cumsum(per_text)
-    is_end = np.zeros(total, bool)
-    is_end[ends[per_text > 0] - 1] = True
-    is_start = np.zeros(total, bool)
-    is_start[(ends - per_text)[per_text > 0]] = True
-    second[~is_end] = words
-    first[~is_start] = words
-    return first, second, per_text
-
-
-def distinct_bigrams(first: np.ndarray, second: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, second, count) of the distinct bigrams in order of (first, second)."""
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    padded = np.where(counts > 0, counts + order, 0)
+    begins = np.cumsum(padded) - padded
+    flat = np.full(int(padded.sum()), START)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    inside = np.arange(len(words)) - (np.cumsum(counts) - counts)[owner]
+    flat[begins[owner] + order - 1 + inside] = words
+    flat[(begins + padded)[counts > 0] - 1] = END
+    owner = np.repeat(np.arange(len(per_text)), per_text)
+    at = begins[owner] + np.arange(len(owner)) - (np.cumsum(per_text) - per_text)[owner]
+    return [flat[at + i] for i in range(order)], per_text
+
+
+def context_hash(words: list[np.ndarray]) -> np.ndarray:
+    """48 bits of one or more words in order; a single word stands for itself."""
+    if len(words) == 1:
+        return words[0]
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + w + np.uint64(1))
+    return h >> np.uint64(64 - BITS)
+
+
+def distinct_ngrams(context: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct n-gram in order of (context, word), its count)."""
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
     at = np.flatnonzero(new)
     if counts is None:
-        summed = np.diff(np.concatenate((at, [len(first)])))
+        summed = np.diff(np.concatenate((at, [len(order)])))
     else:
         summed = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-    return first[at], second[at], summed.astype(np.int64)
+    return order[at], summed.astype(np.int64)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
+def _encode(context: np.ndarray, middle: list[np.ndarray], word: np.ndarray, counts: np.ndarray) -> bytes:
+    """Distinct n-grams in order; middle are a context's words but its first."""
+    at = _runs(context)
+    words, place = np.unique(np.concatenate([m[at] for m in middle] + [word]), return_inverse=True)
+    parts = np.split(place, [len(at) * (i + 1) for i in range(len(middle))])
+    return blobs.encode([context[at], words, np.diff(np.concatenate((at, [len(context)]))), *parts, counts], (0, 1))
+
+
+def _decode(blob: bytes) -> list[np.ndarray]:
+    """[context, middle words ..., word, count]."""
+    context, words, lengths, *parts, counts = blobs.decode(blob)
+    lengths = lengths.astype(np.int64)
+    middle = [np.repeat(words[p.astype(np.int64)], lengths) for p in parts[:-1]]
+    return [np.repeat(context, lengths), *middle, words[parts[-1].astype(np.int64)], counts.astype(np.int64)]
+
+
+def _pieces(context: np.ndarray, middle: list[np.ndarray], word: np.ndarray, counts: np.ndarray | None, n_slices: int) -> Iterator[tuple[int, bytes]]:
+    """(slice, blob) of n-grams, equal ones summed."""
+    keep, summed = distinct_ngrams(context, word, counts)
+    context, middle, word = context[keep], [m[keep] for m in middle], word[keep]
+    bounds = blobs.slices(context, BITS, n_slices)
+    for s in range(n_slices):
+        a, b = bounds[s], bounds[s + 1]
+        if a < b:
+            yield s, _encode(context[a:b], [m[a:b] for m in middle], word[a:b], summed[a:b])
 
 
 def counts_of_counts(counts: np.ndarray) -> list[int]:
@@ -95,19 +141,41 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """One .npy a column, moved into place when whole."""
-    for key, value in arrays.items():
-        path = os.path.join(folder, f"{name}.{key}.npy")
-        temporary = f"{path}.{uuid.uuid4().hex}.tmp"
-        with open(temporary, "wb") as f:
-            np.save(f, value)
-        os.replace(temporary, path)
-
-
-def _compact(counts: np.ndarray) -> dict[str, np.ndarray]:
+    """One file of all columns, moved into place when whole."""
+    path = os.path.join(folder, name)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    head = json.dumps([[key, value.dtype.str, len(value)] for key, value in arrays.items()]).encode()
+    with open(temporary, "wb") as f:
+        f.write(struct.pack("<Q", len(head)) + head)
+        for value in arrays.values():
+            f.write(b"\0" * (-f.tell() % 8) + value.tobytes())
+    os.replace(temporary, path)
+
+
+def _load(path: str) -> dict[str, np.ndarray]:
+    data = np.memmap(path, np.uint8, "r")
+    at = 8 + int(data[:8].view(np.uint64)[0])
+    out = {}
+    for key, kind, length in json.loads(data[8:at].tobytes()):
+        at += -at % 8
+        size = length * np.dtype(kind).itemsize
+        out[key] = data[at : at + size].view(kind)
+        at += size
+    return out
+
+
+def _compact(name: str, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Counts as single bytes; 255 stands for an entry of the sorted overflow."""
     big = np.flatnonzero(counts >= 255)
-    return {"count": np.minimum(counts, 255).astype(np.uint8), "big_at": big.astype(np.int64), "big": counts[big].astype(np.int64)}
+    return {name: np.minimum(counts, 255).astype(np.uint8), f"{name}_at": big.astype(np.int64), f"{name}_big": counts[big].astype(np.int64)}
+
+
+def _counts(part: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    counts = part[name][at].astype(np.int64)
+    big = np.flatnonzero(counts == 255)
+    if len(big):
+        counts[big] = part[f"{name}_big"][np.searchsorted(part[f"{name}_at"], at[big])]
+    return counts
 
 
 def _stats(part: str, slice_: int, numbers: list[int], total: int, types: int) -> dict:
@@ -118,15 +186,18 @@ def _stats(part: str, slice_: int, numbers: list[int], total: int, types: int) -
 class Trained:
     folder: str
     slices: int
-    discount: np.ndarray
+    order: int
+    discount: dict[int, np.ndarray]
     low_discount: np.ndarray
     continuations: int
     vocabulary: int
     low_rest: float
 
 
-def train(docs: DataFrame) -> Trained:
-    """Count every document and write the model to the shared folder."""
+def train(docs: DataFrame, order: int = 2) -> Trained:
+    """Count every document and write the model of n-grams of ``order`` words, 2 or more, to the shared folder."""
+    if order < 2:
+        raise ValueError(f"the order is 2 or more, not {order}")
     spark = docs.sparkSession
     n_slices = partitions(spark)
     uri = scratch(spark, "lm")
@@ -137,49 +208,48 @@ def train(docs: DataFrame) -> Trained:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            first, second, count = distinct_bigrams(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            bounds = blobs.slices(first, BITS, n_slices)
-            out = []
-            for s in range(n_slices):
-                a, b = bounds[s], bounds[s + 1]
-                if a < b:
-                    words, place = np.unique(second[a:b], return_inverse=True)
-                    out.append((s, blobs.encode([first[a:b], words, place, count[a:b]], (0, 1))))
-            return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["slice", "piece"])
+            words = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            out = list(_pieces(context_hash(words[:-1]), words[1:-1], words[-1], None, n_slices))
+            return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["target", "piece"])
 
         for batch in batches:
             for _, texts in chunks(x.as_py() for x in batch.column(0)):
-                first, second, _ = word_sequence(texts)
-                held.append((first, second))
-                size += len(first)
+                words, per_text = word_sequence(texts, order)
+                held.append(words)
+                size += int(per_text.sum())
                 if size >= BLOCK_TOKENS:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
-    def sum_slice(group: pa.Table) -> pa.Table:
-        s = group.column("slice")[0].as_py()
-        pieces = [blobs.decode(x.as_py()) for x in group.column("piece")]
-        first = np.concatenate([p[0] for p in pieces])
-        second = np.concatenate([p[1][p[2].astype(np.int64)] for p in pieces])
-        counts = np.concatenate([p[3] for p in pieces]).astype(np.int64)
-        del pieces
-        first, second, counts = distinct_bigrams(first, second, counts)
-        context, at = np.unique(first, return_index=True)
+    def sum_level(level: int) -> Callable[[pa.Table], pa.Table]:
+        return lambda table: sum_slice(level, table.drop_columns("group"))
+
+    def sum_slice(level: int, group: pa.Table) -> pa.Table:
+        s = group.column("target")[0].as_py()
+        if s < 0:
+            return group
+        context, *middle, word, counts = _sum_pieces(group.column("piece"))
+        at = _runs(context)
+        ends = np.concatenate((at, [len(context)]))
         add = lambda x: np.add.reduceat(x.astype(np.int64), at)
-        low = (second & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        owner = np.repeat(np.arange(len(at)), np.diff(np.concatenate((at, [len(first)]))))
-        order = np.lexsort((low, owner))
-        _save(folder, f"context-{s}", {"key": context, "offset": np.concatenate((at, [len(first)])).astype(np.int64), "total": add(counts), "n1": add(counts == 1).astype(np.uint32), "n2": add(counts == 2).astype(np.uint32), "n3plus": add(counts >= 3).astype(np.uint32)})
-        _save(folder, f"successor-{s}", {"low": low[order], **_compact(counts[order])})
-        rows = [_stats("bigram", s, counts_of_counts(counts), int(counts.sum()), len(counts))]
-        words, follows = np.unique(second, return_counts=True)
-        bounds = blobs.slices(words, BITS, n_slices)
-        for t in range(n_slices):
-            a, b = bounds[t], bounds[t + 1]
-            if a < b:
-                rows.append(_stats("piece", s, [0] * 5, 0, 0) | {"target": t, "piece": blobs.encode([words[a:b], follows[a:b]], (0,))})
+        low = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        by_low = np.lexsort((low, np.repeat(np.arange(len(at)), np.diff(ends))))
+        keys = context[at]
+        _save(folder, f"level{level}-{s}", {
+            "high": (keys >> np.uint64(16)).astype(np.uint32), "key_low": (keys & np.uint64(0xFFFF)).astype(np.uint16), "offset": ends.astype(np.uint32 if len(context) < 1 << 32 else np.int64),
+            **_compact("total", add(counts)), **_compact("n1", add(counts == 1)), **_compact("n2", add(counts == 2)), "low": low[by_low], **_compact("count", counts[by_low]),
+        })
+        rows = [_stats(f"level{level}", s, counts_of_counts(counts), int(counts.sum()), len(counts))]
+        if level > 2:
+            lower = _pieces(context_hash(middle), middle[1:], word, np.ones(len(word), np.int64), n_slices)
+        else:
+            words, follows = np.unique(word, return_counts=True)
+            bounds = blobs.slices(words, BITS, n_slices)
+            lower = ((t, blobs.encode([words[a:b], follows[a:b]], (0,))) for t, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b)
+        rows += [_stats("piece", s, [0] * 5, 0, 0) | {"target": t, "piece": piece} for t, piece in lower]
         return _table(rows)
 
     def sum_words(group: pa.Table) -> pa.Table:
@@ -192,19 +262,28 @@ def train(docs: DataFrame) -> Trained:
         _save(folder, f"word-{t}", {"key": words, "follows": follows.astype(np.uint32 if follows.max() < 1 << 32 else np.int64)})
         return _table([_stats("word", t, counts_of_counts(follows), int(follows.sum()), len(words))])
 
-    pieces = docs.select("text").where("text is not null").mapInArrow(count_blocks, "slice int, piece binary")
-    summed = pieces.groupBy("slice").applyInArrow(sum_slice, STATS)
-    # Statistics rows have target -1; they are spread by slice so that no group gathers them all.
-    summed = summed.withColumn("group", F.when(F.col("target") < 0, -1 - F.col("slice")).otherwise(F.col("target")))
+    summed = docs.select("text").where("text is not null").mapInArrow(count_blocks, "target int, piece binary").withColumn("group", F.col("target"))
+    for level in range(order, 1, -1):
+        summed = summed.groupBy("group").applyInArrow(sum_level(level), STATS)
+        # Statistics rows have target -1; they are spread by slice so that no group gathers them all.
+        summed = summed.withColumn("group", F.when(F.col("target") < 0, -1 - F.col("slice")).otherwise(F.col("target")))
     stats = materialise(summed.groupBy("group").applyInArrow(lambda table: sum_words(table.drop_columns("group")), STATS), "lm-stats")
     numbers = ["n1", "n2", "n3", "n4", "n3plus", "total", "types"]
     sums = {r["part"]: r for r in stats.groupBy("part").agg(*[F.sum(c).alias(c) for c in numbers]).collect()}
-    high, low = sums.get("bigram"), sums.get("word")
-    if high is None:
-        return Trained(uri, n_slices, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 0, 1.0)
-    d, e = (discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for r in (high, low))
+    low = sums.get("word")
+    if low is None:
+        return Trained(uri, n_slices, order, {k: discounts(0, 0, 0, 0) for k in range(2, order + 1)}, discounts(0, 0, 0, 0), 0, 0, 1.0)
+    d = {part: discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for part, r in sums.items()}
+    e = d["word"]
     rest = float(e[1] * low["n1"] + e[2] * low["n2"] + e[3] * low["n3plus"]) / low["total"]
-    return Trained(uri, n_slices, d, e, int(low["total"]), int(low["types"]), rest)
+    return Trained(uri, n_slices, order, {k: d[f"level{k}"] for k in range(2, order + 1)}, e, int(low["total"]), int(low["types"]), rest)
+
+
+def _sum_pieces(pieces: pa.ChunkedArray) -> list[np.ndarray]:
+    """[context, middle words ..., word, count] of the distinct n-grams of all pieces, in order."""
+    columns = [np.concatenate(x) for x in zip(*(_decode(p.as_py()) for p in pieces), strict=True)]
+    keep, counts = distinct_ngrams(columns[0], columns[-2], columns[-1])
+    return [*(c[keep] for c in columns[:-1]), counts]
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -219,10 +298,10 @@ class Reader:
         self.model, self.folder = model, local_path(model.folder)
         self.parts: dict[str, dict[str, np.ndarray] | None] = {}
 
-    def part(self, name: str, keys: tuple[str, ...]) -> dict[str, np.ndarray] | None:
+    def part(self, name: str) -> dict[str, np.ndarray] | None:
         if name not in self.parts:
-            path = lambda key: os.path.join(self.folder, f"{name}.{key}.npy")
-            self.parts[name] = {k: np.load(path(k), mmap_mode="r") for k in keys} if os.path.exists(path(keys[0])) else None
+            path = os.path.join(self.folder, name)
+            self.parts[name] = _load(path) if os.path.exists(path) else None
         return self.parts[name]
 
     def unigram(self, words: np.ndarray) -> np.ndarray:
@@ -232,7 +311,7 @@ class Reader:
         bounds = blobs.slices(words, BITS, m.slices)
         for t in range(m.slices):
             a, b = bounds[t], bounds[t + 1]
-            part = self.part(f"word-{t}", ("key", "follows")) if a < b else None
+            part = self.part(f"word-{t}") if a < b else None
             if part:
                 key = part["key"]
                 at = np.minimum(np.searchsorted(key, words[a:b]), len(key) - 1)
@@ -240,34 +319,53 @@ class Reader:
         rest = m.low_rest / (m.vocabulary + 1)
         return np.maximum(follows - m.low_discount[np.minimum(follows, 3)], 0) / max(1, m.continuations) + rest
 
-    def probability(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """p(second | first) of bigrams in order of (first, second)."""
-        m = self.model
-        words, place = np.unique(second, return_inverse=True)
-        low = self.unigram(words)[place]
-        out = low.copy()
-        bounds = blobs.slices(first, BITS, m.slices)
+    def probability(self, words: list[np.ndarray]) -> np.ndarray:
+        """p of the last word of each n-gram after the others."""
+        distinct, place = np.unique(words[-1], return_inverse=True)
+        p = self.unigram(distinct)[place]
+        for level in range(2, self.model.order + 1):
+            context = context_hash(words[-level:-1])
+            order = np.argsort(context)
+            p[order] = self._interpolate(level, context[order], words[-1][order], p[order])
+        return p
+
+    def _interpolate(self, level: int, context: np.ndarray, word: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """p in one order, in order of the contexts, from that in the order below."""
+        m, out = self.model, low.copy()
+        d = m.discount[level]
+        bounds = blobs.slices(context, BITS, m.slices)
         for s in range(m.slices):
             a, b = bounds[s], bounds[s + 1]
-            context = self.part(f"context-{s}", ("key", "offset", "total", "n1", "n2", "n3plus")) if a < b else None
-            if not context:
+            part = self.part(f"level{level}-{s}") if a < b else None
+            if not part:
                 continue
-            successor = self.part(f"successor-{s}", ("low", "count", "big_at", "big"))
-            each, back = np.unique(first[a:b], return_inverse=True)
-            at = np.minimum(np.searchsorted(context["key"], each), len(context["key"]) - 1)
-            known = context["key"][at] == each
-            offset = context["offset"]
-            counts = _ragged_counts(successor, offset[at][back], offset[at + 1][back], (second[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            total = context["total"][at].astype(np.float64)
-            rest = (m.discount[1] * context["n1"][at] + m.discount[2] * context["n2"][at] + m.discount[3] * context["n3plus"][at]) / total
-            p = np.maximum(counts - m.discount[np.minimum(counts, 3)], 0) / total[back] + rest[back] * low[a:b]
+            begins = _runs(context[a:b])
+            each, back = context[a:b][begins], np.repeat(np.arange(len(begins)), np.diff(np.concatenate((begins, [b - a]))))
+            at, known = _find_context(part, each)
+            begin, end = part["offset"][at].astype(np.int64), part["offset"][at + 1].astype(np.int64)
+            counts = _ragged_counts(part, begin[back], end[back], (word[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            total, n1, n2 = (_counts(part, name, at) for name in ("total", "n1", "n2"))
+            rest = (d[1] * n1 + d[2] * n2 + d[3] * (end - begin - n1 - n2)) / total
+            p = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total[back] + rest[back] * low[a:b]
             out[a:b] = np.where(known[back], p, low[a:b])
         return out
 
 
-def _ragged_counts(successor: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+def _find_context(part: dict[str, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the contexts, whether it is there)."""
+    high, key_low = part["high"], part["key_low"]
+    want, want_low, last = (wanted >> np.uint64(16)).astype(np.uint32), (wanted & np.uint64(0xFFFF)).astype(np.uint16), len(high) - 1
+    at = np.minimum(np.searchsorted(high, want), last)
+    while True:  # contexts of equal high bits are few
+        move = np.flatnonzero((at < last) & (high[at] == want) & (key_low[at] < want_low))
+        if not len(move):
+            return at, (high[at] == want) & (key_low[at] == want_low)
+        at[move] += 1
+
+
+def _ragged_counts(part: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Counts by binary search for wanted[i] among the successors low[i] to high[i]."""
-    keys = successor["low"]
+    keys = part["low"]
     a, b = low.copy(), high.copy()
     open_ = np.flatnonzero(a < b)
     while len(open_):
@@ -277,11 +375,7 @@ def _ragged_counts(successor: dict[str, np.ndarray], low: np.ndarray, high: np.n
         b[open_[~below]] = middle[~below]
         open_ = open_[a[open_] < b[open_]]
     at = np.minimum(a, len(keys) - 1)
-    counts = np.where((a < high) & (keys[at] == wanted), successor["count"][at], 0).astype(np.int64)
-    big = np.flatnonzero(counts == 255)
-    if len(big):
-        counts[big] = successor["big"][np.searchsorted(successor["big_at"], at[big])]
-    return counts
+    return np.where((a < high) & (keys[at] == wanted), _counts(part, "count", at), 0)
 
 
 def score(docs: DataFrame, model: Trained) -> DataFrame:
@@ -292,8 +386,8 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
         for batch in batches:
             held, size = [], 0
             for start, some in chunks(x.as_py() for x in batch.column(1)):
-                held.append((start, *word_sequence(some)))
-                size += len(held[-1][1])
+                held.append((start, *word_sequence(some, model.order)))
+                size += int(held[-1][2].sum())
                 if size >= BLOCK_TOKENS:
                     yield rows(batch, reader, held)
                     held, size = [], 0
@@ -301,10 +395,8 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
                 yield rows(batch, reader, held)
 
     def rows(batch: pa.RecordBatch, reader: Reader, held: list[tuple]) -> pa.RecordBatch:
-        first, second, per_text = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-        order = np.lexsort((second, first))
-        p = np.empty(len(first))
-        p[order] = reader.probability(first[order], second[order])
+        words, per_text = [np.concatenate(x) for x in zip(*(h[1] for h in held), strict=True)], np.concatenate([h[2] for h in held])
+        p = reader.probability(words)
         owner = np.repeat(np.arange(len(per_text)), per_text)
         log_prob = np.bincount(owner, np.log(p), len(per_text))
         empty = per_text == 0
@@ -317,6 +409,6 @@ def score(docs: DataFrame, model: Trained) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, log_prob double, perplexity double")
 
 
-def perplexity(docs: DataFrame) -> DataFrame:
+def perplexity(docs: DataFrame, order: int = 2) -> DataFrame:
     """Every document scored by the model of all documents."""
-    return score(docs, train(docs))
+    return score(docs, train(docs, order))

@@ -27,7 +27,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.perplexity(table(spark, sf_dir, "documents"))
+    return language_model.perplexity(table(spark, sf_dir, "documents"), order=3)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from loomspan.llm import language_model as lm
+from loomspan.llm import queries
 
 TEXTS = [
     "the cat sat on the mat", "the cat sat on the hat", "The dog, the cat; the bird!", "a bird sat on a wire and a cat sat on the wire",
@@ -90,3 +91,57 @@ def test_empty_table_and_clashing_columns(spark):
     assert lm.perplexity(spark.createDataFrame([], schema)).collect() == []
     rows = lm.perplexity(spark.createDataFrame([(1, "a b", "s", "p", "x", "t")], schema)).collect()
     assert len(rows) == 1 and rows[0]["n_tokens"] == 3
+
+
+def brute_of_order(texts, order):
+    """(predictions of each text as tuples, p of a tuple) by the recursive definition."""
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    padded = [["<s>"] * (order - 1) + w + ["</s>"] if w else [] for w in words]
+    grams = [[tuple(s[i : i + order]) for i in range(len(s) - order + 1)] for s in padded]
+    counts = {order: Counter(g for s in grams for g in s)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    ds = {}
+    for k, c in counts.items():
+        n = Counter(c.values())
+        ds[k] = lm.discounts(n[1], n[2], n[3], n[4])
+    after = {k: defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            after[k][g[:-1]].append(n)
+
+    def p(g):
+        k = len(g)
+        ns = after[k].get(g[:-1])
+        if ns is None:
+            return p(g[1:])
+        n, rest = counts[k][g], sum(ds[k][min(x, 3)] for x in ns) / sum(ns)
+        return max(n - ds[k][min(n, 3)], 0) / sum(ns) + rest * (p(g[1:]) if k > 1 else 1 / (len(counts[1]) + 1))
+
+    return grams, p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_every_order_equals_the_definition(spark, order):
+    texts = [*TEXTS * 2, "x y " * 400, "x y " * 400, "sat the cat on the mat"]
+    grams, p = brute_of_order(texts, order)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm.train(docs, order)
+    got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
+    for i, s in enumerate(grams):
+        assert got[i]["n_tokens"] == len(s)
+        if s:
+            assert got[i]["log_prob"] == pytest.approx(sum(math.log(p(g)) for g in s), rel=1e-9)
+    new = "on the wire sat zyx and the cat sat on"
+    w = ["<s>"] * (order - 1) + new.split() + ["</s>"]
+    (row,) = lm.score(spark.createDataFrame([(1, new)], "doc_id bigint, text string"), model).collect()
+    assert row["log_prob"] == pytest.approx(sum(math.log(p(tuple(w[i : i + order]))) for i in range(len(w) - order + 1)), rel=1e-9)
+    assert lm.perplexity(docs.limit(0), order).collect() == []
+
+
+def test_the_query_looks_at_more_than_the_previous_word(spark, tmp_path):
+    # The same bigrams in other order: only a model of order 3 or more tells them apart.
+    texts = ["a b c b a b c"] * 9 + ["a b a b c b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["log_prob"] for r in queries.op5_lm_perplexity(spark, str(tmp_path)).collect()}
+    assert got[9] < got[0] - 1
