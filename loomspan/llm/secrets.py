@@ -52,7 +52,6 @@ _SHAPES = (
     ("web_token", re.compile(r"(?<![A-Za-z0-9])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}")),
     ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----|$)")),
 )
-_HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "signature", "salt", "cookie", "contrase", "clave", "kennwort", "geheim", "://")
 _SHAPE_HINTS = re.compile(r"AKIA|ASIA|AGPA|AROA|AIDA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_|sk-|AIza|SG\.|eyJ|-----BEGIN")
 
 _QUOTED = r"""\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|[rbfuRBFU]{0,2}\"(?:[^"\\\n]|\\.)*\"|[rbfuRBFU]{0,2}'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
@@ -135,8 +134,10 @@ def lex(text: str) -> list[tuple[str, str, list[Literal]]]:
         rule = "flag" if m["flag"] else "assignment" if m["op"] != ":" else "mapping"
         literals: list[Literal] = []
         pos = m.end()
+        loose = False
         while a := _ATOM.match(text, pos):
-            literals += _atom(a, known, rule)
+            loose = loose or rule == "mapping" and bool(a["bare"]) and a["bare"].rstrip(".:!?").lstrip("$") not in known and not re.search(r"\d", a["bare"])
+            literals += _atom(a, known)
             joint = _PLUS.match(text, a.end()) if a["quoted"] or a["bare"] in known else None
             if not joint or (not joint.group().strip() and not a["quoted"]):
                 pos = a.end()
@@ -145,11 +146,12 @@ def lex(text: str) -> list[tuple[str, str, list[Literal]]]:
         if literals:
             out.append((name, rule, literals))
             known[name] = known[name.rpartition(".")[2]] = (known.get(name, []) if m["op"] == "+=" else []) + literals
-        at = max(m.end(), pos if literals else m.end())
+        # An unquoted value after a colon may be prose or a name itself; it is read on from its start.
+        at = pos if literals and not loose else m.end()
     return out
 
 
-def _atom(a: re.Match, known: dict[str, list[Literal]], rule: str) -> list[Literal]:
+def _atom(a: re.Match, known: dict[str, list[Literal]]) -> list[Literal]:
     if a["quoted"]:
         body = a["quoted"].lstrip("rbfuRBFU")
         edge = 3 if body[:3] in ('"""', "'''") else 1
@@ -163,8 +165,6 @@ def _atom(a: re.Match, known: dict[str, list[Literal]], rule: str) -> list[Liter
     value = a["bare"].rstrip(".:!?")
     if value.lstrip("$") in known:
         return list(known[value.lstrip("$")])
-    if rule == "mapping" and not re.search(r"\d", value):
-        return []  # prose after a colon
     return [Literal(a.start(), a.start() + len(value), value)] if value else []
 
 
@@ -178,8 +178,7 @@ def scan(text: str | None) -> list[Finding]:
         if f.score >= THRESHOLD and ((f.start, f.end) not in best or best[f.start, f.end].score < f.score):
             best[f.start, f.end] = f
 
-    low = text.lower()
-    if any(h in low for h in _HINTS) and any(c in text for c in "=:<-"):
+    if any(c in text for c in "=:<-"):  # every assignment has one of these
         for name, rule, literals in lex(text):
             weight = 1.0 if rule == "url" else name_weight(name)
             if weight * 1.0 < THRESHOLD:

@@ -152,6 +152,19 @@ def test_no_secrets(text):
     assert secrets.scan(text) == []
 
 
+def test_every_weighted_name_is_read():
+    names = [*secrets.SENSITIVE, *("_".join(p) for p in secrets._PAIRED), "contra_seña", "Mot-De-Passe"]
+    for name in (n for n in names if secrets.name_weight(n) >= 0.55):
+        for text in (f'{name} = "Zq81LmTx90PvWc3R"', f"{name}: Zq81LmTx90PvWc3R"):
+            assert [f.value for f in secrets.scan(text)] == ["Zq81LmTx90PvWc3R"], text
+    assert [f.name for f in secrets.scan('AWS_ACCESS_ID = "Zq81LmTx90PvWc3R"')] == ["AWS_ACCESS_ID"]
+
+
+def test_unquoted_mapping_values_without_digits():
+    assert [(f.name, f.value) for f in secrets.scan("db:\n  user: admin\n  password: Horse!Battery_Zx\n")] == [("password", "Horse!Battery_Zx")]
+    assert [(f.name, f.value) for f in secrets.scan("secrets: password: Foo9!barQ")] == [("password", "Foo9!barQ")]
+
+
 def test_concatenation_and_spark(spark):
     assert [f.value for f in secrets.scan('a = "abc123"; b = "def456Q"\nAPI_KEY = a + b')] == ["abc123", "def456Q"]
     rows = [(i, s[0]) for i, s in enumerate(SECRETS)] + [(70, None), (71, ""), (None, SECRETS[0][0]), (72, SECRETS[0][0]), (72, SECRETS[0][0]), (73, "y " * 60_000 + SECRETS[0][0])]
