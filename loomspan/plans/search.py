@@ -125,3 +125,19 @@ def xref_lookup(spark, sf_dir):
 )
 def related_docs(spark, sf_dir):
     return S.related(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+# The SQL of the three queries above holds for English only; these cover every document and are held against brute force.
+@register("xref_index_all_languages")
+def xref_index_all_languages(spark, sf_dir):
+    return S.xref_index(table(spark, sf_dir, "documents"))
+
+
+@register("xref_lookup_all_languages")
+def xref_lookup_all_languages(spark, sf_dir):
+    return S.xref_lookup(table(spark, sf_dir, "documents"), "Version")
+
+
+@register("related_docs_all_languages")
+def related_docs_all_languages(spark, sf_dir):
+    return S.related(table(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import re
 import sqlite3
 import tarfile
 
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomspan import registry
 from loomspan.functions import html, url
 from loomspan.functions import text as T
 from loomspan.operators import catalog, chunking, ingest, jobs, search
@@ -193,3 +195,17 @@ def test_sidecars(spark, tmp_path):
         (tmp_path / f"{name}.meta.json").write_text(json.dumps({"checksum": hashlib.sha256(body).hexdigest(), "byte_count": len(body) + wrong}))
     got = {r["path"].rsplit("/", 1)[-1]: r["valid"] for r in external.checked_sidecars(spark, str(tmp_path)).collect()}
     assert got == {"a.json": True, "b.json": False}
+
+
+def test_cross_references_cover_every_language(spark, tmp_path):
+    texts = [
+        (1, "The Version of HttpClient", "en"), (2, "Die Version für HttpClient, größeWert und read_file", "de"), (3, "La Version, été Élan read_file()", "fr"),
+        (4, "Sin idioma: Version read_file", None), (5, None, "es"), (6, "nada aquí", "es"),
+    ]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pattern = r"\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+|[_A-Za-z][_0-9A-Za-z]*\(\))\b"
+    ids = {d: [x for x in dict.fromkeys(re.findall(pattern, t or "")) if len(x) >= 3] for d, t, _ in texts}
+    run = lambda name: [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(run("xref_index_all_languages")) == sorted((x, d) for d, found in ids.items() for x in found)
+    assert {(lang, n, tuple(docs)) for lang, n, docs in run("xref_lookup_all_languages")} == {("en", 1, (1,)), ("de", 1, (2,)), ("fr", 1, (3,)), (None, 1, (4,))}
+    assert {(a, b) for a, b, _ in run("related_docs_all_languages")} == {(a, b) for a in ids for b in ids if a != b and set(ids[a]) & set(ids[b])}
