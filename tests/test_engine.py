@@ -209,3 +209,17 @@ def test_cross_references_cover_every_language(spark, tmp_path):
     assert sorted(run("xref_index_all_languages")) == sorted((x, d) for d, found in ids.items() for x in found)
     assert {(lang, n, tuple(docs)) for lang, n, docs in run("xref_lookup_all_languages")} == {("en", 1, (1,)), ("de", 1, (2,)), ("fr", 1, (3,)), (None, 1, (4,))}
     assert {(a, b) for a, b, _ in run("related_docs_all_languages")} == {(a, b) for a in ids for b in ids if a != b and set(ids[a]) & set(ids[b])}
+
+
+def test_sizes_of_every_unit(spark, tmp_path):
+    sizes = [0, 1023, 1024, 1536, 999_999, 1_000_000, 1 << 20, 5 << 20, 3 << 29, 7 << 30, 3 << 40, 5000 << 40, None]
+    spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(n):
+        power = 0
+        while n is not None and power < 4 and n >= 1024 ** (power + 1):
+            power += 1
+        return None if n is None else f"{n} B" if not power else f"{n / 1024**power:.1f} {('KB', 'MB', 'GB', 'TB')[power - 1]}"
+
+    got = {r["doc_id"]: r["size"] for r in registry.queries()["format_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute(n) for i, n in enumerate(sizes)}
