@@ -5,6 +5,7 @@ import json
 import re
 import sqlite3
 import tarfile
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -223,3 +224,16 @@ def test_sizes_of_every_unit(spark, tmp_path):
 
     got = {r["doc_id"]: r["size"] for r in registry.queries()["format_bytes"](spark, str(tmp_path)).collect()}
     assert got == {i: brute(n) for i, n in enumerate(sizes)}
+
+
+def test_slugs_of_whole_texts(spark, tmp_path):
+    texts = ["Ünï cödé " * 20 + "Ende: größe", "a" * 39 + " é b", "aux", "", None, "--- " * 30 + "É"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+        slug = re.sub("[^0-9a-z]+", "-", plain.lower()).strip("-") or "document"
+        return f"{slug}-item" if slug == "aux" else slug
+
+    got = {r["doc_id"]: r["slug"] for r in registry.queries()["slugify_unicode"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
