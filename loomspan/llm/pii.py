@@ -85,7 +85,7 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4
 _CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d(?:[ -]\d){12,18})(?![\w-])")
 _SSN = re.compile(r"(?<![\w.-])(?!000|666|9\d\d)\d{3}([- ])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])")
 _IPV4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)")
-_PHONE = re.compile(r"(?<![\w.+])(?:\+\s?\d{1,3}|00\d{1,3})?[ .-]*(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]{0,2}\d{2,4}){1,5}(?!\w)")
+_PHONE = re.compile(r"(?<![\w.+])(?:\+\s?\d{1,3}|00\d{1,3})?[ .-]*(?:\(\d{1,4}\)|0\d{2,4} ?/ ?|\d{1,4})(?:[ .-]{0,2}\d{2,4}){1,5}(?!\w)")
 
 
 class Normal:
@@ -212,7 +212,7 @@ def _phone(surface: str) -> str | None:
     digits = re.sub(r"\D", "", surface)
     if "+" in surface or surface.startswith("00"):
         return "+" + digits if 7 <= len(digits) <= 15 else None
-    if "." in surface and not re.fullmatch(r"\(?\d{3}\)?[.]\d{3}[.]\d{4}", surface.strip()):
+    if "." in surface and "/" not in surface and not re.fullmatch(r"\(?\d{3}\)?[.]\d{3}[.]\d{4}|0\d(?:[.]\d{2}){4}", surface.strip()):
         return None  # dotted numbers are versions and decimals
     return digits if 10 <= len(digits) <= 15 and len(set(digits)) > 1 else None
 

@@ -105,6 +105,16 @@ def test_clean_text_is_left_alone(text):
     assert pii.detect(text) == [] and pii.redact_text(text) == text
 
 
+def test_phones_with_dots_and_slashes():
+    for text, surface, value in (
+        ("tel 06.12.34.56.78, merci", "06.12.34.56.78", "0612345678"), ("Tel. 030/12345678 oder", "030/12345678", "03012345678"), ("Tel. 0171 / 123 45 67 oder", "0171 / 123 45 67", "01711234567"),
+    ):
+        assert [(k, text[a:b], v) for k, a, b, v in pii.detect(text)] == [("phone", surface, value)]
+        assert pii.redact_text(text) == text.replace(surface, "[PHONE]")
+    for text in ("am 01/02/2024 um 10.30", "v 10.12.34.56.78", "010/12 von 2024"):
+        assert pii.detect(text) == []
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from([c[0] for c in CASES] + ["plain words", "é ß", "​", "at", "dot", "five", "@", "４２"]), max_size=6), st.text(max_size=20))
 def test_normal_form_keeps_offsets(parts, noise):
