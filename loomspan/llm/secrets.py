@@ -27,9 +27,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,30 +43,35 @@ SENSITIVE = {
     "accesskey": 1.0, "secretkey": 1.0, "privatekey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.8, "authorization": 0.9, "bearer": 0.9, "signature": 0.6, "salt": 0.6,
     "key": 0.6, "cookie": 0.55, "contraseña": 1.0, "clave": 0.7, "passwort": 1.0, "kennwort": 1.0, "geheimnis": 0.8, "motdepasse": 1.0,
 }
-_PAIRED = {("api", "key"): 1.0, ("access", "key"): 1.0, ("secret", "key"): 1.0, ("private", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("access", "id"): 0.8, ("key", "id"): 0.6, ("client", "id"): 0.4}
+_PAIRED = {("api", "key"): 1.0, ("access", "key"): 1.0, ("secret", "key"): 1.0, ("private", "key"): 1.0, ("encryption", "key"): 1.0, ("signing", "key"): 1.0, ("access", "id"): 0.8, ("key", "id"): 0.6, ("client", "id"): 0.5}
 _METADATA = {"count", "counts", "length", "len", "size", "max", "min", "limit", "hint", "name", "names", "type", "field", "label", "path", "file", "url", "uri", "endpoint", "expiry", "expires", "ttl", "policy", "regex", "pattern", "format", "public", "header", "prompt", "reset", "index", "column", "version", "enabled", "required", "rate", "budget", "usage"}
-_PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|<.*>|\[.*\]|\{\{?.*\}\}?|\$\{?\w+\}?|%\w+%|your[-_ ].*|.*(?:change[-_ ]?me|placeholder|example|redacted|dummy|sample|insert|todo).*|none|null|nil|true|false|undefined|test|password|secret|token|string|os\.environ.*|process\.env.*|getenv.*)$")
+#: Values that stand for a secret: as a whole, or by a word of their own in them.
+_PLACEHOLDER = re.compile(
+    r"(?i)(?:x{3,}|\*{3,}|\.{3,}|<.*>|\[.*\]|\{\{?.*\}\}?|\$\{?\w+\}?|%\w+%|your[-_ ].*|none|null|nil|true|false|undefined|test|password|secret|token|string|(?:example|sample|dummy)\d*|os\.environ.*|process\.env.*|getenv.*)$"
+    r"|.*(?<![^\W_])(?:change[-_ ]?me|placeholder|example|redacted|dummy|sample|insert|todo)\d*(?![^\W_])|.*(?-i:EXAMPLE(?:KEY)?)$",
+    re.S,
+)
 _SHAPES = (
     ("key_id", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("hosting_token", re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,})")),
     ("chat_token", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("service_key", re.compile(r"(?<![A-Za-z0-9])(?:[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|SG\.[\w-]{16,}\.[\w-]{16,})")),
-    ("web_token", re.compile(r"(?<![A-Za-z0-9])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}")),
+    ("web_token", re.compile(r"(?<![\w-])eyJ[\w-]{8,}+\.eyJ[\w-]{8,}\.[\w-]{8,}")),
     ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[\s\S]*?(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----|$)")),
 )
 _SHAPE_HINTS = re.compile(r"AKIA|ASIA|AGPA|AROA|AIDA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|[sr]k_|sk-|AIza|SG\.|eyJ|-----BEGIN")
 
-_QUOTED = r"""\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|[rbfuRBFU]{0,2}\"(?:[^"\\\n]|\\.)*\"|[rbfuRBFU]{0,2}'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
-_NAME = r"[^\W\d][\w.$-]*"
+_QUOTED = r"""\"\"\"(?:[^"\\]|\\.|"(?!""))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|[rbfuRBFU]{0,2}\"(?:[^"\\\n]|\\.)*+\"|[rbfuRBFU]{0,2}'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`"""
+#: Each alternative starts at a boundary and reads possessively, so that no stretch of text is read more than a few times.
 _ASSIGN = re.compile(
-    rf"""(?P<flag>(?<![\w-])--?(?P<flag_name>[A-Za-z][\w-]+)(?:=|[ \t]+))(?=[^\s-])
-    |<(?P<tag>[A-Za-z][\w.:-]*)>\s*(?P<tag_value>[^<>\n]+?)\s*</(?P=tag)>
-    |[a-z][a-z0-9+.-]*://[^\s/:@"']*:(?P<url_value>[^\s/@"']+)@
-    |(?:(?P<quoted_name>\"[^"\n]{{1,80}}\"|'[^'\n]{{1,80}}')\]?|(?P<name>{_NAME}))(?:[ \t]*:[ \t]*[A-Za-z_][\w\[\], .]*?(?=[ \t]*=[^=]))?[ \t]*(?P<op>:=|=>|\?=|\+=|=(?!=)|:(?![:/]))[ \t]*""",
+    r"""(?P<flag>(?<![\w-])--?(?P<flag_name>[A-Za-z][\w-]++)(?:=|[ \t]++))(?=[^\s-])
+    |<(?P<tag>[A-Za-z][\w.:-]*+)>(?P<tag_value>\s*+[^<>\n]++\s*+)</(?P=tag)>
+    |(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://[^\s/:@"']*+:(?P<url_value>[^\s/@"']++)@
+    |(?:(?P<quoted_name>\"[^"\n]++\"|'[^'\n]++')\]?|(?<![\w.$-])[\d.$-]*+(?P<name>[^\W\d][\w.$-]*+))(?:[ \t]*+:[ \t]*+[A-Za-z_][\w\[\], .\t]*+(?==[^=]))?[ \t]*+(?P<op>:=|=>|\?=|\+=|=(?!=)|:(?![:/]))[ \t]*+""",
     re.X,
 )
-_ATOM = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<bearer>(?:Bearer|Basic|Token)[ \t]+[\w.~+/=-]+)|(?P<bare>[^\s,;\"'`(){{}}\[\]<>|]+)")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`\w$])|[ \t]+(?=\"|')")
+_ATOM = re.compile(rf"(?P<quoted>{_QUOTED})|(?P<bearer>(?:Bearer|Basic|Token)[ \t]++[\w.~+/=-]++)|(?P<bare>[^\s,;\"'`(){{}}\[\]<>|]++)")
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+(?=[\"'`\w$])|[ \t]++(?=\"|')")
 _WORDS = re.compile(r"[A-ZÀ-Þ]?[a-zß-ÿ]+|[A-ZÀ-Þ]+(?![a-zß-ÿ])|\d+")
 _INNER = re.compile(r"\$\{(\w+)\}|\{(\w+)\}|\$(\w+)")
 
@@ -116,56 +123,100 @@ def literal_weight(value: str) -> float:
     return min(1.0, weight)
 
 
-def lex(text: str) -> list[tuple[str, str, list[Literal]]]:
-    """(name, rule, literals its value is made of) in order, constants propagated."""
-    known: dict[str, list[Literal]] = {}
-    out: list[tuple[str, str, list[Literal]]] = []
-    at = 0
+@dataclass(eq=False, slots=True)
+class Assigned:
+    """An assignment; its value is made of literals and of what was assigned before."""
+
+    name: str
+    rule: str
+    literals: list[Literal]
+    earlier: list[Assigned]
+
+    def all_literals(self) -> list[Literal]:
+        found, stack, seen = {}, [self], set()
+        while stack:
+            a = stack.pop()
+            if id(a) not in seen:
+                seen.add(id(a))
+                found |= dict.fromkeys(a.literals)
+                stack += a.earlier
+        return sorted(found, key=lambda lit: lit.start)
+
+
+def lex(text: str) -> list[Assigned]:
+    """The assignments in order."""
+    known: dict[str, Assigned] = {}
+    out: list[Assigned] = []
+    at = run = 0
     while m := _ASSIGN.search(text, at):
         if m["tag"]:
-            out.append((m["tag"], "element", [Literal(m.start("tag_value"), m.end("tag_value"), m["tag_value"])]))
+            value = m["tag_value"].strip()
+            start = text.index(value[0], m.start("tag_value")) if value else 0
+            out.append(Assigned(m["tag"], "element", [Literal(start, start + len(value), value)] if value else [], []))
             at = m.end()
             continue
         if m["url_value"]:
-            out.append(("url password", "url", [Literal(m.start("url_value"), m.end("url_value"), m["url_value"])]))
+            out.append(Assigned("url password", "url", [Literal(m.start("url_value"), m.end("url_value"), m["url_value"])], []))
             at = m.end()
             continue
         name = m["flag_name"] or (m["quoted_name"] or "")[1:-1] or m["name"]
         rule = "flag" if m["flag"] else "assignment" if m["op"] != ":" else "mapping"
-        literals: list[Literal] = []
+        found = Assigned(name, rule, [], [])
         pos = m.end()
         loose = False
-        while a := _ATOM.match(text, pos):
+        while a := _ATOM.match(text, pos, text.find(":", pos, run) if pos < run and text.find(":", pos, run) >= 0 else len(text)):
             loose = loose or rule == "mapping" and bool(a["bare"]) and a["bare"].rstrip(".:!?").lstrip("$") not in known and not re.search(r"\d", a["bare"])
-            literals += _atom(a, known)
+            _atom(a, known, found)
             joint = _PLUS.match(text, a.end()) if a["quoted"] or a["bare"] in known else None
             if not joint or (not joint.group().strip() and not a["quoted"]):
                 pos = a.end()
                 break
             pos = joint.end()
-        if literals:
-            out.append((name, rule, literals))
-            known[name] = known[name.rpartition(".")[2]] = (known.get(name, []) if m["op"] == "+=" else []) + literals
-        # An unquoted value after a colon may be prose or a name itself; it is read on from its start.
-        at = pos if literals and not loose else m.end()
+        if loose:
+            run = max(run, pos)
+        if found.literals or found.earlier:
+            if m["op"] == "+=" and name in known:
+                found.earlier.append(known[name])
+            out.append(found)
+            known[name] = known[name.rpartition(".")[2]] = found
+        # An unquoted value after a colon may be prose or a name itself; it is read on from its start.  In a chain
+        # like a:b:c only the first name gets the whole rest, those in it what stands up to the next colon.
+        at = pos if (found.literals or found.earlier) and not loose else m.end()
     return out
 
 
-def _atom(a: re.Match, known: dict[str, list[Literal]]) -> list[Literal]:
+def _atom(a: re.Match, known: dict[str, Assigned], into: Assigned) -> None:
     if a["quoted"]:
         body = a["quoted"].lstrip("rbfuRBFU")
         edge = 3 if body[:3] in ('"""', "'''") else 1
         start, value = a.end() - len(body) + edge, body[edge:-edge]
-        named = [x for groups in _INNER.findall(value) for x in groups if x in known]
-        inner = [lit for x in named for lit in known[x]]
-        return inner + ([Literal(start, a.end() - edge, value)] if value and not named else [])
-    if a["bearer"]:
+        named = list(dict.fromkeys(x for groups in _INNER.findall(value) for x in groups if x in known))
+        into.earlier += [known[x] for x in named]
+        into.literals += [Literal(start, a.end() - edge, value)] if value and not named else []
+    elif a["bearer"]:
         value = a["bearer"].split()[-1]
-        return [Literal(a.end() - len(value), a.end(), value)]
-    value = a["bare"].rstrip(".:!?")
-    if value.lstrip("$") in known:
-        return list(known[value.lstrip("$")])
-    return [Literal(a.start(), a.start() + len(value), value)] if value else []
+        into.literals.append(Literal(a.end() - len(value), a.end(), value))
+    else:
+        value = a["bare"].rstrip(".:!?")
+        if value.lstrip("$") in known:
+            into.earlier.append(known[value.lstrip("$")])
+        elif value:
+            into.literals.append(Literal(a.start(), a.start() + len(value), value))
+
+
+def _names_of_literals(assigned: list[Assigned]) -> Iterator[tuple[Literal, Assigned, float]]:
+    """Each literal with the most sensitive assignment that it reaches (the first of equals) and the weight of its name."""
+    best: dict[int, tuple[float, int]] = {}
+    for i in range(len(assigned) - 1, -1, -1):  # whatever uses an assignment comes after it
+        a = assigned[i]
+        own = (1.0 if a.rule == "url" else name_weight(a.name), -i)
+        top = best[id(a)] = max(own, best.get(id(a), own))
+        for e in a.earlier:
+            best[id(e)] = max(top, best.get(id(e), top))
+    for a in assigned:
+        weight, place = best[id(a)]
+        for lit in a.literals:
+            yield lit, assigned[-place], weight
 
 
 def scan(text: str | None) -> list[Finding]:
@@ -179,17 +230,16 @@ def scan(text: str | None) -> list[Finding]:
             best[f.start, f.end] = f
 
     if any(c in text for c in "=:<-"):  # every assignment has one of these
-        for name, rule, literals in lex(text):
-            weight = 1.0 if rule == "url" else name_weight(name)
-            if weight * 1.0 < THRESHOLD:
-                continue
-            for lit in literals:
-                offer(Finding(lit.start, lit.end, name, rule, round(weight * literal_weight(lit.value), 4), lit.value))
+        for lit, a, weight in _names_of_literals(lex(text)):
+            if weight >= THRESHOLD:
+                offer(Finding(lit.start, lit.end, a.name, a.rule, round(weight * literal_weight(lit.value), 4), lit.value))
     if _SHAPE_HINTS.search(text):
         for rule, pattern in _SHAPES:
+            starts = sorted(best)
+            reach = list(accumulate((end for _, end in starts), max))
             for m in pattern.finditer(text):
-                inside = [k for k in best if k[0] <= m.start() and m.end() <= k[1]]
-                if not inside:
+                k = bisect_right(starts, (m.start(), len(text)))
+                if not k or reach[k - 1] < m.end():
                     offer(Finding(m.start(), m.end(), "", rule, 0.95, m.group()))
     return [best[k] for k in sorted(best)]
 
