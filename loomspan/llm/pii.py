@@ -60,24 +60,29 @@ _DIGIT_WORDS = {
     for w in words.split()
 }
 _WORD = "(?:" + "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True)) + r"|[0-9])"
-_TIMES = r"(?:(?:double|triple)\s+)?"
-_GAP = r"(?:[ \t ]*[-.,/ \t\n][ \t]*)"
-_SPELLED = re.compile(rf"(?<![\w])(?:plus\s+)?{_TIMES}{_WORD}(?![\w])(?:{_GAP}{{1,2}}{_TIMES}{_WORD}(?![\w])){{2,}}", re.I)
-_SPELLED_PART = re.compile(rf"(?P<plus>plus)\s+|(?:(?P<times>double|triple)\s+)?(?P<word>{_WORD})(?![\w])|(?P<gap>{_GAP}{{1,2}})", re.I)
+_TIMES = r"(?:(?:double|triple)\s++)?"
+#: White space with up to two separators in it.  Possessive, so that a gap is read once.
+_GAP = r"(?=[-.,/\s])[ \t\xa0]*+(?:[-.,/\n][ \t\xa0]*+){0,2}"
+_SPELLED = re.compile(rf"(?<![\w])(?:plus\s++)?{_TIMES}{_WORD}(?![\w])(?:{_GAP}{_TIMES}{_WORD}(?![\w])){{2,}}", re.I)
+_SPELLED_PART = re.compile(rf"(?P<plus>plus)\s++|(?:(?P<times>double|triple)\s++)?(?P<word>{_WORD})(?![\w])|(?P<gap>{_GAP})", re.I)
 _SPELLED_HINTS = sorted({w for w in _DIGIT_WORDS if len(w) > 3 or w in ("two", "six", "dos")} | {"double", "triple"})
 
 _AT_WORD, _DOT_WORD = r"(?:at|@|arroba|arobase|ät)", r"(?:dot|\.|punkt|punto|point)"
-_OPEN, _CLOSE = r"[\[({<]\s*", r"\s*[\])}>]"
-_AT = rf"(?:\s*{_OPEN}{_AT_WORD}{_CLOSE}\s*|\s+(?:at|arroba|arobase)\s+|_at_|-at-|\s*@\s*)"
-_DOT = rf"(?:\s*{_OPEN}{_DOT_WORD}{_CLOSE}\s*|\s+(?:dot|punkt|punto|point)\s+|_dot_|-dot-|\s+\.\s+|\.)"
-_LABEL = r"[^\W_](?:[\w]|-(?=\w))*?"
-_DISGUISED = re.compile(
-    rf"(?<![\w.+%-])(?P<local>[\w+%-]+?(?:{_DOT}[\w+%-]+?){{0,4}})(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{0,5}}{_DOT}[^\W\d_]{{2,24}})(?![\w@])",
-    re.I,
+_OPEN, _CLOSE = r"[\[({<]\s*+", r"\s*+[\])}>]"
+#: Every character belongs to one token, and no alternative reads a run of white space more than once.
+_TOKEN = re.compile(
+    rf"(?P<at>\s*+{_OPEN}{_AT_WORD}{_CLOSE}\s*+|\s++(?:at|arroba|arobase)\s++|\s*+@\s*+)"
+    rf"|(?P<dot>\s*+{_OPEN}{_DOT_WORD}{_CLOSE}\s*+|\s++(?:dot|punkt|punto|point)\s++|\s++\.\s++|\.)"
+    r"|(?P<label>[\w+%-]++)|\s++|.",
+    re.I | re.S,
 )
-_DOTS = re.compile(_DOT, re.I)
-_BRACKETED_AT = re.compile(r"[\[({<_-]\s*(?:at|ät|arroba|arobase|@)\s*[\])}>_-]", re.I)
-_BARE_AT = re.compile(r"\s(?:at|arroba|arobase)\s+[\w-]+(?:\.\w|\s*[\[({<_-]\s*(?:dot|punkt|punto|point|\.)|\s+(?:dot|punkt|punto|point|\.)\s)", re.I)
+_JOINED = re.compile(r"_(at|dot)_|-(at|dot)-", re.I)
+_DOMAIN_LABEL = re.compile(r"[^\W_](?:[\w-]*\w)?")
+_LAST_LABEL = re.compile(r"[^\W\d_]{2,24}(?![\w@])")
+_BRACKETED_AT = re.compile(r"[\[({<_-]\s*+(?:at|ät|arroba|arobase|@)\s*+[\])}>_-]", re.I)
+#: Some of it stands in every disguised address that has a plain @.
+_LOOSE = re.compile(r"\s@|@\s|[\[({<]\s*+(?:dot|\.|punkt|punto|point)|[_-]dot[_-]|\s(?:dot|punkt|punto|point|\.)\s", re.I)
+_BARE_AT = re.compile(r"\s(?:at|arroba|arobase)\s++[\w-]+(?:\.\w|\s*[\[({<_-]\s*(?:dot|punkt|punto|point|\.)|\s+(?:dot|punkt|punto|point|\.)\s)", re.I)
 
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![\w@])")
@@ -85,7 +90,7 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4
 _CARD = re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5}|\d(?:[ -]\d){12,18})(?![\w-])")
 _SSN = re.compile(r"(?<![\w.-])(?!000|666|9\d\d)\d{3}([- ])(?!00)\d{2}\1(?!0000)\d{4}(?![\w-])")
 _IPV4 = re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\w)")
-_PHONE = re.compile(r"(?<![\w.+])(?:\+\s?\d{1,3}|00\d{1,3})?[ .-]*(?:\(\d{1,4}\)|0\d{2,4} ?/ ?|\d{1,4})(?:[ .-]{0,2}\d{2,4}){1,5}(?!\w)")
+_PHONE = re.compile(r"(?<![\w+])(?<!\w\.)(?:(?:\+\s?\d{1,3}|00\d{1,3})[ .-]*+)?(?:\(\d{1,4}\)|0\d{2,4} ?/ ?|\d{1,4})(?:[ .-]{0,2}\d{2,4}){1,5}(?!\w)")
 
 
 class Normal:
@@ -149,20 +154,63 @@ def _spelled_digits(n: Normal) -> None:
     n.rewrite(pieces)
 
 
+def _tokens(text: str) -> Iterator[tuple[str, int, int]]:
+    """(kind, from, to): labels, at and dot signs, and x for what parts them."""
+    for m in _TOKEN.finditer(text):
+        kind, at = m.lastgroup or "x", m.start()
+        if kind == "label":
+            for j in _JOINED.finditer(text, m.start(), m.end()):
+                if at < j.start():
+                    yield "label", at, j.start()
+                yield (j[1] or j[2]).lower(), j.start(), j.end()
+                at = j.end()
+        if at < m.end():
+            yield kind, at, m.end()
+
+
+def _addresses(text: str) -> Iterator[tuple[tuple[int, int], tuple[int, int], tuple[int, int], list[tuple[int, int]]]]:
+    """(local part, at sign, domain, dots) of what reads as an address, in order and apart.  Each token is looked at once a side."""
+    kinds = list(_tokens(text))
+    free = 0  # tokens before belong to an address already
+    for k, (kind, a, b) in enumerate(kinds):
+        if kind != "at" or k <= free - 1:
+            continue
+        i, dots = k, []
+        while i - 1 >= free and kinds[i - 1][0] == "label":
+            i -= 1
+            if not (i - 2 >= free and kinds[i - 1][0] == "dot" and kinds[i - 2][0] == "label"):
+                break
+            dots.append(kinds[i - 1][1:])
+            i -= 1
+        if i == k or kinds[i][1] and re.match(r"[\w.+%-]", text[kinds[i][1] - 1]):
+            continue
+        j, passed, end, used = k + 1, [], None, 0
+        while j < len(kinds) and kinds[j][0] == "label":
+            x, y = kinds[j][1:]
+            if passed and (m := _LAST_LABEL.match(text, x)):
+                end, used = m.end(), len(passed)
+                last = j
+            if not _DOMAIN_LABEL.fullmatch(text, x, y) or not (j + 1 < len(kinds) and kinds[j + 1][0] == "dot"):
+                break
+            passed.append(kinds[j + 1][1:])
+            j += 2
+        if end is not None:
+            free = last + 1
+            yield (kinds[i][1], a), (a, b), (b, end), dots[::-1] + passed[:used]
+
+
 def _at_and_dot(n: Normal) -> None:
     pieces = []
-    for m in _DISGUISED.finditer(n.text):
-        at, domain, local = m["at"], m["domain"], m["local"]
-        if at == "@" and not re.search(r"\s|[\[({<]|_dot_|-dot-", domain + local):
+    for (a, b), (c, d), (e, f), dots in _addresses(n.text):
+        local, at, domain = n.text[a:b], n.text[c:d], n.text[e:f]
+        if at == "@" and not re.search(r"\s|[\[({<]|_dot_|-dot-", domain + local, re.I):
             continue  # nothing is disguised
-        bare = re.fullmatch(r"\s+\w+\s+", at) is not None
+        bare = re.fullmatch(r"\s++\w++\s++", at) is not None
         if bare and not re.search(r"\bdot\b|punkt|punto|\bpoint\b|[\[({<]", domain, re.I) and not re.search(r"[\d._+]", local):
             continue  # "meet at example.com"
         if re.search(r"\s\.\s", domain) and not re.search(r"\s", at):
             continue  # a sentence ends behind an address
-        for part in ("local", "domain"):
-            pieces += [(d.start(), d.end(), ".") for d in _DOTS.finditer(n.text, m.start(part), m.end(part))]
-        pieces.append((m.start("at"), m.end("at"), "@"))
+        pieces += [(x, y, ".") for x, y in dots] + [(c, d, "@")]
     n.rewrite(sorted(pieces))
 
 
@@ -172,7 +220,7 @@ def _may_spell(text: str) -> bool:
 
 
 def _may_disguise(text: str) -> bool:
-    return "@" in text or _BRACKETED_AT.search(text) is not None or _BARE_AT.search(text) is not None
+    return "@" in text and _LOOSE.search(text) is not None or _BRACKETED_AT.search(text) is not None or _BARE_AT.search(text) is not None
 
 
 def normalise(text: str) -> Normal:
@@ -232,16 +280,16 @@ def detect(text: str | None) -> list[tuple[str, int, int, str]]:
         return []
     n = normalise(text)
     found: list[tuple[str, int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(n.text))
     for kind, pattern, value_of in _DETECTORS:
         for m in pattern.finditer(n.text):
             a, b = m.span()
             while a < b and n.text[a] in " .-":
                 a += 1
             value = value_of(n.text[a:b])
-            if value is None or any(a < y and x < b for x, y in taken):
+            if value is None or taken.find(1, a, b) >= 0:
                 continue
-            taken.append((a, b))
+            taken[a:b] = b"\1" * (b - a)
             found.append((kind, *n.span(a, b), value))
     return sorted(found, key=lambda f: (f[1], f[2]))
 
