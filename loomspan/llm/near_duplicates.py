@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs
+from .components import components
 from .store import materialise, partitions
 from .words import chunks, gram_hashes, mix, word_hashes
 
@@ -265,53 +266,6 @@ def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
     return both.mapInArrow(check, "a bigint, b bigint")
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node in an edge (a, b); root is the lowest node it is connected with.
-
-    Alternates large-star and small-star, which needs rounds in the order of the logarithm of the nodes.
-    Up to LOCAL_EDGES edges the same is done in one go on the driver.
-    """
-    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = _print(edges)
-    if seen[0] <= LOCAL_EDGES:
-        return _local_components(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.col("v").alias("x"), "m").unionByName(low.select(F.col("u").alias("x"), "m"))
-            .where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        done = materialise(small, "edges")
-        now = _print(done)
-        if now == seen:
-            roots = done.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return done.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        edges, seen = done, now
-
-
-def _local_components(edges: DataFrame) -> DataFrame:
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up] if up in parent else up
-        return x
-
-    for batch in edges.toArrow().to_batches():
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
-            x, y = find(u), find(v)
-            parent[max(x, y)] = min(x, y)
-    rows = pa.table({"node": pa.array(list(parent), pa.int64()), "root": pa.array([find(x) for x in list(parent)], pa.int64())})
-    return materialise(edges.sparkSession.createDataFrame(rows), "components")
-
-
 def _placed(places: DataFrame, known: DataFrame) -> DataFrame:
     """The lists (list_id, weight, node, size, shared, root) of which not all nodes are in one component, roots brought up to date."""
     rows = places.drop("root").join(_small(known), "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -19,7 +19,12 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_pairs(table(spark, sf_dir, "embeddings"))
+    return vectors.near_classes(table(spark, sf_dir, "embeddings"))
+
+
+def embedding_planted_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate classes of the embeddings with two near copies of each added."""
+    return vectors.near_classes(vectors.with_planted_copies(table(spark, sf_dir, "embeddings")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "embedding_planted_copies": embedding_planted_copies,
     }
 
 
@@ -72,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mix_sources": mixing.SQL,
         "op2_ngram_jaccard": near_duplicates.SQL,
         "op3_embedding_near_duplicates": vectors.SQL,
+        "embedding_planted_copies": vectors.SQL_PLANTED,
     }
