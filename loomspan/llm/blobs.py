@@ -48,10 +48,8 @@ def decode(blob: bytes) -> list[np.ndarray]:
 
 def slices(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     """Bounds in sorted ``bits``-bit hashes of ``buckets`` equal slices of their range."""
-    cuts = np.array([(b << bits) // buckets for b in range(buckets + 1)], np.uint64)
-    bounds = np.searchsorted(hashes, cuts, "left")
-    bounds[-1] = len(hashes)
-    return bounds
+    cuts = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(hashes, cuts, "left"), len(hashes))
 
 
 def slice_of(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:

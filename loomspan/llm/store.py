@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -45,5 +46,31 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Characters whose hashes one slice of a hash range takes: about 3 million hashes, or 200 MB with what is made of them.
+SLICE_CHARACTERS = 16_000_000
+
+
+def slices_for(rows: DataFrame, column: str) -> int:
+    """Slices of a hash range that hold a bounded number of the words of all texts each, one for each shuffle partition at least."""
+    characters = rows.agg(F.sum(F.length(column))).first()[0] or 0
+    return max(partitions(rows.sparkSession), -(-characters // SLICE_CHARACTERS))
+
+
+def integral(df: DataFrame, name: str) -> Column:
+    """A column of whole numbers as bigint."""
+    kind = dict(df.dtypes)[name]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} is {kind}; an integral type is needed")
+    return df[name].cast("bigint")
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

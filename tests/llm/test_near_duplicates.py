@@ -8,6 +8,7 @@ import pytest
 
 from loomspan.llm import near_duplicates as nd
 from loomspan.llm import vectors
+from loomspan.llm.components import components
 
 
 def sets_of(text, n):
@@ -67,7 +68,7 @@ def test_groups_equal_all_pairs(seed, n, t, frequent):
 def _groups_local(rows, n, t, frequent):
     """Candidates by shared signatures, every one verified: what the join must find, without Spark."""
     usable = [(d, x) for d, x in rows if d is not None and x]
-    tokens, counts = nd.token_sets([x for _, x in usable], n, 48)
+    tokens, counts = nd.token_sets([x for _, x in usable], n)
     owner = np.repeat(np.arange(len(counts)), counts)
     each, inverse, df = np.unique(tokens, return_inverse=True, return_counts=True)
     frequency = df[inverse]
@@ -97,15 +98,44 @@ def _groups_local(rows, n, t, frequent):
     return {(d, min(g), len(g)) for g in groups.values() if len(g) > 1 for d in g}
 
 
-def test_join_in_spark_equals_all_pairs(spark):
+def brute_links(rows, n, t):
+    """Linked (id, text) entries of other rows, equal rows once, summed by id."""
+    entries = list({(d, frozenset(sets_of(x, n))) for d, x in rows if d is not None and sets_of(x, n)})
+    found = {}
+    for i, (d, a) in enumerate(entries):
+        found[d] = found.get(d, 0) + sum(len(a & b) >= t * len(a | b) for k, (_, b) in enumerate(entries) if k != i)
+    return found
+
+
+@pytest.mark.parametrize("cell", [3, 2048])
+def test_join_in_spark_equals_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(nd, "CELL", cell)
+    monkeypatch.setattr(nd, "COMMON", 4 if cell == 3 else 24)
     rows = corpus(7, 150) + [(900, None), (901, ""), (None, "w1 w2 w3 w4"), (902, "w1 w2"), (903, "w1 w2"), (5, "w1 w2 w3 w4 w5"), (904, "Long " * 3000)] + corpus(7, 3)
-    docs = spark.createDataFrame([(d, x, "a", "b") for d, x in rows], "doc_id bigint, text string, tokens string, block string")
-    got = nd.near_duplicate_groups(docs)
+    docs = spark.createDataFrame([(d, x, "a", "b", 1, 2) for d, x in rows], "doc_id bigint, text string, tokens string, block string, other int, count int")
+    got = nd.near_duplicate_groups(docs).collect()
     want = brute_groups(rows, 3, 0.5)
-    assert {tuple(r) for r in got.collect()} == want
-    kept = nd.keep_one_of_each(docs).collect()
+    assert {tuple(r)[:3] for r in got} == want and len(got) == len(want)
+    links = brute_links(rows, 3, 0.5)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {d: links[d] for d, _, _ in want}
+    kept = nd.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
     drop = {d for d, g, _ in want if d != g}
-    assert sorted(str(r["doc_id"]) for r in kept) == sorted(str(d) for d, _ in {(d, x) for d, x in rows} if d not in drop)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, _ in {(d, x) for d, x in rows} if d not in drop)
+
+
+def test_tiny_documents_that_share_one_frequent_phrase(spark):
+    """Documents of one and two n-grams; the shared one is frequent, and only those with the document of one n-gram join."""
+    rows = [(i, f"a b c x{i}") for i in range(300)] + [(1000, "a b c"), (1001, "d e f"), (1002, "d e f g")] + [(2000 + i, f"p q r y{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["n_links"] for r in nd.near_duplicate_groups(docs).collect()}
+    assert got == {**dict.fromkeys(range(300), 1), 1000: 300, 1001: 1, 1002: 1}
+
+
+def test_ids_are_integral(spark):
+    docs = spark.createDataFrame([("1", "a b c d")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="integral"):
+        nd.near_duplicate_groups(docs)
 
 
 def test_join_of_nothing(spark):
@@ -115,28 +145,71 @@ def test_join_of_nothing(spark):
     assert nd.near_duplicate_groups(alone).collect() == [] and nd.keep_one_of_each(alone).count() == 2
 
 
-def test_components_of_joins_and_driver_agree(spark, monkeypatch):
+def test_components_equal_a_walk(spark):
     r = random.Random(3)
-    edges = spark.createDataFrame([(r.randrange(200), r.randrange(200)) for _ in range(150)], "a bigint, b bigint")
-    local = {tuple(x) for x in nd.components(edges).collect()}
-    monkeypatch.setattr(nd, "LOCAL_EDGES", -1)
-    assert {tuple(x) for x in nd.components(edges).collect()} == local
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+    got = {tuple(x) for x in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {(x, find(x)) for x in list(parent)}
+
+
+def cosines(v):
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return u @ u.T
 
 
-def test_embedding_pairs(spark):
+@pytest.mark.parametrize("cell", [8, 4096])
+def test_embedding_classes_equal_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(vectors, "CELL", cell)
     r = np.random.default_rng(5)
     base = r.standard_normal((300, 16))
-    near = base[:80] + 0.05 * r.standard_normal((80, 16))
-    v = np.concatenate((base, near, base[:5], base[:3] * 7.0)).astype(np.float32)
-    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)] + [(400, None), (401, []), (402, [0.0] * 16), (403, [float("nan")] * 16), (None, [1.0] * 16), (404, [1.0, None] * 8), (405, [1.0] * 8), (0, [float(x) for x in v[0]])]
-    got = {(x["vec_a"], x["vec_b"]): x["cosine"] for x in vectors.near_pairs(spark.createDataFrame([(i, e, 1) for i, e in rows], "vec_id bigint, embedding array<float>, rep int")).collect()}
-    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
-    sim = u @ u.T
-    want = {(a, b): sim[a, b] for a in range(len(v)) for b in range(a + 1, len(v)) if sim[a, b] >= vectors.THRESHOLD}
-    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
-    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in got)
+    near = base[:80] + 0.02 * r.standard_normal((80, 16))
+    many = base[80] + 0.02 * r.standard_normal((60, 16))
+    v = np.concatenate((base, near, many, base[:5], base[:3] * 7.0)).astype(np.float32)
+    odd = [(1400, None), (1401, []), (1402, [0.0] * 16), (1403, [float("nan")] * 16), (None, [1.0] * 16), (1404, [1.0, None] * 8), (1405, [1.0] * 8), (0, [float(x) for x in v[0]])]
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)] + odd
+    table = spark.createDataFrame([(i, e, 1, 2, 3) for i, e in rows], "vec_id bigint, embedding array<float>, rep int, key int, h int")
+    got = {x["vec_id"]: (x["class_id"], x["n_links"]) for x in vectors.near_classes(table).collect()}
+    near = cosines(v) >= vectors.THRESHOLD
+    links = near.sum(axis=1) - 1
+    root = np.arange(len(v))
+    for _ in range(len(v)):
+        root = np.array([root[row].min() for row in near])
+    assert got == {i: (int(root[i]), int(links[i])) for i in range(len(v)) if links[i]}
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
-    assert vectors.near_pairs(empty).collect() == []
+    assert vectors.near_classes(empty).collect() == []
+
+
+def test_several_vectors_of_an_id_and_ties(spark):
+    rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [2.0, 0.0]), ("d", [-1.0, 0.0])]
+    got = vectors.near_classes(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), threshold=0.8, recall=0.999999).collect()
+    assert sorted(map(tuple, got)) == [("a", "a", 1), ("a", "a", 1), ("b", "a", 1), ("c", "a", 1)]  # 0.8 is reached exactly
+
+
+def test_promised_recall_at_the_threshold():
+    """Pairs exactly at the threshold meet in a table, and pass the sketches, as often as promised."""
+    r = np.random.default_rng(1)
+    a, b = r.standard_normal((2, 20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = vectors.THRESHOLD * a + np.sqrt(1 - vectors.THRESHOLD**2) * b
+    k, l = vectors.tables_for(10_000, vectors.THRESHOLD)
+    meet = (vectors.bucket_keys(a, k, l) == vectors.bucket_keys(near, k, l)).any(axis=1)
+    assert meet.mean() >= vectors.RECALL - 0.02
+    differ = np.bitwise_count(vectors.sketches(a) ^ vectors.sketches(near)).sum(axis=1)
+    assert differ.max() <= vectors.most_differing(vectors.THRESHOLD)
 
 
 def test_tables_follow_the_rows():
