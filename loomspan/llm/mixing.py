@@ -16,8 +16,9 @@ Defined cases
 * empty text: no tokens, so it shares the finish time of its predecessor
 * ties: rows equal in (source, doc_id, tokens) are peers: they are kept or left out together
 * a source of weight 0 or less is left out; an unlisted source has ``default_weight``
+* very long texts: counted whole; one of more tokens than are left of the budget ends the mix
 * empty table: empty mix
-* extra columns never matter: the operator reads doc_id, source and text by name
+* extra columns never matter, whatever their names: the operator reads doc_id, source and text by name; doc_id may be of any type that sorts
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise, partitions
+from .store import fresh, materialise, partitions
 
 WEIGHTS = {"src0": 3.0, "src1": 2.0, "src2": 2.0, "src3": 1.5}
 BUDGET_FRACTION = 0.7
@@ -114,19 +115,17 @@ def keep_mixed(docs: DataFrame, **options) -> DataFrame:
     decides every row and no text is shuffled.
     """
     seed = options.get("seed", SEED)
-    lowest = F.lit(-(1 << 63)).cast("bigint")
-    place = lambda key, doc_id, n: F.struct(key.alias("k"), F.coalesce(doc_id.cast("bigint"), lowest).alias("d"), n.alias("n"))
+    place = lambda key, doc_id, n: F.struct(key.alias("k"), doc_id.alias("d"), n.alias("n"))  # noqa: E731  (nulls compare as the lowest)
+    tag, last = fresh(docs, "tag"), fresh(docs, "last")
     mixed = mix_sources(docs, **options)
     cutoffs = materialise(
-        mixed.groupBy(_tag(F.col("source")).alias("__ls_tag")).agg(
-            F.max(place(F.col("shuffle_key"), F.col("doc_id"), F.col("n_tokens"))).alias("__ls_last")
-        ),
+        mixed.groupBy(_tag(F.col("source")).alias(tag)).agg(F.max(place(F.col("shuffle_key"), F.col("doc_id"), F.col("n_tokens"))).alias(last)),
         "mix-cutoffs",
     )
     if cutoffs.count() <= BROADCAST_SOURCES:
         cutoffs = F.broadcast(cutoffs)
-    kept = docs.withColumn("__ls_tag", _tag(docs["source"])).join(cutoffs, "__ls_tag")
-    return kept.where(place(_key(F.col("doc_id"), seed), F.col("doc_id"), word_tokens(F.col("text"))) <= F.col("__ls_last")).select(
+    kept = docs.withColumn(tag, _tag(docs["source"])).join(cutoffs, tag)
+    return kept.where(place(_key(F.col("doc_id"), seed), F.col("doc_id"), word_tokens(F.col("text"))) <= F.col(last)).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
 
