@@ -8,13 +8,15 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from loomspan.llm import mixing, packing
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tag string, slice string, n_tokens string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, tag string, slice string, n_tokens string, last string, __ls_tag string"
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(d, t, "en", s, 0, "x", "y", "z") for d, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, "en", s, 0, "x", "y", "z", "l", "keep") for d, t, s in rows], SCHEMA)
 
 
 def brute_mix(rows, weights, budget, seed=mixing.SEED, default=1.0):
@@ -52,6 +54,24 @@ def test_kept_rows_are_whole_and_those_of_the_mix(spark):
     assert order(kept.collect()) == order(want.collect())
 
 
+def test_ids_of_other_types(spark):
+    table = docs(spark, ROWS).withColumn("doc_id", F.concat(F.lit("k"), F.col("doc_id").cast("string")))
+    kept = mixing.keep_mixed(table, budget_fraction=0.5)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in mixing.mix_sources(table, budget_fraction=0.5).collect())
+    with pytest.raises(TypeError, match="integral"):
+        packing.pack_documents(table)
+
+
+def test_blocks_lose_little_and_repeated_rows_spread(spark):
+    r = np.random.default_rng(2)
+    demand = np.stack([r.integers(20, 1500, 3000), r.integers(1, 12, 3000), r.integers(5, 900, 3000)], axis=1)
+    whole = len(packing.pack_block(demand, (4096, 24, 3072)))
+    rows = spark.createDataFrame([(i, *map(int, d)) for i, d in enumerate(demand)], "example_id bigint, n_tokens bigint, n_segments bigint, n_loss bigint")
+    assert packing.pack(rows, (4096, 24, 3072), 500).count() <= 1.03 * whole
+    equal = packing.pack(spark.range(1, 2).selectExpr("id as example_id", "explode(sequence(1, 4000)) as n").selectExpr("example_id", "1 n_tokens", "1 n_segments", "1 n_loss"), (4, 4, 4), 100).collect()
+    assert sum(b["n_examples"] for b in equal) == 4000 and len({b["bin_id"].split("-")[0] for b in equal}) == 40 and len(equal) <= 1040
+
+
 def test_prefixes_follow_the_weights(spark):
     rows = [(i, "w " * 10, f"s{i % 2}") for i in range(2000)]
     got = mixing.mix_sources(docs(spark, rows), {"s0": 3.0, "s1": 1.0}, 0.3).collect()
@@ -86,6 +106,8 @@ def brute_pack(demand, limits):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 4), st.integers(0, 12)), max_size=25))
 def test_block_invariants(demand):
+    exact = (8, 4, 16)  # shares are exact in binary, so that ties are ties in both
+    assert packing.pack_block(np.array(demand, np.int64).reshape(-1, 3), exact) == brute_pack(demand, exact)
     bins = packing.pack_block(np.array(demand, np.int64).reshape(-1, 3), (10, 4, 8))
     assert sorted(i for m, _ in bins for i in m) == list(range(len(demand)))
     for members, over in bins:
