@@ -14,7 +14,8 @@ content follow from the scan, so a task that is run again replaces it by the sam
 
 Defined cases
 * null payload: a row with null digest and metadata; empty payload: stored as 0 bytes, type ``empty``
-* null id: ordered first; repeated rows and equal payloads: rows each, payload once
+* null id: carried, it owns a payload only if no other row has it; repeated rows and equal payloads: rows each, payload once
+* headers longer than HEADER_BYTES (pictures behind long profiles, sound behind long notes): read on, from marker to marker
 * ids given twice with different payloads: rows each
 * unknown or damaged headers: type ``application/octet-stream``, other metadata null
 * very long payloads: one member each; a shard is closed when it passes SHARD_BYTES
@@ -28,7 +29,7 @@ import os
 import re
 import struct
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -49,15 +50,16 @@ HEADER_SCHEMA = "media_type string, width int, height int, channels int, sample_
 _HEADER_FIELDS = [(f.split()[0], {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[f.split()[1]]) for f in HEADER_SCHEMA.split(", ")]
 
 
-def describe(head: bytes, size: int) -> dict:
-    """Metadata from the first bytes of a payload of ``size`` bytes."""
+def describe(head: bytes, size: int, read: Callable[[int, int], bytes] | None = None) -> dict:
+    """Metadata from the first bytes of a payload of ``size`` bytes; read(at, n) gives n bytes of it from further on."""
+    more = lambda at, n: head[at : at + n] if at + n <= len(head) or read is None else read(at, n)
     try:
-        return _describe(head, size)
+        return _describe(head, size, more)
     except (struct.error, IndexError, ValueError, UnicodeDecodeError):
         return {"media_type": "application/octet-stream"}
 
 
-def _describe(head: bytes, size: int) -> dict:
+def _describe(head: bytes, size: int, more: Callable[[int, int], bytes]) -> dict:
     if not size:
         return {"media_type": "empty"}
     if head[:8] == b"\x89PNG\r\n\x1a\n" and head[12:16] == b"IHDR":
@@ -70,20 +72,22 @@ def _describe(head: bytes, size: int) -> dict:
         width, height = struct.unpack("<ii", head[18:26])
         return {"media_type": "image/bmp", "width": width, "height": abs(height)}
     if head[:3] == b"\xff\xd8\xff":
-        at = 2
-        while at + 9 < len(head) and head[at] == 0xFF:
-            marker, length = head[at + 1], struct.unpack(">H", head[at + 2 : at + 4])[0]
+        at, part = 2, head[2:12]
+        while len(part) >= 4 and part[0] == 0xFF:
+            marker, length = part[1], struct.unpack(">H", part[2:4])[0]
             if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack(">HH", head[at + 5 : at + 9])
-                return {"media_type": "image/jpeg", "width": width, "height": height, "channels": head[at + 9]}
-            at += 2 + length
+                height, width = struct.unpack(">HH", part[5:9])
+                return {"media_type": "image/jpeg", "width": width, "height": height, "channels": part[9]}
+            at += 1 if marker == 0xFF else 2 + length
+            part = more(at, 10)
         return {"media_type": "image/jpeg"}
     if head[:4] == b"RIFF" and head[8:12] == b"WAVE":
         at, found = 12, {"media_type": "audio/wav"}
-        while at + 8 <= len(head):
-            name, length = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
+        rate = 0
+        while len(part := more(at, 20)) >= 8:
+            name, length = part[:4], struct.unpack("<I", part[4:8])[0]
             if name == b"fmt ":
-                _, found["channels"], found["sample_rate"], rate = struct.unpack("<HHII", head[at + 8 : at + 20])
+                _, found["channels"], found["sample_rate"], rate = struct.unpack("<HHII", part[8:20])
             elif name == b"data":
                 found["duration_ms"] = min(length, size - at - 8) * 1000 // rate if rate else None
                 break
@@ -204,6 +208,15 @@ def read_payload(folder: str, shard: str, offset: int, stored_length: int, encod
         return plain[:limit]
 
 
+def read_part(folder: str, shard: str, offset: int, stored_length: int, encoding: str, at: int, n: int) -> bytes:
+    """n bytes of the payload from a place on: a ranged read of a raw one; of a compressed one what precedes is read, too."""
+    if encoding != "raw":
+        return read_payload(folder, shard, offset, stored_length, encoding, at + n)[at : at + n]
+    with open(os.path.join(local_path(folder), shard), "rb", buffering=0) as f:
+        f.seek(offset + at)
+        return f.read(max(0, min(n, stored_length - at)))
+
+
 def read_headers(index: DataFrame, folder: str, header_bytes: int = HEADER_BYTES) -> DataFrame:
     """The index with the columns of HEADER_SCHEMA, filled from ranged reads."""
 
@@ -213,8 +226,8 @@ def read_headers(index: DataFrame, folder: str, header_bytes: int = HEADER_BYTES
             found = [None] * len(rows)
             for i in sorted(range(len(rows)), key=lambda i: (rows[i]["shard"], rows[i]["shard_offset"])):
                 r = rows[i]
-                head = read_payload(folder, r["shard"], r["shard_offset"], r["stored_length"], r["encoding"], header_bytes)
-                found[i] = describe(head, r["size"])
+                place = folder, r["shard"], r["shard_offset"], r["stored_length"], r["encoding"]
+                found[i] = describe(read_payload(*place, header_bytes), r["size"], lambda at, n, place=place: read_part(*place, at, n))
             added = [pa.array([f.get(name) for f in found], kind) for name, kind in _HEADER_FIELDS]
             yield pa.record_batch([*batch.columns, *added], names=[*batch.schema.names, *[name for name, _ in _HEADER_FIELDS]])
 

@@ -52,6 +52,16 @@ def test_header_columns(spark):
     assert zlib.crc32(PNG) and len(media.media_columns(rows, "id", "body").collect()) == len(PAYLOADS)
 
 
+def test_headers_behind_long_notes(spark):
+    note = b"\xff\xe1" + struct.pack(">H", 60_000) + b"e" * 59_998
+    picture = JPEG[:20] + note * 3 + JPEG[20:]
+    sound = WAV[:36] + b"LIST" + struct.pack("<I", 9_001) + b"n" * 9_002 + WAV[36:]
+    for header_bytes in (media.HEADER_BYTES, 64):
+        got = {r["id"]: r for r in media.media_columns(spark.createDataFrame([(1, picture), (2, sound)], "id bigint, body binary"), "id", "body", header_bytes=header_bytes).collect()}
+        assert (got[1]["media_type"], got[1]["width"], got[1]["height"]) == ("image/jpeg", 222, 111)
+        assert (got[2]["media_type"], got[2]["sample_rate"], got[2]["duration_ms"]) == ("audio/wav", 8000, 2000)
+
+
 def test_headers_of_pages_that_hardly_compress(spark):
     r = random.Random(5)
     page = lambda n: b"<!doctype html><html lang='fr'><head><meta charset='utf-8'></head><p>" + r.randbytes(n).hex().encode()
