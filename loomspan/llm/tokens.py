@@ -26,10 +26,12 @@ Defined cases
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,9 @@ def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN):
     if key not in _encoders:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        # Where Spark has shipped the file to the workers, their copy is read.
+        shipped = SparkFiles.get(os.path.basename(vocabulary)) if SparkFiles._is_running_on_worker else vocabulary
+        with open(shipped if os.path.exists(shipped) else vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -91,15 +95,16 @@ def line_bounds(text: str) -> np.ndarray:
     return np.concatenate(([0], breaks, [len(text)] if breaks[-1] < len(text) else np.zeros(0, np.int64))).astype(np.int64)
 
 
-def _rule(rule: str) -> str:
+def _prepare(rows: DataFrame, vocabulary: str, rule: str) -> None:
+    """Check the rule and ship the vocabulary, a file of the driver, to the workers."""
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
-    return rule
+    rows.sparkSession.sparkContext.addFile(vocabulary)
 
 
 def section_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN, rule: str = "majority") -> DataFrame:
     """(doc_id, section, start, end, n_tokens, n_crossing), a row for each line of each document."""
-    _rule(rule)
+    _prepare(docs, vocabulary, rule)
     names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,7 @@ def _rows(ids: pa.Array, parts: list[tuple], names: list[str]) -> pa.RecordBatch
 
 def field_tokens(rows: DataFrame, key: str, fields: list[str], vocabulary: str = VOCABULARY, pattern: str = PATTERN, rule: str = "majority") -> DataFrame:
     """(key, field, n_tokens, n_crossing) of the fields of each row, encoded as one text in the given order; null fields are empty."""
-    _rule(rule)
+    _prepare(rows, vocabulary, rule)
     kind = dict(rows.dtypes)[key]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
