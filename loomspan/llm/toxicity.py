@@ -19,6 +19,7 @@ Defined cases
 * very long texts: every passage is scored, none is cut off
 * no usable labels (one class missing): an error, as nothing can be learned
 * labels given twice for a document: toxic if any of them is; null labels are not used
+* a labelled document of several rows: its first text in order is learned from
 * empty documents: an empty result; extra columns, whatever their names, pass through the filter untouched
 """
 
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .words import _word_table
@@ -39,6 +40,8 @@ SIZES = (4, 5)
 PASSAGE, OVERLAP = 800, 100
 #: Bound on training documents of each class; they are those lowest by a hash of doc_id.
 TRAIN_PER_CLASS = 1200
+#: Bound on the characters of all training documents together; those that would pass it are left out, in the order of the hash.
+TRAIN_CHARACTERS = 60_000_000
 THRESHOLD = 0.5
 SMOOTHING, L2 = 1.0, 1e-5
 EPOCHS = (4, 12)  # of the first round and of the others
@@ -168,8 +171,10 @@ def train_on(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLAS
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("toxic = 0").orderBy(*order).limit(per_class).unionByName(known.where("toxic <> 0").orderBy(*order).limit(per_class))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows of two numbers
-    rows = sorted(texts.select("doc_id", "toxic", "text").collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    return train([(r["text"], r["toxic"]) for r in rows])
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    total = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.partitionBy().orderBy(*order))  # over at most 2 * per_class rows
+    rows = texts.withColumn("total", total).where(F.col("total") <= TRAIN_CHARACTERS).select("doc_id", "toxic", "text").collect()
+    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def toxicity_score(model: Model):
