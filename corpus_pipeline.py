@@ -8,6 +8,15 @@ return whole rows of documents:
 3. pii: personal identifiers in the text are masked
 4. mixing: sources are mixed to target weights within the token budget
 5. packing: documents are packed into sequences (bin_id, example_ids, totals)
+
+Defined cases
+* null or empty text: kept by stages 1 to 3; no tokens in the mix; an example of 0 tokens in a sequence
+* null doc_id: kept by stages 1 to 3, in the mix like any other, null in its sequence; doc_id is of an integral type, any other raises TypeError
+* null source: a source of its own
+* rows repeated in full: one is left by stage 2; other rows of one doc_id stay
+* very long texts: every stage works on the whole text; a document over the limits is a sequence of its own
+* extra columns, whatever their names, are carried up to the packing
+* empty documents: no sequences; labels of one class only, or none: ValueError, as nothing can be learned
 """
 
 from __future__ import annotations
