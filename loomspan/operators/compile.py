@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import anchor
+from .markdown import LINK
 
 
 def topic_counts(docs: DataFrame, topic: str = "source", order: str = "doc_id") -> DataFrame:
@@ -129,7 +130,7 @@ def rewrite_links(text: Column, mapping: Column, path: Column) -> Column:
 
             for line in text.split("\n"):
                 fenced ^= line.lstrip()[:3] == "```"
-                out.append(line if fenced else re.sub(r"(!?)\x5B([^\x5D]*)\x5D\x28([^\x29]*)\x29", swap, line))
+                out.append(line if fenced else re.sub(LINK, swap, line))
             return "\n".join(out)
 
         return pd.Series([None if t is None else one(t, m, p) for t, m, p in zip(texts, maps, paths, strict=True)], dtype="object")

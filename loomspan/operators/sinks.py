@@ -65,7 +65,7 @@ def write_book(pages: DataFrame, path: str, title: str, order: str = "path") ->
     root = _xml("rootfile", [], full_path="content.opf", media_type=f"{_TYPE}/oebps-package+xml")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr(zipfile.ZipInfo("mimetype"), f"{_TYPE}/epub+zip")
-        book.writestr("META-INF/" + "container.xml", as_text(_xml("container", [_xml("rootfiles", [root])], version="1.0", xmlns=f"{_OASIS}:container")))
+        book.writestr("META-INF/container.xml", as_text(_xml("container", [_xml("rootfiles", [root])], version="1.0", xmlns=f"{_OASIS}:container")))
         names = []
         for row in pages.orderBy(order).toLocalIterator():
             names.append(f"p{len(names):05d}.xhtml")

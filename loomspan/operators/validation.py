@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import markdown as M
+
 #: code: (level, weight, component)
 RULES = {
     "missing_output": ("error", 1.0, "completeness"), "no_documents": ("error", 1.0, "completeness"), "tiny_output": ("error", 0.8, "completeness"),
@@ -43,7 +45,7 @@ def component_scores(issues: DataFrame, bundles: DataFrame, bundle: str) -> Data
     rows = bundles.join(sums, bundle, "left")
     scale = bundle_scale(F.col("documents"), F.col("topics"))
     scales = {"completeness": scale, "structure": F.greatest(F.lit(1.0), scale * 0.95), "conversion": scale * 1.1, "consistency": scale, "document_quality": document_scale(F.col("documents"))}
-    each = {c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(F.col(c), F.lit(0.0)) / s)), 2) for c, s in scales.items()}
+    each = {c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(F.col(c), F.lit(0.0)) / s)), 2).cast("double") for c, s in scales.items()}
     rows = rows.select(bundle, *[e.alias(c) for c, e in each.items()])
     total = F.lit(0.0)
     for c, w in COMPONENTS.items():
@@ -51,9 +53,9 @@ def component_scores(issues: DataFrame, bundles: DataFrame, bundle: str) -> Data
     return rows.withColumn("score", total)
 
 
-def document_quality(issues: DataFrame, document: str) -> DataFrame:
+def document_quality(issues: DataFrame, *document: str) -> DataFrame:
     """(document, n_issues, quality) of the documents that have issues."""
-    counts = issues.groupBy(document).agg(F.count(F.lit(1)).alias("n_issues"))
+    counts = issues.groupBy(*document).agg(F.count(F.lit(1)).alias("n_issues"))
     return counts.withColumn("quality", F.round(F.greatest(F.lit(0.0), 1 - F.least(F.lit(0.95), F.col("n_issues") * 0.12)), 2))
 
 
@@ -67,11 +69,132 @@ def inventory_issues(rows: DataFrame, bundle: str) -> DataFrame:
     return rows.select(bundle, F.explode(codes).alias("code"))
 
 
+SECTIONS = ("## Metadata", "## Table of Contents", "## Documentation")
+
+
+def _once(condition: Column, code: str) -> Column:
+    return F.when(condition, F.lit(code))
+
+
+def output_codes(text: Column, documents: Column, n_topics: Column, sections: tuple[str, ...] = SECTIONS) -> Column:
+    """Codes of a consolidated text: size, fences, sections, topics; missing_output alone where there is none."""
+    missing = [_once(~F.contains(text, F.lit(s)), "missing_section") for s in sections]
+    codes = F.array(_once(documents == 0, "no_documents"), _once(F.length(text) < 2000, "tiny_output"), _once(F.regexp_count(text, F.lit("```")) % 2 == 1, "code_fence"), *missing, _once(n_topics == 0, "no_topics"))
+    return F.when(text.isNull(), F.array(F.lit("missing_output"))).otherwise(F.array_compact(codes))
+
+
 def output_issues(rows: DataFrame, bundle: str, text: str, sections: list[str]) -> DataFrame:
     """Issues of consolidated texts with (documents, topics): size, fences, sections, topics."""
-    missing = [F.when(~F.contains(F.col(text), F.lit(s)), F.lit("missing_section")) for s in sections]
-    codes = F.array_compact(F.array(
-        F.when(F.col("documents") == 0, F.lit("no_documents")), F.when(F.length(text) < 2000, F.lit("tiny_output")),
-        F.when(F.regexp_count(F.col(text), F.lit("```")) % 2 == 1, F.lit("code_fence")), F.when(F.col("topics") == 0, F.lit("no_topics")), *missing,
+    return rows.select(bundle, F.posexplode(output_codes(F.col(text), F.col("documents"), F.col("topics"), tuple(sections))).alias("n", "code"))
+
+
+def link_codes(text: Column) -> Column:
+    """Link, image and empty-target codes, once each, of the links outside code."""
+    hopeful = F.filter(M.prose_lines(text), lambda line: F.contains(line, F.lit("](")))
+    found = F.flatten(F.transform(hopeful, M.line_links))
+    return F.array_compact(F.array_distinct(F.transform(found, lambda x: M.link_code(x["image"], x["target"]))))
+
+
+def anchor_codes(text: Column) -> Column:
+    """missing_internal_anchor where a link names an anchor that the text lacks."""
+    hopeful = F.filter(M.prose_lines(text), lambda line: F.contains(line, F.lit("](")))
+    own = F.regexp_extract_all(text, F.lit(M.ANCHOR), F.lit(1))
+    t = lambda x: F.trim(x["target"])
+    wanted = F.filter(F.flatten(F.transform(hopeful, M.line_links)), lambda x: ~x["image"] & F.startswith(t(x), F.lit("#")) & (t(x) != "#"))
+    missing = F.array_except(F.transform(wanted, lambda x: F.substr(t(x), F.lit(2))), own)
+    return F.array_compact(F.array(_once(F.size(missing) > 0, "missing_internal_anchor")))
+
+
+def conversion_codes(text: Column) -> Column:
+    prose = M.prose_lines(text)
+    html, defined = F.exists(prose, lambda line: line.rlike(M.LEFT_OVER_TAG)), F.exists(prose, lambda line: line.rlike(M.DEFINITION))
+    return F.array_compact(F.array(_once(html, "html_artifact"), _once(F.size(M.table_runs(text)) > 0, "malformed_table"), _once(defined, "definition_list_artifact")))
+
+
+def structure_codes(text: Column, topics: Column, documents: Column) -> Column:
+    """Topic sections and document headings of the documentation part, code not spared."""
+    at = F.locate("## Documentation", text)
+    body = F.when(at > 0, F.substr(text, at))
+    titles = F.regexp_extract_all(body, F.lit(r"(?m)^###[ \t]+(\S(?:.*\S)?)[ \t]*$"), F.lit(1))
+    twice = F.filter(topics, lambda t: F.size(F.filter(titles, lambda x: x == t)) > 1)
+    heads = F.regexp_count(body, F.lit(r"(?m)^####[ \t]+\S"))
+    first = F.regexp_extract(body, r"(?m)^(###|####)[ \t]+\S", 1)
+    parts = F.filter(F.split(body, r"(?m)^###(?=[ \t])"), lambda _, i: i > 0)  # what stands before the first topic is left out
+    pairs = F.flatten(F.transform(parts, lambda p: F.transform(
+        F.regexp_extract_all(p, F.lit(r"(?m)^####[ \t]+(\S(?:.*\S)?)[ \t]*$"), F.lit(1)), lambda title: F.concat(F.trim(F.substring_index(p, "\n", 1)), F.lit("\u0000"), title))))
+    return F.when(body.isNull(), F.array().cast("array<string>")).otherwise(F.concat(
+        F.transform(twice, lambda _: F.lit("duplicate_topic_section")),
+        F.array_compact(F.array(
+            _once((documents > 0) & ((F.size(titles) > 0) | (heads > 0)) & (heads != documents), "document_heading_count_mismatch"),
+            _once(first == "####", "malformed_heading_hierarchy"), _once(F.size(F.array_distinct(pairs)) < F.size(pairs), "duplicate_document_heading"),
+        )),
     ))
-    return rows.select(bundle, F.posexplode(codes).alias("n", "code"))
+
+
+def inventory_codes(documents: Column, topic_documents: Column, discovered: Column, emitted: Column, skipped: Column) -> Column:
+    """Codes of counts that do not add up; none where the source gave no counts."""
+    codes = F.array(
+        _once(topic_documents != documents, "topic_total_mismatch"), _once((discovered > 0) & (emitted + skipped < discovered), "source_inventory_mismatch"), _once(emitted < documents, "emitted_less_than_compiled"),
+    )
+    return F.when(emitted.isNull(), F.array().cast("array<string>")).otherwise(F.array_compact(codes))
+
+
+def bundle_issues(bundles: DataFrame, bundle: str = "bundle") -> DataFrame:
+    """(bundle, level, code) of bundles (text, topics array<string>, documents, topic_documents, discovered, emitted, skipped).
+
+    One pass over each text, without a shuffle; a null text is a missing output and has no other issue.
+    """
+    c = F.col
+    codes = F.concat(
+        output_codes(c("text"), c("documents"), F.size("topics")), link_codes(c("text")), anchor_codes(c("text")), structure_codes(c("text"), c("topics"), c("documents")),
+        inventory_codes(c("documents"), c("topic_documents"), c("discovered"), c("emitted"), c("skipped")), conversion_codes(c("text")),
+    )
+    codes = F.when(c("text").isNull(), F.array(F.lit("missing_output"))).otherwise(codes)
+    return bundles.select(bundle, F.explode(codes).alias("code")).select(bundle, _level("code"), "code")
+
+
+def _level(code: str) -> Column:
+    errors = [c for c, (level, _, _) in RULES.items() if level == "error"]
+    return F.when(F.col(code).isin(errors), "error").otherwise("warning").alias("level")
+
+
+def resolved_path(folder: Column, target: Column) -> Column:
+    """The path that a relative link in a folder leads to; null where it leaves the root."""
+    parts = F.filter(F.split(F.concat(folder, F.lit("/"), target), "/"), lambda x: ~x.isin("", "."))
+    up = lambda at: F.when(F.size(at) > 0, F.slice(at, 1, F.size(at) - 1))  # noqa: E731  (null for good once it is left)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda at, x: F.when(x == "..", up(at)).otherwise(F.concat(at, F.array(x))))
+    return F.when(~F.startswith(target, F.lit("/")), F.array_join(walked, "/"))
+
+
+def anchors_of(text: Column) -> Column:
+    """What a link may name in a text: its explicit anchors and slugs of its headings (letters, digits and dashes only)."""
+    explicit = F.transform(F.regexp_extract_all(text, F.lit(M.ANCHOR), F.lit(1)), lambda x: F.lower(F.trim(x)))
+    titles = F.regexp_extract_all(text, F.lit(r"(?m)^#{1,6}[ \t]+(\S(?:.*\S)?)[ \t]*$"), F.lit(1))
+    slugs = F.transform(titles, lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9\\-]", ""), "^-+|-+$", ""))
+    return F.array_union(explicit, slugs)
+
+
+def document_issues(files: DataFrame) -> DataFrame:
+    """(bundle, path, level, code) of rendered documents (bundle, path, text), path relative to the bundle's root.
+
+    Links to other documents are one join of link targets with the files' anchors; a topic's section page is the file _section.md.
+    """
+    paths = files.withColumn("folder", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
+    docs = paths.where("name <> '_section.md'")
+    own = docs.select("bundle", "path", F.explode(F.concat(link_codes(F.col("text")), conversion_codes(F.col("text")))).alias("code"))
+    linked = docs.select("bundle", "path", "folder", anchors_of(F.col("text")).alias("own"), F.explode(F.flatten(F.transform(M.prose_lines(F.col("text")), M.line_links))).alias("l"))
+    raw = F.trim("l.target")
+    linked = linked.where(~F.col("l.image") & (raw != "") & ~raw.rlike("^(?:https?://|mailto:|tel:|dash://|data:)"))
+    parts = linked.select("bundle", "path", "folder", "own", F.split(raw, "#", 2).alias("p")).select(
+        "bundle", "path", "own", F.get("p", 0).alias("rel"), F.lower(F.trim(F.coalesce(F.get("p", 1), F.lit("")))).alias("anchor"), resolved_path(F.col("folder"), F.get("p", 0)).alias("to"),
+    )
+    targets = files.select("bundle", F.col("path").alias("to"), anchors_of(F.col("text")).alias("theirs"))
+    there = parts.where("rel <> ''").join(targets, ["bundle", "to"], "left")
+    broken = there.where(F.col("theirs").isNull() | ((F.col("anchor") != "") & ~F.array_contains("theirs", F.col("anchor")))).select("bundle", "path")
+    here = parts.where((F.col("rel") == "") & (F.col("anchor") != "") & ~F.array_contains("own", F.col("anchor"))).select("bundle", "path")
+    broken = broken.unionByName(here).withColumn("code", F.lit("broken_internal_link"))
+    sections = paths.where("name = '_section.md'").select("bundle", "folder", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(([^)]+\.md)\)"), F.lit(1))).alias("name"))
+    twice = sections.groupBy("bundle", "folder", "name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = docs.join(twice, ["bundle", "folder", "name"], "left_semi").select("bundle", "path", F.lit("duplicate_section_link").alias("code"))
+    whole = own.unionByName(broken).unionByName(repeated)
+    return whole.select("bundle", "path", _level("code"), "code")

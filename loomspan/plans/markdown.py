@@ -68,7 +68,7 @@ def _on_md(name: str, sql: str, run) -> None:
 
 _on_md("markdown_headings", _HEADINGS + " SELECT doc_id, pos, level, title FROM hh", M.headings)
 _on_md("markdown_fence_state", _LINES + " SELECT doc_id, line_no, is_fence, opened % 2 = 1 AND NOT is_fence AS in_code FROM f",
-       lambda d: M.with_fences(M.lines(d)).select("doc_id", "line_no", "is_fence", "in_code"))
+       lambda d: M.with_fences(d).select("doc_id", "line_no", "is_fence", "in_code"))
 _on_md("markdown_links", _LINES + " SELECT doc_id, line_no, segment_no, n, image, label, target FROM links", M.links)
 _on_md("markdown_anchors", f"WITH {MD_SQL} SELECT doc_id, unnest(regexp_extract_all(text, '<a\\s+id=\"([^\"]+)\"\\s*></a>', 1)) AS anchor FROM md", M.anchors)
 _on_md(
