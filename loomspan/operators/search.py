@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifiers, plain_tokens
+from . import query as Q
 
 K1, B = 1.2, 0.75
 MIN_IDF = 1e-6
@@ -19,15 +19,6 @@ def clamp(limit: int, most: int) -> int:
     return max(1, min(limit, most))
 
 
-def postings(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(term, doc_id, tf, positions): the inverted index, partitioned by term when written."""
-    return (
-        docs.select(F.col(id_column).alias("doc_id"), F.posexplode(plain_tokens(F.col(text_column))).alias("pos", "term"))
-        .groupBy("term", "doc_id")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    )
-
-
 def occurrences(low: Column, term: str) -> Column:
     """Occurrences of a term as a whole token of a lower-cased text; no array of tokens is built."""
     return F.regexp_count(low, F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])")).cast("bigint")
@@ -44,66 +35,28 @@ def near(tokens: Column, first: str, second: str, gap: int = 10) -> Column:
     return F.exists(at(first), lambda i: F.exists(at(second), lambda j: F.abs(i - j) <= gap + 1))
 
 
-@dataclass(frozen=True)
-class Clause:
-    """One clause of a query: a term, prefix, phrase or pair of near terms, perhaps of one column, perhaps negated."""
-
-    kind: str
-    words: tuple[str, ...]
-    column: str = ""
-    negated: bool = False
-
-
-def parse(query: str) -> list[list[Clause]]:
-    """Alternatives (OR) of conjunctions (AND, implicit) with NOT, "phrases", prefix*, NEAR(a b) and column:term."""
-    lexeme = re.compile(r'NEAR\(\s*(\w+)\s+(\w+)\s*\)|(?:(\w+):)?(?:"([^"]*)"|(\w+\*?))|(\S)')
-    alternatives, negated = [[]], False
-    for m in lexeme.finditer(query):
-        if m[6]:
-            raise ValueError(f"syntax error near {m[6]!r}")
-        if m[5] in ("OR", "AND", "NOT") and not m[3]:
-            if m[5] == "OR":
-                alternatives.append([])
-            negated = m[5] == "NOT"
-            continue
-        if m[1]:
-            clause = Clause("near", (m[1].lower(), m[2].lower()), "", negated)
-        else:
-            words = tuple(re.findall("[a-z0-9]+", (m[4] if m[4] is not None else m[5]).lower()))
-            kind = "prefix" if m[5] and m[5].endswith("*") else "phrase" if len(words) > 1 else "term"
-            clause = Clause(kind, words, m[3] or "", negated)
-        if clause.words:
-            alternatives[-1].append(clause)
-        negated = False
-    return [a for a in alternatives if a]
-
-
-def _matches(clause: Clause, tokens: Column, columns: dict[str, str]) -> Column:
-    source = plain_tokens(F.col(columns.get(clause.column, clause.column))) if clause.column else tokens
-    if clause.kind == "near":
-        hit = near(source, *clause.words)
-    elif clause.kind == "phrase":
-        hit = has_phrase(source, list(clause.words))
-    elif clause.kind == "prefix":
-        hit = F.exists(source, lambda t: t.startswith(clause.words[0]))
+def _matches(leaf: Q.Leaf, tokens: Column, columns: dict[str, str]) -> Column:
+    source = plain_tokens(F.col(columns.get(leaf.column, leaf.column))) if leaf.column else tokens
+    if leaf.kind == "near":
+        hit = F.array_contains(source, leaf.words[0])
+        for x, y in zip(leaf.words, leaf.words[1:], strict=False):
+            hit = hit & near(source, x, y, leaf.gap)
+    elif leaf.kind == "prefix":
+        hit = F.contains(F.concat(F.lit(" "), F.array_join(source, " "), F.lit(" ")), F.lit(f" {' '.join(leaf.words)}"))
+    elif leaf.kind == "phrase":
+        hit = has_phrase(source, list(leaf.words))
     else:
-        hit = F.array_contains(source, clause.words[0])
-    return ~hit if clause.negated else hit
+        hit = F.array_contains(source, leaf.words[0])
+    return F.coalesce(hit, F.lit(False))
 
 
 def match(docs: DataFrame, query: str, text_column: str = "text", columns: dict[str, str] | None = None) -> DataFrame:
-    """The documents that a query matches; a blank query matches none."""
-    alternatives = parse(query)
-    if not alternatives:
+    """The documents that a query matches, without an index; a blank query matches none."""
+    expression = Q.parse(query)
+    if expression is None:
         return docs.where(F.lit(False))
     tokens = plain_tokens(F.col(text_column))
-    condition = F.lit(False)
-    for clauses in alternatives:
-        every = F.lit(True)
-        for clause in clauses:
-            every = every & _matches(clause, tokens, columns or {})
-        condition = condition | every
-    return docs.where(condition)
+    return docs.where(Q.condition(expression, lambda leaf: _matches(leaf, tokens, columns or {})))
 
 
 def bm25(docs: DataFrame, terms: list[str], keep: Column | None = None, limit: int = 25, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -88,27 +88,23 @@ def output_issues(rows: DataFrame, bundle: str, text: str, sections: list[str])
     return rows.select(bundle, F.posexplode(output_codes(F.col(text), F.col("documents"), F.col("topics"), tuple(sections))).alias("n", "code"))
 
 
-def link_codes(text: Column) -> Column:
-    """Link, image and empty-target codes, once each, of the links outside code."""
-    hopeful = F.filter(M.prose_lines(text), lambda line: F.contains(line, F.lit("](")))
-    found = F.flatten(F.transform(hopeful, M.line_links))
-    return F.array_compact(F.array_distinct(F.transform(found, lambda x: M.link_code(x["image"], x["target"]))))
+def link_codes(links: Column) -> Column:
+    """Codes of links, images and empty targets, once each."""
+    return F.array_compact(F.array_distinct(F.transform(links, lambda x: M.link_code(x["image"], x["target"]))))
 
 
-def anchor_codes(text: Column) -> Column:
+def anchor_codes(text: Column, links: Column) -> Column:
     """missing_internal_anchor where a link names an anchor that the text lacks."""
-    hopeful = F.filter(M.prose_lines(text), lambda line: F.contains(line, F.lit("](")))
     own = F.regexp_extract_all(text, F.lit(M.ANCHOR), F.lit(1))
     t = lambda x: F.trim(x["target"])
-    wanted = F.filter(F.flatten(F.transform(hopeful, M.line_links)), lambda x: ~x["image"] & F.startswith(t(x), F.lit("#")) & (t(x) != "#"))
+    wanted = F.filter(links, lambda x: ~x["image"] & F.startswith(t(x), F.lit("#")) & (t(x) != "#"))
     missing = F.array_except(F.transform(wanted, lambda x: F.substr(t(x), F.lit(2))), own)
     return F.array_compact(F.array(_once(F.size(missing) > 0, "missing_internal_anchor")))
 
 
-def conversion_codes(text: Column) -> Column:
-    prose = M.prose_lines(text)
+def conversion_codes(parts: Column, prose: Column) -> Column:
     html, defined = F.exists(prose, lambda line: line.rlike(M.LEFT_OVER_TAG)), F.exists(prose, lambda line: line.rlike(M.DEFINITION))
-    return F.array_compact(F.array(_once(html, "html_artifact"), _once(F.size(M.table_runs(text)) > 0, "malformed_table"), _once(defined, "definition_list_artifact")))
+    return F.array_compact(F.array(_once(html, "html_artifact"), _once(F.size(M.table_runs(parts)) > 0, "malformed_table"), _once(defined, "definition_list_artifact")))
 
 
 def structure_codes(text: Column, topics: Column, documents: Column) -> Column:
@@ -146,11 +142,11 @@ def bundle_issues(bundles: DataFrame, bundle: str = "bundle") -> DataFrame:
     """
     c = F.col
     codes = F.concat(
-        output_codes(c("text"), c("documents"), F.size("topics")), link_codes(c("text")), anchor_codes(c("text")), structure_codes(c("text"), c("topics"), c("documents")),
-        inventory_codes(c("documents"), c("topic_documents"), c("discovered"), c("emitted"), c("skipped")), conversion_codes(c("text")),
+        output_codes(c("text"), c("documents"), F.size("topics")), link_codes(c("md_links")), anchor_codes(c("text"), c("md_links")), structure_codes(c("text"), c("topics"), c("documents")),
+        inventory_codes(c("documents"), c("topic_documents"), c("discovered"), c("emitted"), c("skipped")), conversion_codes(c("md_parts"), c("md_prose")),
     )
     codes = F.when(c("text").isNull(), F.array(F.lit("missing_output"))).otherwise(codes)
-    return bundles.select(bundle, F.explode(codes).alias("code")).select(bundle, _level("code"), "code")
+    return M.parsed(bundles).select(bundle, F.explode(codes).alias("code")).select(bundle, _level("code"), "code")
 
 
 def _level(code: str) -> Column:
@@ -181,8 +177,9 @@ def document_issues(files: DataFrame) -> DataFrame:
     """
     paths = files.withColumn("folder", F.regexp_replace("path", "/?[^/]*$", "")).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     docs = paths.where("name <> '_section.md'")
-    own = docs.select("bundle", "path", F.explode(F.concat(link_codes(F.col("text")), conversion_codes(F.col("text")))).alias("code"))
-    linked = docs.select("bundle", "path", "folder", anchors_of(F.col("text")).alias("own"), F.explode(F.flatten(F.transform(M.prose_lines(F.col("text")), M.line_links))).alias("l"))
+    read = M.parsed(docs)
+    own = read.select("bundle", "path", F.explode(F.concat(link_codes(F.col("md_links")), conversion_codes(F.col("md_parts"), F.col("md_prose")))).alias("code"))
+    linked = read.select("bundle", "path", "folder", anchors_of(F.col("text")).alias("own"), F.explode("md_links").alias("l"))
     raw = F.trim("l.target")
     linked = linked.where(~F.col("l.image") & (raw != "") & ~raw.rlike("^(?:https?://|mailto:|tel:|dash://|data:)"))
     parts = linked.select("bundle", "path", "folder", "own", F.split(raw, "#", 2).alias("p")).select(

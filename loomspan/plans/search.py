@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import index as X
 from ..operators import search as S
 from ..registry import register
 from ..sources.tables import table
+from ..storage import exists, shared_dir, version_of
 
 _TOKENS = "WITH d AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents)"
 
@@ -25,24 +27,42 @@ def _bm25_sql(terms: list[str], where: str = "TRUE", limit: int = 25) -> str:
     SELECT doc_id, CAST(0.0 {score} AS DOUBLE) AS score FROM c, t WHERE {every} AND ({where}) ORDER BY score, doc_id LIMIT {limit}"""
 
 
+def _index(spark, sf_dir) -> X.Index:
+    """The stored index of the documents; it is written when it isn't there or the documents have changed."""
+    folder = f"{shared_dir(spark)}/index-{version_of(spark, f'{sf_dir}/documents.parquet')}"
+    if not exists(spark, f"{folder}/COMPLETE"):
+        docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+        return X.write_index(docs, folder, attributes=("source",))
+    return X.Index(folder, attributes=("source",))
+
+
 @register("search_bm25_topk", _bm25_sql(["the", "thing"]))
 def search_bm25_topk(spark, sf_dir):
+    return X.bm25(spark, _index(spark, sf_dir), ["the", "thing"])
+
+
+@register("search_bm25_scan", _bm25_sql(["the", "thing"]))
+def search_bm25_scan(spark, sf_dir):
     return S.bm25(table(spark, sf_dir, "documents"), ["the", "thing"])
 
 
 @register("search_bm25_rare_terms", _bm25_sql(["worthless", "clown"], limit=10))
 def search_bm25_rare_terms(spark, sf_dir):
-    return S.bm25(table(spark, sf_dir, "documents"), ["worthless", "clown"], limit=10)
+    return X.bm25(spark, _index(spark, sf_dir), ["worthless", "clown"], limit=10)
 
 
 @register("search_language_filter", _bm25_sql(["der"], "lang = 'de'"))
 def search_language_filter(spark, sf_dir):
-    return S.bm25(table(spark, sf_dir, "documents"), ["der"], keep=F.col("lang") == "de")
+    return X.bm25(spark, _index(spark, sf_dir), ["der"], keep=F.col("language") == "de")
 
 
 def _match(name: str, query: str, where: str) -> None:
     @register(name, f"{_TOKENS} SELECT doc_id FROM d WHERE {where}")
     def run(spark, sf_dir):
+        return X.match(spark, _index(spark, sf_dir), query, columns={"topic": "source"})
+
+    @register(f"{name}_scan", f"{_TOKENS} SELECT doc_id FROM d WHERE {where}")
+    def scan(spark, sf_dir):
         return S.match(table(spark, sf_dir, "documents"), query, columns={"topic": "source"}).select("doc_id")
 
 
@@ -53,6 +73,8 @@ _match("search_boolean_not", "stupid NOT trash", f"{_has('stupid')} AND NOT {_ha
 _match("search_prefix", "worthl*", "len(list_filter(tokens, lambda t: starts_with(t, 'worthl'))) > 0")
 _match("search_phrase", '"licensed under the apache"', "contains(' ' || array_to_string(tokens, ' ') || ' ', ' licensed under the apache ')")
 _match("search_column", "topic:src3 licensed", f"source = 'src3' AND {_has('licensed')}")
+_match("search_parentheses", "(scum OR moron) AND the NOT (trash OR idiot)", f"({_has('scum')} OR {_has('moron')}) AND {_has('the')} AND NOT ({_has('trash')} OR {_has('idiot')})")
+_match("search_column_only", "topic:src1 OR worthl* NOT topic:src2", "source = 'src1' OR (len(list_filter(tokens, lambda t: starts_with(t, 'worthl'))) > 0 AND source <> 'src2')")
 _match(
     "search_near", "NEAR(idiot the)",
     "len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'idiot' AND list_contains(tokens[greatest(1, i - 11):i + 11], 'the'))) > 0",
@@ -61,7 +83,7 @@ _match(
 
 @register("search_blank", "SELECT doc_id FROM documents WHERE FALSE")
 def search_blank(spark, sf_dir):
-    return S.match(table(spark, sf_dir, "documents"), "   ").select("doc_id")
+    return X.match(spark, _index(spark, sf_dir), "   ")
 
 
 @register("search_snippets")
@@ -76,7 +98,7 @@ def search_snippets(spark, sf_dir):
            SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)) GROUP BY ALL""",
 )
 def search_postings(spark, sf_dir):
-    return S.postings(table(spark, sf_dir, "documents"))
+    return X.postings(table(spark, sf_dir, "documents")).select("term", "doc_id", "tf", "positions")
 
 
 @register(
@@ -85,34 +107,34 @@ def search_postings(spark, sf_dir):
          SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term""",
 )
 def search_term_statistics(spark, sf_dir):
-    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(S.plain_tokens(F.col("text"))).alias("term"))
-    return terms.groupBy("term", "doc_id").count().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("cf"))
+    made = X.postings(table(spark, sf_dir, "documents"))
+    return made.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-# RE2 takes letters beyond ASCII for word edges; words that hold any are taken out first.
-_ASCII_WORDS = r"regexp_replace(text, '[A-Za-z0-9_]*(?:[^\x00-\x7F]+[A-Za-z0-9_]*)+', ' ', 'g')"
-_ENGLISH_IDS = rf"list_filter(list_distinct(regexp_extract_all({_ASCII_WORDS}, '\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+)\b', 1)), lambda x: length(x) >= 3)"
+# RE2's word edges and character classes are ASCII, Java's are not: an identifier counts where no letter, digit or sign of a word stands beside it, and that
+# is spelled out here for every language.
+_IDS = rf"list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]*(?:[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}]+[A-Za-z0-9_]*)+', ' ', 'g'), '\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+)\b', 1)), lambda x: length(x) >= 3)"
 
 
-@register("xref_index", f"SELECT unnest({_ENGLISH_IDS}) AS term, doc_id FROM documents WHERE lang = 'en'")
+@register("xref_index", f"SELECT unnest({_IDS}) AS term, doc_id FROM documents")
 def xref_index(spark, sf_dir):
-    return S.xref_index(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    return S.xref_index(table(spark, sf_dir, "documents"))
 
 
 @register(
     "xref_lookup",
     f"""SELECT lang AS language, count(*) AS n_documents, list(doc_id ORDER BY doc_id) AS doc_ids FROM (
-        SELECT lang, doc_id FROM documents WHERE lang = 'en' AND list_contains({_ENGLISH_IDS}, 'Version') ORDER BY lang, doc_id LIMIT 100) GROUP BY lang""",
+        SELECT lang, doc_id FROM documents WHERE list_contains({_IDS}, 'Version') ORDER BY lang, doc_id LIMIT 100) GROUP BY lang""",
 )
 def xref_lookup(spark, sf_dir):
-    return S.xref_lookup(table(spark, sf_dir, "documents").where("lang = 'en'"), "Version")
+    return X.xref_lookup(spark, _index(spark, sf_dir), "Version")
 
 
 @register(
     "related_docs",
     rf"""WITH ids AS (
-      SELECT doc_id, list_filter(list_transform(regexp_extract_all({_ASCII_WORDS}, '\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+)\b', 1), lambda x: x), lambda x: length(x) >= 3) AS raw
-      FROM documents WHERE lang = 'en'),
+      SELECT doc_id, list_filter(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9_]*(?:[^\x00-\x7F\p{{P}}\p{{S}}\p{{Z}}]+[A-Za-z0-9_]*)+', ' ', 'g'), '\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+)\b', 1), lambda x: length(x) >= 3) AS raw
+      FROM documents),
     firsts AS (SELECT doc_id, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS ids FROM ids),
     idx AS (SELECT doc_id AS related_id, unnest(ids) AS term FROM firsts),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY related_id) AS r FROM idx QUALIFY r <= 11),
@@ -124,20 +146,4 @@ def xref_lookup(spark, sf_dir):
     SELECT doc_id, related_id, row_number() OVER (PARTITION BY doc_id ORDER BY place_key, related_id) AS place FROM best QUALIFY place <= 10""",
 )
 def related_docs(spark, sf_dir):
-    return S.related(table(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-# The SQL of the three queries above holds for English only; these cover every document and are held against brute force.
-@register("xref_index_all_languages")
-def xref_index_all_languages(spark, sf_dir):
-    return S.xref_index(table(spark, sf_dir, "documents"))
-
-
-@register("xref_lookup_all_languages")
-def xref_lookup_all_languages(spark, sf_dir):
-    return S.xref_lookup(table(spark, sf_dir, "documents"), "Version")
-
-
-@register("related_docs_all_languages")
-def related_docs_all_languages(spark, sf_dir):
     return S.related(table(spark, sf_dir, "documents"))

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..registry import register
+from ..storage import scratch
 from ..streaming import operators as S
 
 
 def _folder(spark) -> str:
     """A new folder for sinks and checkpoints: shared storage where the session names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomspan-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return scratch(spark, "stream")
 
 
 @register("stream_event_fold", "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY event_type")
