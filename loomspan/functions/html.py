@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,13 +28,22 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+        """The node and those in it, in document order."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, stack = [], [self]
+        while stack:
+            c = stack.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                stack += reversed(c.children)
+        return "".join(out)
 
     def matches(self, selector: str) -> bool:
         if selector[0] == ".":
@@ -101,81 +111,118 @@ def _noise(node: Node) -> bool:
 
 
 def clean(node: Node) -> None:
-    node.children = [c for c in node.children if isinstance(c, str) or not _noise(c)]
-    for c in node.children:
-        if isinstance(c, Node):
-            clean(c)
+    stack = [node]
+    while stack:
+        at = stack.pop()
+        at.children = [c for c in at.children if isinstance(c, str) or not _noise(c)]
+        stack += [c for c in at.children if isinstance(c, Node)]
+
+
+_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 
 
 def _inline(node: Node, base: str) -> str:
-    out = []
-    for c in node.children:
+    """The node as one run of text; an element's text is finished when its end is reached."""
+    done: list[list[str]] = [[]]
+    stack: list[tuple[str, Node | str]] = [("in", c) for c in reversed(node.children)]
+    while stack:
+        what, c = stack.pop()
         if isinstance(c, str):
-            out.append(re.sub(r"\s+", " ", c))
-            continue
-        inner = _inline(c, base)
-        mark = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}.get(c.tag)
-        if mark and inner.strip():
-            out.append(f"{mark}{inner.strip()}{mark}")
-        elif c.tag == "a" and c.attrs.get("href") is not None:
-            out.append(f"[{inner.strip()}]({resolved(c.attrs['href'], base)})")
-        elif c.tag == "img":
-            out.append(f"![{c.attrs.get('alt', '')}]({resolved(c.attrs.get('src', ''), base)})")
-        elif c.tag == "br":
-            out.append("  \n")
+            done[-1].append(re.sub(r"\s+", " ", c))
+        elif what == "in":
+            if c.tag == "img":
+                done[-1].append(f"![{c.attrs.get('alt', '')}]({resolved(c.attrs.get('src', ''), base)})")
+            elif c.tag == "br":
+                done[-1].append("  \n")
+            else:
+                marked = c.tag in _MARKS or c.tag == "a" and c.attrs.get("href") is not None
+                if marked:
+                    done.append([])
+                    stack.append(("out", c))
+                stack += [("in", x) for x in reversed(c.children)]
         else:
-            out.append(inner)
-    return "".join(out)
+            inner = "".join(done.pop())
+            mark, plain = _MARKS.get(c.tag), inner.strip()
+            if mark:
+                done[-1].append(f"{mark}{plain}{mark}" if plain else inner)
+            else:
+                done[-1].append(f"[{plain}]({resolved(c.attrs['href'], base)})")
+    return "".join(done[0])
 
 
 _BLOCK = frozenset("p div ul ol table pre h1 h2 h3 h4 h5 h6 section article main body html blockquote hr document li tr thead tbody dl dt dd figure".split())
 
 
-def _blocks(node: Node, base: str, depth: int = 0) -> list[str]:
-    out, run = [], Node("run", {})
+@dataclass
+class _Open:
+    """An element whose blocks are being collected, and what becomes of them at its end."""
+
+    children: Iterator[Node | str]
+    depth: int
+    end: Callable[[list[str]], list[str]]
+    run: Node
+    out: list[str]
 
-    def flush():
-        text = _inline(run, base).strip()
-        if text:
-            out.append(text)
-        run.children = []
 
-    for c in node.children:
-        if isinstance(c, str) or c.tag not in _BLOCK:
-            run.children.append(c)
+def _blocks(node: Node, base: str, depth: int = 0) -> list[str]:
+    """The blocks of a node.  Open elements are on a stack of our own, so pages may nest as deep as they like."""
+    plain = lambda blocks: blocks
+    enter = lambda n, d, end=plain: _Open(iter(n.children), d, end, Node("run", {}), [])
+    stack = [enter(node, depth)]
+    while True:
+        top = stack[-1]
+        c = next(top.children, None)
+        if c is not None and (isinstance(c, str) or c.tag not in _BLOCK):
+            top.run.children.append(c)
             continue
-        flush()
-        if re.fullmatch("h[1-6]", c.tag):
+        if text := _inline(top.run, base).strip():
+            top.out.append(text)
+        top.run.children = []
+        if c is None:
+            stack.pop()
+            blocks = top.end(top.out)
+            if not stack:
+                return blocks
+            stack[-1].out += blocks
+        elif re.fullmatch("h[1-6]", c.tag):
             title = _inline(c, base).strip()
-            out += [f"{'#' * int(c.tag[1])} {title}"] if title else []
+            top.out += [f"{'#' * int(c.tag[1])} {title}"] if title else []
         elif c.tag == "pre":
-            out.append(f"```\n{c.text().strip(chr(10))}\n```")
+            top.out.append(f"```\n{c.text().strip(chr(10))}\n```")
         elif c.tag in ("ul", "ol"):
-            out.append("\n".join(_list(c, base, depth)))
+            stack.append(_Open(iter(_items(c)), top.depth, lambda lines: ["\n".join(lines)], Node("run", {}), []))
+        elif c.tag == _ITEM:
+            mark, indent = c.attrs["mark"], "  " * top.depth
+            stack.append(enter(c, top.depth, lambda blocks, mark=mark, indent=indent: [indent + f"{mark} {' '.join(blocks)}".rstrip()]))
+        elif c.tag == _NESTED:
+            stack.append(_Open(iter(_items(c.children[0])), top.depth + 1, plain, Node("run", {}), []))
         elif c.tag == "table":
-            out += _table(c, base)
+            top.out += _table(c, base)
         elif c.tag == "hr":
-            out.append("---")
+            top.out.append("---")
         elif c.tag == "blockquote":
-            out.append("\n".join("> " + line for line in "\n\n".join(_blocks(c, base, depth)).split("\n")))
+            stack.append(enter(c, top.depth, lambda blocks: ["\n".join("> " + line for line in "\n\n".join(blocks).split("\n"))]))
         else:
-            out += _blocks(c, base, depth)
-    flush()
-    return out
+            stack.append(enter(c, top.depth))
+
 
+_ITEM, _NESTED = ":item", ":nested"
+_BLOCK |= {_ITEM, _NESTED}
 
-def _list(node: Node, base: str, depth: int) -> list[str]:
-    lines = []
-    items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
-    for n, item in enumerate(items, 1):
+
+def _items(node: Node) -> list[Node]:
+    """A list's items with their marks, each followed by the lists in it, which stand one level deeper."""
+    out = []
+    for n, item in enumerate((c for c in node.children if isinstance(c, Node) and c.tag == "li"), 1):
         nested = [c for c in item.children if isinstance(c, Node) and c.tag in ("ul", "ol")]
-        head = Node("run", {})
-        head.children = [c for c in item.children if c not in nested]
-        mark = f"{n}." if node.tag == "ol" else "*"
-        lines.append("  " * depth + f"{mark} {' '.join(_blocks(head, base, depth))}".rstrip())
+        head = Node(_ITEM, {"mark": f"{n}." if node.tag == "ol" else "*"})
+        head.children = [c for c in item.children if isinstance(c, str) or c.tag not in ("ul", "ol")]
+        out.append(head)
         for inner in nested:
-            lines += _list(inner, base, depth + 1)
-    return lines
+            deeper = Node(_NESTED, {})
+            deeper.children = [inner]  # its items are listed when it is reached
+            out.append(deeper)
+    return out
 
 
 def _table(node: Node, base: str) -> list[str]:

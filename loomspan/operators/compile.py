@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..frames import unused
 from ..functions.text import anchor
 from .markdown import LINK
 
@@ -26,12 +27,13 @@ def unique_slugs(docs: DataFrame, topic: str, slug: str, order: str) -> DataFram
     Counting settles all topics in which no generated name meets a given one; only the
     others, which hold a slug that ends in a number, are folded one after another.
     """
-    base = docs.withColumn("_k", F.row_number().over(Window.partitionBy(topic, slug).orderBy(order)))
+    use, fold_it = unused(docs, "use"), unused(docs, "fold_it")
+    base = docs.withColumn(use, F.row_number().over(Window.partitionBy(topic, slug).orderBy(order)))
     numbered = F.max(F.col(slug).rlike("-[0-9]+$").cast("int")).over(Window.partitionBy(topic))
-    base = base.withColumn("_fold", numbered)
-    final = F.when(F.col("_k") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_k").cast("string")))
-    easy = base.where("_fold = 0").withColumn("final_slug", final).drop("_k", "_fold")
-    hard = base.where("_fold = 1").drop("_k", "_fold")
+    base = base.withColumn(fold_it, numbered)
+    final = F.when(F.col(use) == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col(use).cast("string")))
+    easy = base.where(F.col(fold_it) == 0).withColumn("final_slug", final).drop(use, fold_it)
+    hard = base.where(F.col(fold_it) == 1).drop(use, fold_it)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
@@ -51,13 +53,13 @@ def unique_slugs(docs: DataFrame, topic: str, slug: str, order: str) -> DataFram
 
 def anchor_registry(docs: DataFrame, bundle: str, topic: str, title: str, order: str) -> DataFrame:
     """(bundle, kind, topic, title, pos, anchor): anchors of topics and their documents in order; the k-th use of a name is name-k."""
-    placed = docs.select(bundle, F.col(topic).alias("topic"), F.col(title).alias("title"), F.col(order).alias("pos")).withColumn("_first", F.min("pos").over(Window.partitionBy(bundle, "topic")))
-    tops = placed.groupBy(bundle, "topic").agg(F.min("pos").alias("pos")).select(bundle, F.lit("topic").alias("kind"), "topic", F.col("topic").alias("title"), F.lit(-1).cast("bigint").alias("pos"), F.col("pos").alias("_first"))
-    rows = placed.select(bundle, F.lit("document").alias("kind"), "topic", "title", F.col("pos").cast("bigint").alias("pos"), "_first").unionByName(tops)
+    placed = docs.select(bundle, F.col(topic).alias("topic"), F.col(title).alias("title"), F.col(order).alias("pos")).withColumn("first_pos", F.min("pos").over(Window.partitionBy(bundle, "topic")))
+    tops = placed.groupBy(bundle, "topic").agg(F.min("pos").alias("pos")).select(bundle, F.lit("topic").alias("kind"), "topic", F.col("topic").alias("title"), F.lit(-1).cast("bigint").alias("pos"), F.col("pos").alias("first_pos"))
+    rows = placed.select(bundle, F.lit("document").alias("kind"), "topic", "title", F.col("pos").cast("bigint").alias("pos"), "first_pos").unionByName(tops)
     rows = rows.withColumn("base", anchor(F.col("title")))
-    k = F.row_number().over(Window.partitionBy(bundle, "base").orderBy("_first", "topic", "pos"))
-    name = F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("_k").cast("string")))
-    return rows.withColumn("_k", k).select(bundle, "kind", "topic", "title", "pos", name.alias("anchor"))
+    k = F.row_number().over(Window.partitionBy(bundle, "base").orderBy("first_pos", "topic", "pos"))
+    name = F.when(F.col("use") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("use").cast("string")))
+    return rows.withColumn("use", k).select(bundle, "kind", "topic", "title", "pos", name.alias("anchor"))
 
 
 def ordered_text(parts: Column, order: Column, separator: str) -> Column:

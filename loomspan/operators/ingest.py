@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import keep_first, unused
+
 
 def topic_filter(values: list[str]) -> list[str]:
     """Trimmed, lower-cased, without blanks and repeats."""
@@ -41,7 +43,7 @@ def topic_reason(topic: Column, include: list[str], exclude: list[str]) -> Colum
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key in source order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    return keep_first(rows, F.row_number().over(Window.partitionBy(key).orderBy(order)))
 
 
 def scan_reasons(
@@ -54,15 +56,15 @@ def scan_reasons(
     """
     resumed = F.col(order) <= F.lit(boundary) if boundary is not None else F.lit(False)
     missing = F.col(key).isNull() | (F.col(key) == "") | F.col(topic).isNull() | (F.col(topic) == "")
-    staged = entries.withColumn("_resumed", resumed).withColumn("_missing", missing).withColumn("_mode", mode_allows(F.col(topic), mode, list(core)))
-    claims = F.when(~F.col("_missing") & (F.col("_resumed") | F.col("_mode")), F.lit(1))
-    place = F.sum(claims).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    staged = staged.withColumn("_place", place)
+    allowed = mode_allows(F.col(topic), mode, list(core))
+    claims = F.when(~missing & (resumed | allowed), F.lit(1))
+    place = unused(entries, "place")
+    staged = entries.withColumn(place, F.sum(claims).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     reason = (
-        F.when(F.col("_missing"), "missing_path_or_type").when(F.col("_resumed"), "resumed").when(~F.col("_mode"), "filtered_mode")
-        .when(F.col("_place") > 1, "duplicate_path").when(F.col(content).isNull(), "missing_content").when(F.trim(content) == "", "empty_markdown")
+        F.when(missing, "missing_path_or_type").when(resumed, "resumed").when(~allowed, "filtered_mode")
+        .when(F.col(place) > 1, "duplicate_path").when(F.col(content).isNull(), "missing_content").when(F.trim(content) == "", "empty_markdown")
     )
-    return staged.withColumn("skip_reason", reason).drop("_resumed", "_missing", "_mode", "_place")
+    return staged.withColumn("skip_reason", reason).drop(place)
 
 
 def skip_histogram(rows: DataFrame) -> DataFrame:

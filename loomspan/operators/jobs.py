@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def progress(events: DataFrame, job: str, idx: str, kind: str, message: str) -> DataFrame:
-    """(job, events, documents, failures, last_message, percent): the fold of a job's events."""
-    documents, failures = F.count_if(F.col(kind) == "assistant"), F.count_if(F.col(kind) == "system")
+def progress(events: DataFrame, job: str, idx: str, kind: str, message: str, document: str = "document", failure: str = "failure") -> DataFrame:
+    """(job, events, documents, failures, last_message, percent): the fold of a job's events; document and failure are the kinds that count as such."""
+    documents, failures = F.count_if(F.col(kind) == document), F.count_if(F.col(kind) == failure)
     return events.groupBy(job).agg(
         F.count(F.lit(1)).alias("events"), documents.alias("documents"), failures.alias("failures"), F.max_by(message, idx).alias("last_message"),
         F.round(documents * 100.0 / F.count(F.lit(1)), 2).alias("percent"),
@@ -34,23 +34,26 @@ def queue_positions(jobs: DataFrame, queue: str, seq: str) -> DataFrame:
 
 def trailing_failures(events: DataFrame, host: str, at: str, failed, minutes: int = 60, threshold: int = 3) -> DataFrame:
     """Events with failures of the host in the trailing window and whether that many open the breaker."""
-    frame = Window.partitionBy(host).orderBy(at)
-    seconds = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = events.withColumn("_us", seconds)
-    frame = Window.partitionBy(host).orderBy("_us").rangeBetween(-minutes * 60_000_000, 0)
-    return rows.withColumn("failures", F.sum(failed.cast("bigint")).over(frame)).withColumn("open", F.col("failures") >= threshold).drop("_us")
+    frame = Window.partitionBy(host).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-minutes * 60_000_000, 0)
+    return events.withColumn("failures", F.sum(failed.cast("bigint")).over(frame)).withColumn("open", F.col("failures") >= threshold)
 
 
 def breaker_states(events: DataFrame, host: str, at: str, order: str, failed: str, threshold: int = 3, window_s: float = 60.0, open_s: float = 60.0) -> DataFrame:
-    """(host, order, state) before each event: closed, open, or half_open when one probe may pass; a probe's outcome decides."""
+    """(host, order, state) before each event: closed, open, or half_open when one probe may pass; a probe's outcome decides.
+
+    ``at`` is a timestamp or date, or a whole number of microseconds.
+    """
+    kind = dict(events.dtypes)[at]
+    micros = F.col(at).cast("bigint") if kind in ("bigint", "int") else F.unix_micros(F.col(at).cast("timestamp"))
     schema = ", ".join(f"{c} {t}" for c, t in events.select(host, order).dtypes) + ", state string"
+    events = events.select(host, order, micros.alias("micros"), F.col(failed).cast("boolean").alias("bad"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order])
+        pdf = pdf.sort_values(["micros", order])
         failures: list[float] = []
         opened: float | None = None
         states = []
-        for now, bad in zip(pdf[at].astype("int64") / 1e6, pdf[failed], strict=True):
+        for now, bad in zip(pdf["micros"] / 1e6, pdf["bad"], strict=True):
             state = "closed" if opened is None else "half_open" if now - opened >= open_s else "open"
             states.append(state)
             if state == "open":

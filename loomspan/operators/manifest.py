@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import keep_first
+
 
 def document_hashes(docs: DataFrame, bundle: str, path: Column, text: str) -> DataFrame:
     return docs.select(bundle, path.alias("path"), F.sha2(text, 256).alias("sha256"), F.length(text).cast("bigint").alias("chars"))
@@ -31,15 +33,15 @@ def summary(changes: DataFrame, bundle: str) -> DataFrame:
 
 def newest(rows: DataFrame, by: str, order: list[Column], keep: int) -> DataFrame:
     """The ``keep`` newest rows of each group, one at least."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= max(1, keep)).drop("_n")
+    return keep_first(rows, F.row_number().over(Window.partitionBy(by).orderBy(*order)), max(1, keep))
 
 
 def run_differences(runs: DataFrame, bundle: str, run: str) -> DataFrame:
     """(bundle, run, path, status) of each run against the one before; runs hold (bundle, run, path, sha256)."""
-    numbered = runs.withColumn("_r", F.dense_rank().over(Window.partitionBy(bundle).orderBy(run)))
-    names = numbered.select(bundle, run, "_r").distinct()
-    now = numbered.select(bundle, "_r", "path", F.col("sha256").alias("now"))
-    before = numbered.select(bundle, (F.col("_r") + 1).alias("_r"), "path", F.col("sha256").alias("before"))
+    numbered = runs.withColumn("run_no", F.dense_rank().over(Window.partitionBy(bundle).orderBy(run)))
+    names = numbered.select(bundle, run, "run_no").distinct()
+    now = numbered.select(bundle, "run_no", "path", F.col("sha256").alias("now"))
+    before = numbered.select(bundle, (F.col("run_no") + 1).alias("run_no"), "path", F.col("sha256").alias("before"))
     status = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("now") != F.col("before"), "changed")
-    changes = now.join(before, [bundle, "_r", "path"], "full").withColumn("status", status).where("status is not null and _r > 1")
-    return changes.join(names, [bundle, "_r"]).select(bundle, run, "path", "status")
+    changes = now.join(before, [bundle, "run_no", "path"], "full").withColumn("status", status).where("status is not null and run_no > 1")
+    return changes.join(names, [bundle, "run_no"]).select(bundle, run, "path", "status")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..frames import keep_first
+
 
 def latest_by(rows: DataFrame, keys: list[Column], value: Column, order: Column, name: str) -> DataFrame:
     """The value of the last row of each key; at a tie of run dates the later line."""
@@ -25,7 +27,7 @@ def last_trend(rows: DataFrame, language: str, score: str, pos: str, band: float
 
 
 def last_n(rows: DataFrame, language: str, run_date: str, pos: str, n: int) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(language).orderBy(F.desc(run_date), F.desc(pos)))).where(F.col("_n") <= n).drop("_n")
+    return keep_first(rows, F.row_number().over(Window.partitionBy(language).orderBy(F.desc(run_date), F.desc(pos))), n)
 
 
 def confidence(documents: Column, success: Column) -> Column:

@@ -15,7 +15,7 @@ from ..sources.tables import table
       round(count(*) FILTER (role = 'assistant') * 100.0 / count(*), 2) AS percent FROM conversations GROUP BY conv_id""",
 )
 def job_progress_fold(spark, sf_dir):
-    return J.progress(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return J.progress(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", "assistant", "system")
 
 
 @register("event_replay_from", "SELECT DISTINCT conv_id, turn FROM conversations WHERE turn >= 2")

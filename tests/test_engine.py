@@ -40,7 +40,7 @@ def test_resolution(spark):
     wanted = spark.createDataFrame([(x,) for x in ("py", "js", "python 3.12", "vue 3", ".NET", "cobol")], "request string")
     got = {r["request"]: (r["source"], r["slug"]) for r in catalog.resolve(catalog.with_terms(fixture_catalog(spark)), wanted).collect()}
     assert got == {
-        "py": ("devdocs", "python~3.13"), "js": ("mdn", "javascript"), "python 3.12": ("devdocs", "python~3.12"), "vue 3": ("dash", "Vue"), ".NET": ("devdocs", "net"), "cobol": (None, None),
+        "py": ("hub", "python~3.13"), "js": ("archive", "javascript"), "python 3.12": ("hub", "python~3.12"), "vue 3": ("docset", "Vue"), ".NET": ("hub", "net"), "cobol": (None, None),
     }
 
 
@@ -146,7 +146,7 @@ def test_sources(spark, tmp_path):
     assert [r["name"] for r in spark.read.format("docset").load(str(tmp_path / "*.dsidx")).orderBy("pos").collect()] == ["alpha", "beta"]
     assert [r["member"] for r in spark.read.format("archive").option("suffix", "/index.md").load(str(tmp_path / "*.tar.gz")).collect()] == ["files/x/index.md"]
     assert sorted(r["a"] for r in external.json_lines(spark, str(tmp_path / "rows.jsonl"), "a int").collect()) == [1, 2]
-    got = {r["slug"]: r["family"] for r in external.json_catalog(spark, str(tmp_path / "catalog.json"), "devdocs").collect()}
+    got = {r["slug"]: r["family"] for r in external.json_catalog(spark, str(tmp_path / "catalog.json"), "hub").collect()}
     assert got == {"python~3.12": "python", "go": "go"}
 
 
