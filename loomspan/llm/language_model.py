@@ -1,6 +1,6 @@
 """Perplexity under an interpolated modified Kneser-Ney n-gram model of the whole corpus.
 
-Tokens are words (see ``words``) as 48-bit hashes; ``order`` - 1 start marks stand before a document and an end mark
+Tokens are words (see ``words``) by their numbers in the vocabulary; ``order`` - 1 start marks stand before a document and an end mark
 behind it.  With h for the words before w, and h' for h without its first word:
 
     p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h.) + g(h) p(w | h')
@@ -11,10 +11,15 @@ the number of distinct words that w follows, A their sum, V the number of words
 the rest: any unknown word).  Every order has one discount each for counts of one, two, and three or more, from its
 counts of counts; g(h) and g' hand on what was discounted.  A context that was never seen leaves it to the next shorter.
 
-Counting: each task combines the n-grams of a block of documents and sends them as
-blobs to the slice of the hash range of their context.  A slice sums them and writes
-its part of the model to the shared folder: sorted context hashes, and the successors
-of each context as sorted hashes with counts.  Its distinct n-grams without their first word
+Vocabulary: each task sends its distinct words (64-bit hashes) with counts to the slice of their hash range.  A slice
+writes a sorted hash array with the number of each word: its rank by frequency among the words of the
+slice, times the slices, plus the slice, so that numbers are dense and frequent words have low ones.
+
+Counting: each task combines the n-grams of a block of documents and sends them as blobs to the slice of their context.  A context of
+one or two words is its numbers put through a bijection, which spreads them evenly over the slices and keeps them apart for
+certain; a longer one is a 64-bit hash.  A slice sums its n-grams and writes its part of the model to the shared folder: contexts as a
+sorted hash array of which the leading bits are a directory, and the successors of each as sorted word numbers with counts;
+contexts of a single successor hold it at their own place.  Its distinct n-grams without their first word
 go to the slices of the next lower order, which count and write them in the same way, down to single words.
 Only a few numbers a slice reach the driver.  Scoring maps these files into memory and looks
 up the n-grams of a block together, in hash order.
@@ -45,19 +50,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .store import local_path, materialise, partitions, scratch
+from .store import local_path, materialise, scratch, slices_for
 from .words import chunks, mix, word_hashes
 
-BITS = 48
-START, END = np.uint64(1), np.uint64(2)
-BLOCK_TOKENS = 900_000
+#: Numbers that are no word's: unknown words, and the marks.
+UNKNOWN, START, END, FIRST = (np.uint64(x) for x in range(4))
+BLOCK_TOKENS = 1_200_000
+#: Distinct words that a task collects before it sends them.
+BLOCK_WORDS = 600_000
 STATS = "part string, slice int, target int, piece binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n3plus bigint, total bigint, types bigint"
 
 
-def word_sequence(texts: list[str], order: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+def word_sequence(texts: list[str], order: int, number: Callable[[np.ndarray], np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     """(the first to the last word of every n-gram, n-grams a text) with marks; a text without words has none."""
-    words, counts = word_hashes(texts)
-    words = np.maximum(words >> np.uint64(64 - BITS), np.uint64(3))
+    hashes, counts = word_hashes(texts)
+    words = number(hashes)
     per_text = np.where(counts > 0, counts + 1, 0)
     padded = np.where(counts > 0, counts + order, 0)
     begins = np.cumsum(padded) - padded
@@ -71,14 +78,40 @@ def word_sequence(texts: list[str], order: int = 2) -> tuple[list[np.ndarray], n
     return [flat[at + i] for i in range(order)], per_text
 
 
-def context_hash(words: list[np.ndarray]) -> np.ndarray:
-    """48 bits of one or more words in order; a single word stands for itself."""
-    if len(words) == 1:
-        return words[0]
+_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def spread(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of ``bits`` bits that looks random."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for odd in _ODD:
+        x = x * np.uint64(odd) & mask
+        x = x ^ x >> half
+    return x
+
+
+def gather(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of ``spread``."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for odd in reversed(_ODD):
+        x = x ^ x >> half
+        x = x * np.uint64(pow(odd, -1, 1 << 64)) & mask
+    return x
+
+
+def context_bits(words: int, bits: int) -> int:
+    return words * bits if words <= 2 else 64
+
+
+def context_key(words: list[np.ndarray], bits: int) -> np.ndarray:
+    """The key of one or more words in order: a bijection of one or two numbers of ``bits`` bits, else a hash."""
+    if len(words) <= 2:
+        joined = words[0] if len(words) == 1 else words[0] << np.uint64(bits) | words[1]
+        return spread(joined, context_bits(len(words), bits))
     h = np.zeros(len(words[0]), np.uint64)
     for w in words:
-        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + w + np.uint64(1))
-    return h >> np.uint64(64 - BITS)
+        h = mix(h * np.uint64(_ODD[1]) + w + np.uint64(1))
+    return h
 
 
 def distinct_ngrams(context: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +134,24 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _encode(context: np.ndarray, middle: list[np.ndarray], word: np.ndarray, counts: np.ndarray) -> bytes:
-    """Distinct n-grams in order; middle are a context's words but its first."""
+    """Distinct n-grams in order; middle are a context's words but its first, where its key doesn't give them."""
     at = _runs(context)
-    words, place = np.unique(np.concatenate([m[at] for m in middle] + [word]), return_inverse=True)
-    parts = np.split(place, [len(at) * (i + 1) for i in range(len(middle))])
-    return blobs.encode([context[at], words, np.diff(np.concatenate((at, [len(context)]))), *parts, counts], (0, 1))
+    return blobs.encode([context[at], np.diff(np.concatenate((at, [len(context)]))), word, counts, *[m[at] for m in middle]], (0,))
 
 
 def _decode(blob: bytes) -> list[np.ndarray]:
     """[context, middle words ..., word, count]."""
-    context, words, lengths, *parts, counts = blobs.decode(blob)
+    context, lengths, word, counts, *middle = blobs.decode(blob)
     lengths = lengths.astype(np.int64)
-    middle = [np.repeat(words[p.astype(np.int64)], lengths) for p in parts[:-1]]
-    return [np.repeat(context, lengths), *middle, words[parts[-1].astype(np.int64)], counts.astype(np.int64)]
+    return [np.repeat(context, lengths), *[np.repeat(m, lengths) for m in middle], word, counts.astype(np.int64)]
 
 
-def _pieces(context: np.ndarray, middle: list[np.ndarray], word: np.ndarray, counts: np.ndarray | None, n_slices: int) -> Iterator[tuple[int, bytes]]:
+def _pieces(words: list[np.ndarray], counts: np.ndarray | None, bits: int, n_slices: int) -> Iterator[tuple[int, bytes]]:
     """(slice, blob) of n-grams, equal ones summed."""
+    context, word, middle = context_key(words[:-1], bits), words[-1], words[1:-1] if len(words) > 3 else []
     keep, summed = distinct_ngrams(context, word, counts)
     context, middle, word = context[keep], [m[keep] for m in middle], word[keep]
-    bounds = blobs.slices(context, BITS, n_slices)
+    bounds = blobs.slices(context, context_bits(len(words) - 1, bits), n_slices)
     for s in range(n_slices):
         a, b = bounds[s], bounds[s + 1]
         if a < b:
@@ -178,6 +209,58 @@ def _counts(part: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarra
     return counts
 
 
+def _narrow(name: str, values: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """Numbers of ``width`` bytes."""
+    return {name: np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), f"{name}_width": np.array([width], np.int64)}
+
+
+def _wide(part: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    width = int(part[f"{name}_width"][0])
+    rows = part[name].reshape(-1, width)[at]
+    out = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        out |= rows[:, k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _keys(name: str, keys: np.ndarray, slice_: int, bits: int, n_slices: int) -> dict[str, np.ndarray]:
+    """Sorted keys of a slice: their leading bits as a directory of where they begin, the rest as bytes."""
+    base = (slice_ << bits) // n_slices
+    room = max(1, ((slice_ + 1) << bits) // n_slices - base)
+    low = max(0, -(-max(0, room.bit_length() - max(1, len(keys)).bit_length()) // 8)) * 8
+    own = keys - np.uint64(base)
+    directory = np.searchsorted(own >> np.uint64(low), np.arange((room >> low) + 2, dtype=np.uint64))
+    kind = np.uint32 if len(keys) < 1 << 32 else np.int64
+    return {f"{name}_base": np.array([base, low], np.uint64), f"{name}_dir": directory.astype(kind), **_narrow(f"{name}_low", own & np.uint64((1 << low) - 1), max(1, low // 8))}
+
+
+def _find(part: dict[str, np.ndarray], name: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the keys, whether it is there)."""
+    base, low = part[f"{name}_base"]
+    own = wanted - base
+    directory = part[f"{name}_dir"]
+    if len(directory) < 2 or not int(directory[-1]):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    bucket = np.minimum((own >> low).astype(np.int64), len(directory) - 2)
+    return _ragged(part, f"{name}_low", directory[bucket].astype(np.int64), directory[bucket + 1].astype(np.int64), own & np.uint64((1 << int(low)) - 1))
+
+
+def _ragged(part: dict[str, np.ndarray], name: str, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) by binary search for wanted[i] among the sorted numbers begin[i] to end[i]."""
+    a, b = begin.copy(), end.copy()
+    open_ = np.flatnonzero(a < b)
+    while len(open_):
+        middle = (a[open_] + b[open_]) >> 1
+        below = _wide(part, name, middle) < wanted[open_]
+        a[open_[below]] = middle[below] + 1
+        b[open_[~below]] = middle[~below]
+        open_ = open_[a[open_] < b[open_]]
+    inside = np.flatnonzero(a < end)
+    known = np.zeros(len(a), bool)
+    known[inside] = _wide(part, name, a[inside]) == wanted[inside]
+    return np.where(known, a, 0), known
+
+
 def _stats(part: str, slice_: int, numbers: list[int], total: int, types: int) -> dict:
     return dict(zip(("part", "slice", "target", "piece", "n1", "n2", "n3", "n4", "n3plus", "total", "types"), (part, slice_, -1, None, *numbers, total, types), strict=True))
 
@@ -187,6 +270,7 @@ class Trained:
     folder: str
     slices: int
     order: int
+    bits: int
     discount: dict[int, np.ndarray]
     low_discount: np.ndarray
     continuations: int
@@ -194,28 +278,105 @@ class Trained:
     low_rest: float
 
 
+class Vocabulary:
+    """Word numbers from the sorted hash arrays, mapped into memory."""
+
+    def __init__(self, folder: str, slices: int):
+        self.folder, self.slices = folder, slices
+        self.parts: dict[int, dict[str, np.ndarray] | None] = {}
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        distinct, place = np.unique(hashes, return_inverse=True)
+        numbers = np.full(len(distinct), UNKNOWN)
+        bounds = blobs.slices(distinct, 64, self.slices)
+        for t in np.flatnonzero(np.diff(bounds)):
+            if t not in self.parts:
+                path = os.path.join(self.folder, f"vocabulary-{t}")
+                self.parts[t] = _load(path) if os.path.exists(path) else None
+            part = self.parts[t]
+            if part:
+                some = distinct[bounds[t] : bounds[t + 1]]
+                at = np.minimum(np.searchsorted(part["key"], some), len(part["key"]) - 1)
+                numbers[bounds[t] : bounds[t + 1]] = np.where(part["key"][at] == some, part["number"][at], UNKNOWN)
+        return numbers[place]
+
+
+def _count_words(docs: DataFrame, folder: str, n_slices: int) -> int:
+    """Write the vocabulary; the bits of its numbers."""
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def fold() -> None:
+            nonlocal words, counts, held, size
+            some, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            words, place = np.unique(np.concatenate((words, some)), return_inverse=True)
+            counts = np.bincount(place, np.concatenate((counts, n)).astype(np.float64), len(words)).astype(np.int64)
+            held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            bounds = blobs.slices(words, 64, n_slices)
+            out = [(t, blobs.encode([words[a:b], counts[a:b]], (0,))) for t, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+            return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["target", "piece"])
+
+        for batch in batches:
+            for _, texts in chunks(x.as_py() for x in batch.column(0)):
+                held.append(word_hashes(texts)[0])
+                size += len(held[-1])
+                if size >= BLOCK_TOKENS:
+                    fold()
+                    if len(words) >= BLOCK_WORDS:
+                        yield flush()
+                        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        fold()
+        if len(words):
+            yield flush()
+
+    def number(group: pa.Table) -> pa.Table:
+        t = group.column("target")[0].as_py()
+        pieces = [blobs.decode(x.as_py()) for x in group.column("piece")]
+        words, place = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([p[1] for p in pieces]).astype(np.float64), len(words))
+        rank = np.empty(len(words), np.uint64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint64)
+        numbers = FIRST + rank * np.uint64(n_slices) + np.uint64(t)
+        _save(local_path(folder), f"vocabulary-{t}", {"key": words, "number": numbers.astype(np.uint32 if int(numbers.max()) < 1 << 32 else np.uint64)})
+        return pa.table({"most": pa.array([int(numbers.max())], pa.int64())})
+
+    texts = docs.select("text").where("text is not null")
+    most = materialise(texts.mapInArrow(words_of, "target int, piece binary").groupBy("target").applyInArrow(number, "most bigint"), "lm-vocabulary").agg(F.max("most")).first()[0]
+    bits = int(most or FIRST).bit_length()
+    if bits > 32:
+        raise ValueError("more than four thousand million distinct words")
+    return bits
+
+
 def train(docs: DataFrame, order: int = 2) -> Trained:
     """Count every document and write the model of n-grams of ``order`` words, 2 or more, to the shared folder."""
     if order < 2:
         raise ValueError(f"the order is 2 or more, not {order}")
-    spark = docs.sparkSession
-    n_slices = partitions(spark)
-    uri = scratch(spark, "lm")
+    n_slices = slices_for(docs, "text")
+    uri = scratch(docs.sparkSession, "lm")
     folder = local_path(uri)
     os.makedirs(folder, exist_ok=True)
+    bits = _count_words(docs, uri, n_slices)
+    width = (bits + 7) // 8
 
     def count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Vocabulary(folder, n_slices)
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             words = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            out = list(_pieces(context_hash(words[:-1]), words[1:-1], words[-1], None, n_slices))
+            out = list(_pieces(words, None, bits, n_slices))
             return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["target", "piece"])
 
         for batch in batches:
             for _, texts in chunks(x.as_py() for x in batch.column(0)):
-                words, per_text = word_sequence(texts, order)
+                words, per_text = word_sequence(texts, order, number)
                 held.append(words)
                 size += int(per_text.sum())
                 if size >= BLOCK_TOKENS:
@@ -233,22 +394,26 @@ def train(docs: DataFrame, order: int = 2) -> Trained:
             return group
         context, *middle, word, counts = _sum_pieces(group.column("piece"))
         at = _runs(context)
-        ends = np.concatenate((at, [len(context)]))
+        ends = np.concatenate((at[1:], [len(context)]))
         add = lambda x: np.add.reduceat(x.astype(np.int64), at)
-        low = (word & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        by_low = np.lexsort((low, np.repeat(np.arange(len(at)), np.diff(ends))))
-        keys = context[at]
+        lone = ends - at == 1
+        several = np.repeat(~lone, ends - at)
+        key_bits, keys = context_bits(level - 1, bits), context[at]
+        offsets = np.concatenate(([0], np.cumsum((ends - at)[~lone])))
         _save(folder, f"level{level}-{s}", {
-            "high": (keys >> np.uint64(16)).astype(np.uint32), "key_low": (keys & np.uint64(0xFFFF)).astype(np.uint16), "offset": ends.astype(np.uint32 if len(context) < 1 << 32 else np.int64),
-            **_compact("total", add(counts)), **_compact("n1", add(counts == 1)), **_compact("n2", add(counts == 2)), "low": low[by_low], **_compact("count", counts[by_low]),
+            **_keys("one", keys[lone], s, key_bits, n_slices), **_narrow("one_word", word[at[lone]], width), **_compact("one_count", counts[at[lone]]),
+            **_keys("key", keys[~lone], s, key_bits, n_slices), "offset": offsets.astype(np.uint32 if len(context) < 1 << 32 else np.int64),
+            **_compact("total", add(counts)[~lone]), **_compact("n1", add(counts == 1)[~lone]), **_compact("n2", add(counts == 2)[~lone]), **_narrow("word", word[several], width), **_compact("count", counts[several]),
         })
         rows = [_stats(f"level{level}", s, counts_of_counts(counts), int(counts.sum()), len(counts))]
         if level > 2:
-            lower = _pieces(context_hash(middle), middle[1:], word, np.ones(len(word), np.int64), n_slices)
+            if level == 3:
+                middle = [gather(context, key_bits) & np.uint64((1 << bits) - 1)]
+            lower = _pieces([*middle, word], np.ones(len(word), np.int64), bits, n_slices)
         else:
-            words, follows = np.unique(word, return_counts=True)
-            bounds = blobs.slices(words, BITS, n_slices)
-            lower = ((t, blobs.encode([words[a:b], follows[a:b]], (0,))) for t, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b)
+            keys, follows = np.unique(spread(word, bits), return_counts=True)
+            bounds = blobs.slices(keys, bits, n_slices)
+            lower = ((t, blobs.encode([keys[a:b], follows[a:b]], (0,))) for t, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b)
         rows += [_stats("piece", s, [0] * 5, 0, 0) | {"target": t, "piece": piece} for t, piece in lower]
         return _table(rows)
 
@@ -257,10 +422,10 @@ def train(docs: DataFrame, order: int = 2) -> Trained:
         if t < 0:
             return group
         pieces = [blobs.decode(x.as_py()) for x in group.column("piece")]
-        words, place = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
-        follows = np.bincount(place, np.concatenate([p[1] for p in pieces]).astype(np.float64), len(words)).astype(np.int64)
-        _save(folder, f"word-{t}", {"key": words, "follows": follows.astype(np.uint32 if follows.max() < 1 << 32 else np.int64)})
-        return _table([_stats("word", t, counts_of_counts(follows), int(follows.sum()), len(words))])
+        keys, place = np.unique(np.concatenate([p[0] for p in pieces]), return_inverse=True)
+        follows = np.bincount(place, np.concatenate([p[1] for p in pieces]).astype(np.float64), len(keys)).astype(np.int64)
+        _save(folder, f"word-{t}", {**_keys("key", keys, t, bits, n_slices), "follows": follows.astype(np.uint32 if follows.max() < 1 << 32 else np.int64)})
+        return _table([_stats("word", t, counts_of_counts(follows), int(follows.sum()), len(keys))])
 
     summed = docs.select("text").where("text is not null").mapInArrow(count_blocks, "target int, piece binary").withColumn("group", F.col("target"))
     for level in range(order, 1, -1):
@@ -272,11 +437,11 @@ def train(docs: DataFrame, order: int = 2) -> Trained:
     sums = {r["part"]: r for r in stats.groupBy("part").agg(*[F.sum(c).alias(c) for c in numbers]).collect()}
     low = sums.get("word")
     if low is None:
-        return Trained(uri, n_slices, order, {k: discounts(0, 0, 0, 0) for k in range(2, order + 1)}, discounts(0, 0, 0, 0), 0, 0, 1.0)
+        return Trained(uri, n_slices, order, bits, {k: discounts(0, 0, 0, 0) for k in range(2, order + 1)}, discounts(0, 0, 0, 0), 0, 0, 1.0)
     d = {part: discounts(r["n1"], r["n2"], r["n3"], r["n4"]) for part, r in sums.items()}
     e = d["word"]
     rest = float(e[1] * low["n1"] + e[2] * low["n2"] + e[3] * low["n3plus"]) / low["total"]
-    return Trained(uri, n_slices, order, {k: d[f"level{k}"] for k in range(2, order + 1)}, e, int(low["total"]), int(low["types"]), rest)
+    return Trained(uri, n_slices, order, bits, {k: d[f"level{k}"] for k in range(2, order + 1)}, e, int(low["total"]), int(low["types"]), rest)
 
 
 def _sum_pieces(pieces: pa.ChunkedArray) -> list[np.ndarray]:
@@ -305,17 +470,17 @@ class Reader:
         return self.parts[name]
 
     def unigram(self, words: np.ndarray) -> np.ndarray:
-        """p(w) of sorted distinct words."""
+        """p(w) of distinct words."""
         m = self.model
-        follows = np.zeros(len(words), np.int64)
-        bounds = blobs.slices(words, BITS, m.slices)
-        for t in range(m.slices):
-            a, b = bounds[t], bounds[t + 1]
-            part = self.part(f"word-{t}") if a < b else None
+        keys = spread(words, m.bits)
+        order = np.argsort(keys)
+        follows, keys = np.zeros(len(words), np.int64), keys[order]
+        bounds = blobs.slices(keys, m.bits, m.slices)
+        for t in np.flatnonzero(np.diff(bounds)):
+            part = self.part(f"word-{t}")
             if part:
-                key = part["key"]
-                at = np.minimum(np.searchsorted(key, words[a:b]), len(key) - 1)
-                follows[a:b] = np.where(key[at] == words[a:b], part["follows"][at], 0)
+                at, known = _find(part, "key", keys[bounds[t] : bounds[t + 1]])
+                follows[order[bounds[t] : bounds[t + 1]]] = np.where(known, part["follows"][at], 0)
         rest = m.low_rest / (m.vocabulary + 1)
         return np.maximum(follows - m.low_discount[np.minimum(follows, 3)], 0) / max(1, m.continuations) + rest
 
@@ -324,7 +489,7 @@ class Reader:
         distinct, place = np.unique(words[-1], return_inverse=True)
         p = self.unigram(distinct)[place]
         for level in range(2, self.model.order + 1):
-            context = context_hash(words[-level:-1])
+            context = context_key(words[-level:-1], self.model.bits)
             order = np.argsort(context)
             p[order] = self._interpolate(level, context[order], words[-1][order], p[order])
         return p
@@ -333,60 +498,53 @@ class Reader:
         """p in one order, in order of the contexts, from that in the order below."""
         m, out = self.model, low.copy()
         d = m.discount[level]
-        bounds = blobs.slices(context, BITS, m.slices)
-        for s in range(m.slices):
+        bounds = blobs.slices(context, context_bits(level - 1, m.bits), m.slices)
+        for s in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[s], bounds[s + 1]
-            part = self.part(f"level{level}-{s}") if a < b else None
+            part = self.part(f"level{level}-{s}")
             if not part:
                 continue
             begins = _runs(context[a:b])
             each, back = context[a:b][begins], np.repeat(np.arange(len(begins)), np.diff(np.concatenate((begins, [b - a]))))
-            at, known = _find_context(part, each)
-            begin, end = part["offset"][at].astype(np.int64), part["offset"][at + 1].astype(np.int64)
-            counts = _ragged_counts(part, begin[back], end[back], (word[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            total, n1, n2 = (_counts(part, name, at) for name in ("total", "n1", "n2"))
-            rest = (d[1] * n1 + d[2] * n2 + d[3] * (end - begin - n1 - n2)) / total
+            total, n1, n2, types = (np.ones(len(each), np.int64) for _ in range(4))
+            counts = np.zeros(b - a, np.int64)
+            at, lone = _find(part, "one", each)
+            if lone.any():
+                single = _counts(part, "one_count", at[lone])
+                total[lone], n1[lone], n2[lone] = single, single == 1, single == 2
+                mine = np.flatnonzero(lone[back])
+                hit = _wide(part, "one_word", at[back[mine]]) == word[a:b][mine]
+                counts[mine] = np.where(hit, total[back[mine]], 0)
+            some = np.flatnonzero(~lone)
+            place, known = _find(part, "key", each[some])
+            many, place = some[known], place[known]
+            if len(many):
+                total[many], n1[many], n2[many] = (_counts(part, name, place) for name in ("total", "n1", "n2"))
+                begin, end = np.zeros(len(each), np.int64), np.zeros(len(each), np.int64)
+                begin[many], end[many] = part["offset"][place], part["offset"][place + 1]
+                types[many] = end[many] - begin[many]
+                found = np.zeros(len(each), bool)
+                found[many] = True
+                mine = np.flatnonzero(found[back])
+                spot, hit = _ragged(part, "word", begin[back[mine]], end[back[mine]], word[a:b][mine])
+                counts[mine[hit]] = _counts(part, "count", spot[hit])
+            seen = lone.copy()
+            seen[many] = True
+            rest = (d[1] * n1 + d[2] * n2 + d[3] * (types - n1 - n2)) / total
             p = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total[back] + rest[back] * low[a:b]
-            out[a:b] = np.where(known[back], p, low[a:b])
+            out[a:b] = np.where(seen[back], p, low[a:b])
         return out
 
 
-def _find_context(part: dict[str, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place among the contexts, whether it is there)."""
-    high, key_low = part["high"], part["key_low"]
-    want, want_low, last = (wanted >> np.uint64(16)).astype(np.uint32), (wanted & np.uint64(0xFFFF)).astype(np.uint16), len(high) - 1
-    at = np.minimum(np.searchsorted(high, want), last)
-    while True:  # contexts of equal high bits are few
-        move = np.flatnonzero((at < last) & (high[at] == want) & (key_low[at] < want_low))
-        if not len(move):
-            return at, (high[at] == want) & (key_low[at] == want_low)
-        at[move] += 1
-
-
-def _ragged_counts(part: dict[str, np.ndarray], low: np.ndarray, high: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Counts by binary search for wanted[i] among the successors low[i] to high[i]."""
-    keys = part["low"]
-    a, b = low.copy(), high.copy()
-    open_ = np.flatnonzero(a < b)
-    while len(open_):
-        middle = (a[open_] + b[open_]) >> 1
-        below = keys[middle] < wanted[open_]
-        a[open_[below]] = middle[below] + 1
-        b[open_[~below]] = middle[~below]
-        open_ = open_[a[open_] < b[open_]]
-    at = np.minimum(a, len(keys) - 1)
-    return np.where((a < high) & (keys[at] == wanted), _counts(part, "count", at), 0)
-
-
 def score(docs: DataFrame, model: Trained) -> DataFrame:
     """(doc_id, n_tokens, log_prob, perplexity) of each row; n_tokens counts the end mark, log_prob is natural."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        reader, number = Reader(model), Vocabulary(local_path(model.folder), model.slices)
         for batch in batches:
             held, size = [], 0
             for start, some in chunks(x.as_py() for x in batch.column(1)):
-                held.append((start, *word_sequence(some, model.order)))
+                held.append((start, *word_sequence(some, model.order, number)))
                 size += int(held[-1][2].sum())
                 if size >= BLOCK_TOKENS:
                     yield rows(batch, reader, held)
