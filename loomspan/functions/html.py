@@ -226,7 +226,14 @@ def _items(node: Node) -> list[Node]:
 
 
 def _table(node: Node, base: str) -> list[str]:
-    rows = [[_inline(c, base).strip().replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in node.walk() if r.tag == "tr"]
+    own, stack = [], list(reversed(node.children))
+    while stack:  # rows of the table itself; a table in a cell is text of the cell
+        c = stack.pop()
+        if isinstance(c, Node) and c.tag == "tr":
+            own.append(c)
+        elif isinstance(c, Node) and c.tag != "table":
+            stack += reversed(c.children)
+    rows = [[_inline(c, base).strip().replace("|", "\\|") for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in own]
     rows = [r for r in rows if r]
     if not rows:
         return []

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import identifiers
-from ..storage import touch
+from ..storage import remove, touch
 from . import query as Q
 from .search import B, K1, MIN_IDF, clamp
 
@@ -102,18 +102,23 @@ def write_index(docs: DataFrame, folder: str, id_column: str = "doc_id", text_co
     language = F.coalesce(F.col(language_column), F.lit(NO_LANGUAGE)).alias("language")
 
     def save(rows: DataFrame, part: str, *by: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).partitionBy("language", *by).parquet(f"{folder}/{part}")
+        rows.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).partitionBy("language", *by).parquet(f"{folder}/{part}")
 
     def spread(rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", _bucket(F.col("term"))).repartition("language", "bucket", F.pmod(F.xxhash64(id_column), F.lit(2))).sortWithinPartitions("language", "bucket", "term", id_column)
 
+    spark = docs.sparkSession
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for (name,) in docs.select(language).distinct().collect():  # languages are few; what they had goes whole, also buckets that get nothing now
+        for part in ("postings", "documents", "identifiers"):
+            remove(spark, f"{folder}/{part}/language={escape(name)}")
     made = postings(docs, id_column, text_column, keep)
     save(spread(made.select("term", id_column, "tf", "len", "positions", *[F.col(a).alias(f"a_{a}") for a in attributes], language)), "postings", "bucket")
     length = F.regexp_count(F.lower(F.col(text_column)), F.lit("[a-z0-9]+")).cast("bigint")
     save(docs.select(id_column, F.coalesce(length, F.lit(0)).alias("len"), *[F.col(a).alias(f"a_{a}") for a in attributes], language), "documents")
     terms = docs.select(F.explode(identifiers(F.col(text_column))).alias("term"), id_column, *([F.col("title")] if "title" in docs.columns else []), language)
     save(spread(terms), "identifiers", "bucket")
-    touch(docs.sparkSession, f"{folder}/COMPLETE")
+    touch(spark, f"{folder}/COMPLETE")
     return Index(folder, id_column, tuple(attributes))
 
 

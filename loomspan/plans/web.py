@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import url as U
+from ..operators import adapters as A
 from ..registry import register
 from ..sources.tables import table
 
@@ -59,19 +60,13 @@ def html_links(spark, sf_dir):
 
 @register(
     "crawl_depth1",
-    """WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(a) AS target, generate_subscripts(a, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS a FROM pages)),
-    f AS (SELECT page_id, target, min(pos) AS pos FROM l GROUP BY ALL)
-    SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM f QUALIFY place <= 4""",
+    """WITH l AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || unnest(a) AS target, generate_subscripts(a, 1) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS a FROM pages)),
+    f AS (SELECT page_id, target, min(pos) AS pos FROM (SELECT page_id, target, pos FROM l UNION ALL SELECT page_id, url, 0 FROM pages) GROUP BY ALL)
+    SELECT page_id, target, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS place FROM f QUALIFY place <= 5""",
 )
 def crawl_depth1(spark, sf_dir):
-    """Links of each page in order, once each; with the page itself at most five are fetched."""
-    from pyspark.sql import Window
-
-    links = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))).alias("pos", "href"))
-    targets = links.select("page_id", F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), "href").alias("target"), "pos")
-    first = targets.groupBy("page_id", "target").agg(F.min("pos").alias("pos"))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint")
-    return first.withColumn("place", place).where("place <= 4").select("page_id", "target", "place")
+    """Each page and its links in order, anywhere on the site, once each; at most five are fetched."""
+    return A.crawl(table(spark, sf_dir, "pages"), "page_id", "url", "html", prefix=F.lit("/"), most=5)
 
 
 @register("html_to_markdown")

@@ -126,3 +126,56 @@ def checked_sidecars(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(~F.col("path").endswith(".meta.json"))
     files = files.select(F.regexp_replace("path", "^file:/+", "").alias("path"), F.sha2("content", 256).alias("sha"), "length")
     return meta.join(files, "path", "left").select("path", F.coalesce((F.col("sha") == F.col("checksum")) & (F.col("length") == F.col("byte_count")), F.lit(False)).alias("valid"))
+
+
+def write_manifest(entries: DataFrame, path: str, source: str, strategy: str, fallback_reason: str = "") -> None:
+    """A catalog manifest: one JSON object an entry, with the source, how it was discovered, when, and why a fallback was used."""
+    head = {"source": source, "discovery_strategy": strategy, "fallback_reason": fallback_reason}
+    rows = entries.select("*", *[F.lit(v).alias(f"manifest_{k}") for k, v in head.items()], F.current_timestamp().alias("manifest_fetched_at"))
+    rows.write.mode("overwrite").json(path)  # the commit protocol moves files into place when all are written
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a manifest but for ignored ones; a missing support level is supported."""
+    rows = spark.read.option("mode", "DROPMALFORMED").json(path)
+    level = F.coalesce(F.nullif("support_level", F.lit("")), F.lit("supported"))
+    return rows.withColumn("support_level", level).where("support_level <> 'ignored'")
+
+
+CHECKPOINT_VERSION = 1
+
+
+def checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, phase, emitted_document_count, document_inventory_position, updated_at, file) of checkpoint files of this schema version; others and broken ones are left out."""
+    rows = json_with_corrupt(spark, path, "schema_version int, slug string, phase string, emitted_document_count bigint, document_inventory_position bigint, updated_at string")
+    return rows.where(F.col("_corrupt_record").isNull() & (F.col("schema_version") == CHECKPOINT_VERSION)).drop("_corrupt_record", "schema_version")
+
+
+def cache_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """(path, source, cache_key, policy, byte_count, raw) of all sidecars; those that don't parse are kept with their text as raw."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*meta.json").text(root, wholetext=True).withColumn("path", F.input_file_name())
+    meta = F.from_json("value", "source string, cache_key string, policy string, byte_count bigint, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = files.select("path", meta.alias("m"), "value")
+    return rows.select("path", "m.source", "m.cache_key", "m.policy", "m.byte_count", F.when(F.col("m._corrupt_record").isNotNull(), F.col("value")).alias("raw"))
+
+
+def _json_or_none(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file of the driver's own configuration."""
+    from ..storage import exists
+
+    return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else None
+
+
+def settings(spark: SparkSession, defaults: dict[str, str], path: str) -> dict[str, str]:
+    """Defaults overlaid by a file of one JSON object; a missing or broken file leaves them."""
+    text = _json_or_none(spark, path)
+    given = spark.range(1).select(F.from_json(F.lit(text), "map<string,string>")).first()[0] if text else None
+    return {**defaults, **(given or {})}
+
+
+def corpus_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of a corpus file: a list, or an object with languages; names are texts or objects with a name."""
+    import json
+
+    found = json.loads(_json_or_none(spark, path) or "[]")
+    return [x if isinstance(x, str) else x["name"] for x in (found if isinstance(found, list) else found.get("languages", []))]
