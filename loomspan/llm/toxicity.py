@@ -190,6 +190,8 @@ def toxicity_score(model: Model):
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """(doc_id, score, toxic) of every document."""
+    if docs.isEmpty():  # nothing to learn from, and nothing to score
+        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("toxic"))
     score = toxicity_score(train_on(docs, labels, per_class))
     scored = docs.select("doc_id", score(F.col("text")).alias("score"))
     return scored.select("doc_id", "score", (F.col("score") >= threshold).alias("toxic"))
@@ -197,5 +199,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, per_class: int = TRAIN_PER_CLASS) -> DataFrame:
     """The documents that are not toxic, whole rows."""
+    if docs.isEmpty():
+        return docs
     score = toxicity_score(train_on(docs, labels, per_class))
     return docs.where(score(docs["text"]) < threshold)

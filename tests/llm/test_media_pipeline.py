@@ -7,6 +7,7 @@ import tarfile
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomspan.llm import media, mixing, near_duplicates, packing, pii, toxicity
@@ -118,6 +119,21 @@ def test_stages_equal_brute_force(spark, folder):
     assert all(b["oversize"] or b["n_tokens"] <= packing.DOCUMENT_LIMITS[0] for b in bins)
 
 
+def test_stages_keep_clashing_columns_and_take_nothing(spark, folder):
+    names = ["other", "tag", "last", "number", "root", "node", "score", "place", "set_id", "tokens", "block", "finish_time"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stage(spark, wide, folder)
+        rows = wide.collect()
+        assert wide.columns == [*docs.columns, *names] and rows and all(r[n] == n for r in rows for n in names)
+        wide = spark.createDataFrame(rows, wide.schema)
+    assert sum(b["n_examples"] for b in corpus_pipeline.STAGES[-1][1](spark, wide, folder).collect()) == len(rows)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).collect() == []
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     assert got.columns[0] == "bin_id" and got.count() >= 1
