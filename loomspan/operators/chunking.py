@@ -6,10 +6,13 @@ function folds over one text at a time and the rows are exploded in the JVM.
 
 from __future__ import annotations
 
+import base64
+import os
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -57,6 +60,36 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"\w+|[^\w\s]", text)]
 
 
+class BpeSpans:
+    """A tokenizer of a byte-level vocabulary: characters that each token covers.
+
+    The rank file (base64 token and rank a line) is given by path and shipped to the workers with ``spark.sparkContext.addFile`` where they don't share it.
+    A token that is part of a character covers all of it.
+    """
+
+    def __init__(self, vocabulary: str, pattern: str = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"):
+        self.vocabulary, self.pattern, self.encoding = vocabulary, pattern, None
+
+    def __getstate__(self) -> dict:
+        return {"vocabulary": self.vocabulary, "pattern": self.pattern, "encoding": None}
+
+    def __call__(self, text: str) -> list[tuple[int, int]]:
+        if self.encoding is None:
+            import tiktoken
+
+            path = self.vocabulary if os.path.exists(self.vocabulary) else SparkFiles.get(os.path.basename(self.vocabulary))
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+            self.encoding = tiktoken.Encoding(os.path.basename(self.vocabulary), pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+        starts = [i for i, c in enumerate(text) for _ in range(len(c.encode("utf-8", "surrogatepass")))]
+        spans, at = [], 0
+        for token in self.encoding.encode_ordinary(text):
+            size = len(self.encoding.decode_single_token_bytes(token))
+            spans.append((starts[at], starts[at + size - 1] + 1))
+            at += size
+        return spans
+
+
 def semantic_chunks(text: str, max_chars: int = 8000) -> list[dict]:
     """Sections at level 2 and 3 headings outside fences, gathered until half over max_chars."""
     limit = int(max(500, max_chars) * 1.5)

@@ -179,6 +179,18 @@ def token_chunks(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "chunk_total", "token_start", "token_end", "char_start", "char_end")
 
 
+#: A public vocabulary; any rank file does.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@register("token_chunks_bpe")
+def token_chunks_bpe(spark, sf_dir):
+    """Windows of 1,000 tokens of a byte-level vocabulary, 100 of them shared."""
+    spark.sparkContext.addFile(VOCABULARY)
+    rows = K.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), strategy="tokens", max_tokens=1000, overlap_tokens=100, tokenizer=K.BpeSpans(VOCABULARY))
+    return rows.select("doc_id", "chunk_index", "chunk_total", "token_start", "token_end", "char_start", "char_end")
+
+
 @register("semantic_chunks")
 def semantic_chunks(spark, sf_dir):
     rows = K.chunk_documents(markdown_documents(spark, sf_dir).select("doc_id", "text"), strategy="semantic", max_chars=1000)

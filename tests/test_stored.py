@@ -1,13 +1,14 @@
 """The stored index, the match grammar, adapters, read models, converter and validator on small tables."""
 
 import json
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import html
-from loomspan.operators import adapters, catalog, ingest, jobs, quality, readmodels, validation
+from loomspan.operators import adapters, catalog, chunking, ingest, jobs, quality, readmodels, validation
 from loomspan.operators import index as stored
 from loomspan.operators import query as Q
 from loomspan.operators import search
@@ -133,6 +134,20 @@ def test_manifests_checkpoints_caches_and_settings(spark, tmp_path):
     assert external.corpus_names(spark, str(tmp_path / "corpus.json")) == ["Python", "Go"] and external.corpus_names(spark, str(tmp_path / "list.json")) == ["Rust"]
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_token_chunks_of_a_vocabulary(spark):
+    text = "Größe, naïve 😀 text of some words. " * 40
+    tokenizer = chunking.BpeSpans(VOCABULARY)
+    spans = tokenizer(text)
+    pieces = tokenizer.encoding.encode_ordinary(text)
+    assert len(spans) == len(pieces) and spans[0][0] == 0 and spans[-1][1] == len(text) and all(a < b and c >= a for (a, b), (c, _) in zip(spans, spans[1:], strict=False))
+    rows = chunking.chunk_documents(spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string"), strategy="tokens", max_tokens=50, overlap_tokens=10, tokenizer=chunking.BpeSpans(VOCABULARY)).orderBy("chunk_index").collect()
+    assert [(r["token_start"], r["token_end"]) for r in rows] == chunking.token_chunks(spans, 50, 10) and all(text[r["char_start"] : r["char_end"]] == r["text"] for r in rows)
+
+
 def test_presets_are_whole(spark):
     rows = readmodels.presets(spark)
     assert rows.select("preset").distinct().count() == 8 and rows.where("preset = 'webapp'").count() == 17
