@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomspan import registry
 from loomspan.functions import html, url
 from loomspan.functions import text as T
-from loomspan.operators import catalog, chunking, ingest, jobs, search
+from loomspan.operators import catalog, chunking, ingest, jobs, query, search
 from loomspan.operators import compile as compiling
 from loomspan.operators import markdown as M
 from loomspan.plans.catalogs import fixture_catalog
@@ -82,11 +82,12 @@ def test_bm25_against_sqlite(spark):
 
 
 def test_query_grammar():
-    assert [[c.kind for c in a] for a in search.parse('a "b c" d* OR NEAR(e f) NOT g')] == [["term", "phrase", "prefix"], ["near", "term"]]
-    assert search.parse("x NOT y")[0][1].negated and search.parse("  ") == []
+    found = query.parse('a "b c" d* OR NEAR(e f) NOT g')
+    assert found.kind == "or" and [x.kind for x in query.leaves(found)] == ["term", "phrase", "prefix", "near", "term"]
+    assert query.parse("x NOT y") == query.Node("not", (query.Leaf("term", ("x",)), query.Leaf("term", ("y",)))) and query.parse("  ") is None
     for wrong in ("C++", "foo(", "node.js"):
         with pytest.raises(ValueError, match="syntax"):
-            search.parse(wrong)
+            query.parse(wrong)
 
 
 @settings(max_examples=60, deadline=None)
@@ -207,9 +208,9 @@ def test_cross_references_cover_every_language(spark, tmp_path):
     pattern = r"\b([A-Z][0-9A-Za-z]+|[a-z]+_[_0-9a-z]+|[_A-Za-z][_0-9A-Za-z]*\(\))\b"
     ids = {d: [x for x in dict.fromkeys(re.findall(pattern, t or "")) if len(x) >= 3] for d, t, _ in texts}
     run = lambda name: [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
-    assert sorted(run("xref_index_all_languages")) == sorted((x, d) for d, found in ids.items() for x in found)
-    assert {(lang, n, tuple(docs)) for lang, n, docs in run("xref_lookup_all_languages")} == {("en", 1, (1,)), ("de", 1, (2,)), ("fr", 1, (3,)), (None, 1, (4,))}
-    assert {(a, b) for a, b, _ in run("related_docs_all_languages")} == {(a, b) for a in ids for b in ids if a != b and set(ids[a]) & set(ids[b])}
+    assert sorted(run("xref_index")) == sorted((x, d) for d, found in ids.items() for x in found)
+    assert {(lang, n, tuple(docs)) for lang, n, docs in run("xref_lookup")} == {("en", 1, (1,)), ("de", 1, (2,)), ("fr", 1, (3,)), (None, 1, (4,))}
+    assert {(a, b) for a, b, _ in run("related_docs")} == {(a, b) for a in ids for b in ids if a != b and set(ids[a]) & set(ids[b])}
 
 
 def test_sizes_of_every_unit(spark, tmp_path):
