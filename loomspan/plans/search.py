@@ -29,11 +29,12 @@ def _bm25_sql(terms: list[str], where: str = "TRUE", limit: int = 25) -> str:
 
 def _index(spark, sf_dir) -> X.Index:
     """The stored index of the documents; it is written when it isn't there or the documents have changed."""
+    docs = table(spark, sf_dir, "documents")
+    attributes = tuple(c for c in ("source",) if c in docs.columns)
     folder = f"{shared_dir(spark)}/index-{version_of(spark, f'{sf_dir}/documents.parquet')}"
     if not exists(spark, f"{folder}/COMPLETE"):
-        docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
-        return X.write_index(docs, folder, attributes=("source",))
-    return X.Index(folder, attributes=("source",))
+        return X.write_index(docs.where("doc_id is not null and text is not null"), folder, attributes=attributes)
+    return X.Index(folder, attributes=attributes)
 
 
 @register("search_bm25_topk", _bm25_sql(["the", "thing"]))
