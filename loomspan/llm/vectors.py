@@ -1,19 +1,27 @@
-"""Near duplicates among embeddings by Euclidean p-stable hashing.
-
-Vectors are normalised to unit length, projected on Gaussian directions, shifted
-and cut into cells of width ``WIDTH``.  ``k`` cells make the bucket of one table; vectors
-that share a bucket in any of ``l`` tables are candidates and are compared exactly.
-
-``k`` and ``l`` follow from the table itself.  k gives a vector about CHANCE unrelated
-candidates (cosine 0) in one table, so they stay in proportion to rows; l makes a pair exactly
-at the threshold meet with a chance of RECALL, and closer pairs more surely.
-
-Equal vectors are folded first.  Into the buckets go not the vectors but sketches of SKETCH sign bits;
+"""Near duplicates among embeddings: every pair at or above a cosine.
+
+Vectors are normalised to unit length; equal ones are folded first.  The join is exact:
+
+* Each vector belongs to the nearest of a sample of the vectors, its pivot, at an angle r.
+* If x and y are no more than the threshold's angle apart and r(x) <= r(y), then the angle between y and x's pivot is at
+  most that angle and r(x), so y is compared with the vectors of a pivot only where it can meet one of a lower r.  Which of the two
+  has the lower r decides where a pair is counted, so none is counted twice, and none is ever written out.
+* Vectors are written to blocks of at most CELL, sorted by pivot; each task reads the blocks it compares by path.  A pivot with many
+  vectors has several blocks, so none has a cap on its vectors.
+* Comparisons in single precision leave out only pairs that cannot reach the threshold for any rounding; the others are computed in
+  double precision.
+
+Without structure in the vectors this is work in proportion to some share of all pairs.  How small a share follows from how
+close the pivots are: one in PER_PIVOT of the vectors is one, up to PIVOT_VALUES numbers.
+
+``recall`` below 1 gives the join by Euclidean p-stable hashing instead, which misses pairs; no query uses it.  Vectors are projected on
+Gaussian directions, shifted and cut into cells of width ``WIDTH``.  ``k`` cells make the bucket of one table; vectors
+that share a bucket in any of ``l`` tables are candidates and are compared exactly.  ``k`` and ``l`` follow from the table itself.  k gives a
+vector about CHANCE unrelated candidates (cosine 0) in one table, so they stay in proportion to rows; l makes a pair exactly
+at the threshold meet with a chance of ``recall``, and closer pairs more surely.  Into the buckets go sketches of SKETCH sign bits;
 a vector is fetched into a bucket only if its sketch differs from that of another one there by no more than
-pairs at the threshold do (but for a chance of about 1e-15).  A bucket that holds both checks the exact
-cosines of its pairs as one product of matrices and counts a pair where it is the first table they share, so no pair is
-counted twice and none is ever written out.  Buckets of more than CELL members are cut into cells by a
-hash of the member, and each pair of cells is a task of its own, so that no bucket has a cap on its members.
+pairs at the threshold do (but for a chance of about 1e-15).  A pair is counted where it is the first table it shares.  Buckets of more than
+CELL members are cut into cells by a hash of the member, and each pair of cells is a task of its own.
 
 The result has one row for each vector that has a near one: its class, which is the connected component, and the
 number of its links.
@@ -32,6 +40,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,12 +51,16 @@ from pyspark.sql import functions as F
 
 from . import runs
 from .components import components
-from .store import materialise
+from .store import local_path, materialise, partitions, scratch
 
 THRESHOLD, WIDTH, RECALL, SEED = 0.95, 2.0, 0.97, 11
 CHANCE = 16
 SKETCH = 128
 CELL = 4096
+#: Vectors for each pivot, and the numbers that all pivots and a block may have.
+PER_PIVOT, PIVOT_VALUES, BLOCK_VALUES = 64, 1 << 21, 1 << 20
+#: Blocks that a task compares with one at most.
+STRIP = 64
 
 
 def _phi(x: float) -> float:
@@ -105,48 +119,189 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
 
 
-#: A task's share of a bucket: the table, the bucket, and the two cells of it that are compared.
-TASK = ["dims", "t", "key", "i", "j"]
-
+def _matrices(batch: pa.RecordBatch | pa.Table, plain: type) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their unit vectors) for each length of vectors in a batch."""
+    packed = batch.column("packed").to_pylist()
+    sizes = np.array([len(p) for p in packed]) // np.dtype(plain).itemsize
+    for d in np.unique(sizes):
+        mine = np.flatnonzero(sizes == d)
+        yield mine, _unit(np.frombuffer(b"".join(packed[m] for m in mine), plain).reshape(-1, d).astype(np.float64))
+
+
+def _unite(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Join the components of p and q; root holds the lowest member of each one's component before and after."""
+    while True:
+        apart = root[p] != root[q]
+        p, q = p[apart], q[apart]
+        if not len(p):
+            return
+        np.minimum.at(root, np.maximum(root[p], root[q]), np.minimum(root[p], root[q]))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _rounding(dims: int) -> float:
+    """By how much a product of unit vectors in single precision may be wrong."""
+    return (dims + 8) * 2.0**-23
+
+
+class Block:
+    """Vectors of one length, sorted by pivot, with the runs of equal pivots."""
+
+    def __init__(self, path: str, plain: type):
+        with pa.memory_map(path) as file:
+            table = pa.ipc.open_file(file).read_all()
+            self.rep, self.copies, self.home, self.angle = (np.array(table.column(c)) for c in ("rep", "copies", "home", "angle"))
+            self.exact = next(_matrices(table, plain))[1]
+        self.single = self.exact.astype(np.float32)
+        self.bounds = runs.bounds(table.select(["home"]), ["home"])
+        self.radius = np.maximum.reduceat(self.angle, self.bounds[:-1])
+
+
+def _near_pairs(x: Block, y: Block, pivots: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (p, q) of x and y whose cosine reaches the threshold and of which p is nearer to its pivot."""
+    rounding, apart = _rounding(x.exact.shape[1]), math.acos(max(-1.0, min(1.0, threshold - 1e-9)))
+    within = lambda angle: np.cos(np.minimum(angle + apart, math.pi))
+    reach = np.maximum(within(x.radius)[:, None], within(y.angle)[None, :]) - rounding - 1e-6
+    met = pivots[x.home[x.bounds[:-1]]].astype(np.float32) @ y.single.T >= reach
+    for some, begin, end in zip(met, x.bounds, x.bounds[1:], strict=False):
+        some = np.flatnonzero(some)
+        if not len(some):
+            continue
+        others = y.single[some].T
+        for a in range(begin, end, 512):
+            p, q = np.nonzero(x.single[a : min(end, a + 512)] @ others >= threshold - 1e-12 - rounding)
+            p, q = p + a, some[q]
+            first = (x.angle[p] < y.angle[q]) | ((x.angle[p] == y.angle[q]) & (x.rep[p] < y.rep[q]))
+            p, q = p[first], q[first]
+            for b in range(0, len(p), 1 << 18):
+                r, s = p[b : b + (1 << 18)], q[b : b + (1 << 18)]
+                near = np.einsum("ij,ij->i", x.exact[r], y.exact[s]) >= threshold - 1e-12  # unit vectors are exact to some 1e-16
+                yield r[near], s[near]
+
+
+def _exact_links(folded: DataFrame, rows: int, threshold: float, plain: type) -> DataFrame:
+    """(rep, links, to): links of vectors counted by tasks, and edges that connect what is linked."""
+    spark = folded.sparkSession
+    values = folded.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+    rate = max(PER_PIVOT, -(-values // np.dtype(plain).itemsize // PIVOT_VALUES))
+    sample = folded.where(F.pmod(F.xxhash64("h"), F.lit(rate)) == 0).select("packed").toArrow()
+    pivots = {u.shape[1]: u for _, u in _matrices(sample, plain)}
+    cell, strip = CELL, STRIP
+
+    def pivots_of(dims: int) -> np.ndarray:
+        return pivots[dims] if dims in pivots else np.eye(1, dims)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, u in _matrices(batch, plain):
+                near, single = pivots_of(u.shape[1]), u.astype(np.float32)
+                home, most = np.zeros(len(u), np.int32), np.full(len(u), -np.inf, np.float32)
+                for a in range(0, len(u), 2048):
+                    for b in range(0, len(near), 4096):
+                        cosine = single[a : a + 2048] @ near[b : b + 4096].T.astype(np.float32)
+                        best = cosine.argmax(axis=1)
+                        at = cosine[np.arange(len(best)), best]
+                        better = at > most[a : a + 2048]
+                        home[a : a + 2048][better], most[a : a + 2048][better] = best[better] + b, at[better]
+                angle = np.arccos(np.clip(np.einsum("ij,ij->i", u, near[home]), -1, 1))
+                taken = batch.select(["rep", "copies", "packed"]).take(pa.array(mine))
+                columns = [*taken.columns, pa.array(np.full(len(u), u.shape[1], np.int32)), pa.array(home), pa.array(angle)]
+                yield pa.record_batch(columns, names=["rep", "copies", "packed", "dims", "home", "angle"])
+
+    columns = "rep bigint, copies bigint, packed binary, dims int, home int, angle double"
+    placed = materialise(folded.select("rep", "copies", "packed").mapInArrow(assign, columns), "near-pivots")
+    large = materialise(placed.groupBy("dims", "home").count().where(F.col("count") > CELL), "large-pivots")
+    part = F.pmod(F.xxhash64("rep"), F.coalesce(F.ceil(F.col("count") / CELL), F.lit(1))).cast("int")
+    placed = placed.join(large, ["dims", "home"], "left").withColumn("part", part).drop("count")
+    folder = local_path(scratch(spark, "vector-blocks"))
+    os.makedirs(folder, exist_ok=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made, held, size, dims = 0, [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made, held, size
+            name = f"{TaskContext.get().partitionId()}-{made}"
+            temporary = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
+            with pa.ipc.new_file(temporary, held[0].schema) as out:
+                out.write_table(pa.Table.from_batches(held))
+            os.replace(temporary, os.path.join(folder, name))
+            made, held, size = made + 1, [], 0
+            return pa.record_batch([pa.array([dims], pa.int32()), pa.array([name])], names=["dims", "name"])
 
-def near_classes(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """(id, class_id, n_links) of every vector with one at or above the threshold; class_id is the lowest id of its component."""
-    kinds = dict(embeddings.dtypes)
-    id_kind, double = kinds[id_column], kinds[vector_column] != "array<float>"
-    plain = np.float64 if double else np.float32
-    rows = embeddings.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector_column}`").cast("array<double>" if double else "array<float>").alias("v"))
-    v = F.col("v")
-    usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0)).where(usable)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bounds = runs.bounds(pa.Table.from_batches([batch]), ["dims"]).tolist()
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if held and batch.column("dims")[a].as_py() != dims:
+                    yield flush()
+                dims = batch.column("dims")[a].as_py()
+                most = max(1, min(cell, BLOCK_VALUES // dims))
+                while a < b:
+                    some = batch.slice(a, min(b - a, most - size))
+                    held.append(some)
+                    a, size = a + some.num_rows, size + some.num_rows
+                    if size == most:
+                        yield flush()
+        if held:
+            yield flush()
+
+    writers = min(partitions(spark), max(1, rows // (4 * CELL)))
+    placed = placed.repartition(writers, "dims", "home", "part").sortWithinPartitions("dims", "home", "part", "rep")
+    written = placed.select("rep", "copies", "packed", "dims", "home", "angle").mapInArrow(write, "dims int, name string").collect()
+    names = {}
+    for dims, name in sorted(map(tuple, written)):
+        names.setdefault(dims, []).append(name)
+    # A task compares a block with a strip of blocks of the same length; tasks are numbered through all lengths.
+    strip = min(strip, max(1, sum(len(n) ** 2 for n in names.values()) // (16 * partitions(spark))))
+    strips = {d: -(-len(n) // strip) for d, n in names.items()}
+    lengths = sorted(names)
+    ends = np.cumsum([len(names[d]) * strips[d] for d in lengths], dtype=np.int64)
+    tasks = int(ends[-1]) if len(ends) else 0
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = functools.lru_cache(maxsize=2)(lambda name: Block(os.path.join(folder, name), plain))
         for batch in batches:
-            lists = batch.column("v")
-            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype(plain) + plain(0)  # + 0 makes -0.0 equal to 0.0
-            packed = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            hashes = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
-            yield pa.record_batch([batch.column("id"), pa.array(hashes, pa.binary()), pa.array(packed, pa.binary())], names=["id", "h", "packed"])
+            for task in batch.column(0).to_pylist():
+                at = int(np.searchsorted(ends, task, "right"))
+                dims = lengths[at]
+                mine, i = names[dims], (task - (int(ends[at - 1]) if at else 0)) // strips[dims]
+                begin = (task - (int(ends[at - 1]) if at else 0)) % strips[dims] * strip
+                x = load(mine[i])
+                for j in range(begin, min(begin + strip, len(mine))):
+                    y = x if i == j else Block(os.path.join(folder, mine[j]), plain)
+                    rep, copies = (x.rep, x.copies) if i == j else (np.concatenate((x.rep, y.rep)), np.concatenate((x.copies, y.copies)))
+                    shift = 0 if i == j else len(x.rep)
+                    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+                    for p, q in _near_pairs(x, y, pivots_of(dims), threshold):
+                        q = q + shift
+                        np.add.at(links, p, copies[q])
+                        np.add.at(links, q, copies[p])
+                        _unite(root, p, q)
+                    some = np.flatnonzero(links)
+                    if len(some):
+                        yield pa.record_batch([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[root[some]])], names=["rep", "links", "to"])
+
+    numbers = spark.range(0, tasks, 1, max(1, min(tasks, 4 * partitions(spark))))
+    return numbers.mapInArrow(compare, "rep bigint, links bigint, to bigint")
 
-    entries = rows.mapInArrow(digest, f"id {id_kind}, h binary, packed binary")
-    owned = materialise(entries.groupBy("h", "id").agg(F.first("packed").alias("packed")), "vector-rows")
-    # Equal vectors are one from here on; the numbers they get are fixed as they are written.
-    folded = materialise(
-        owned.groupBy("h").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("lowest")).withColumn("rep", F.monotonically_increasing_id()),
-        "vectors",
-    )
-    k, l = tables_for(folded.count(), threshold, recall)
 
-    def matrices(batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        packed = batch.column("packed").to_pylist()
-        sizes = np.array([len(p) for p in packed]) // np.dtype(plain).itemsize
-        for d in np.unique(sizes):
-            mine = np.flatnonzero(sizes == d)
-            yield mine, _unit(np.frombuffer(b"".join(packed[m] for m in mine), plain).reshape(-1, d).astype(np.float64))
+#: A task's share of a bucket: the table, the bucket, and the two cells of it that are compared.
+TASK = ["dims", "t", "key", "i", "j"]
+
+
+def _hashed_links(folded: DataFrame, rows: int, threshold: float, recall: float, plain: type) -> DataFrame:
+    """As _exact_links, but for pairs that share no bucket."""
+    k, l = tables_for(rows, threshold, recall)
 
     def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             reps = np.asarray(batch.column("rep"))
-            for mine, u in matrices(batch):
+            for mine, u in _matrices(batch, plain):
                 keys, words = bucket_keys(u, k, l), sketches(u)
                 many = lambda x: pa.array(np.tile(x, l))
                 yield pa.record_batch(
@@ -189,11 +344,11 @@ def near_classes(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
     sifted = materialise(runs.together(celled, TASK).mapInArrow(sift, f"rep bigint, {task_columns}"), "near-sketches")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(rep, links of it counted here, one rep it is linked with)."""
+        """(rep, links of it counted here, the rep it is connected to)."""
         for table in runs.whole(batches, TASK):
             bounds = runs.bounds(table, TASK)
             units, keys = [None] * table.num_rows, np.empty((table.num_rows, l), np.int64)
-            for mine, u in matrices(table):
+            for mine, u in _matrices(table, plain):
                 keys[mine] = bucket_keys(u, k, l)
                 for m, x in zip(mine, u, strict=True):
                     units[m] = x
@@ -204,7 +359,7 @@ def near_classes(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
     def _links(task: pa.Table, u: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         reps, copies, cell, t = (np.asarray(task.column(c)) for c in ("rep", "copies", "cell", "t"))
         across = task.column("i")[0].as_py() != task.column("j")[0].as_py()
-        links, to = np.zeros(len(reps), np.int64), reps.copy()
+        links, root = np.zeros(len(reps), np.int64), np.arange(len(reps))
         for a in range(0, len(reps), 1024):
             cosine = u[a : a + 1024] @ u.T
             x, y = np.nonzero(cosine >= threshold - 1e-9)
@@ -215,15 +370,47 @@ def near_classes(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
                 p, q = x[b : b + (1 << 18)], y[b : b + (1 << 18)]
                 near = np.einsum("ij,ij->i", u[p], u[q]) >= threshold - 1e-12  # unit vectors are exact to some 1e-16
                 p, q = p[near], q[near]
-                np.minimum.at(to, p, reps[q])
-                np.minimum.at(to, q, reps[p])
+                _unite(root, p, q)
                 first = (keys[p] == keys[q]).argmax(axis=1) == t[0]
                 np.add.at(links, p[first], copies[q[first]])
                 np.add.at(links, q[first], copies[p[first]])
-        return reps, links, to
+        return reps, links, reps[root]
 
     fetched = sifted.join(folded.select("rep", "packed", "copies"), "rep")
-    counted = materialise(runs.together(fetched, TASK).mapInArrow(compare, "rep bigint, links bigint, to bigint"), "links")
+    return runs.together(fetched, TASK).mapInArrow(compare, "rep bigint, links bigint, to bigint")
+
+
+def near_classes(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = 1.0, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """(id, class_id, n_links) of every vector with one at or above the threshold; class_id is the lowest id of its component.
+
+    Every link is found but with a recall below 1, which hashes and may miss some.
+    """
+    kinds = dict(embeddings.dtypes)
+    id_kind, double = kinds[id_column], kinds[vector_column] != "array<float>"
+    plain = np.float64 if double else np.float32
+    table = embeddings.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{vector_column}`").cast("array<double>" if double else "array<float>").alias("v"))
+    v = F.col("v")
+    usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    table = table.where(F.col("id").isNotNull() & (F.size("v") > 0)).where(usable)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("v")
+            ends, flat = np.asarray(lists.offsets), np.asarray(lists.values).astype(plain) + plain(0)  # + 0 makes -0.0 equal to 0.0
+            packed = [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+            hashes = [hashlib.blake2b(p, digest_size=16).digest() for p in packed]
+            yield pa.record_batch([batch.column("id"), pa.array(hashes, pa.binary()), pa.array(packed, pa.binary())], names=["id", "h", "packed"])
+
+    entries = table.mapInArrow(digest, f"id {id_kind}, h binary, packed binary")
+    owned = materialise(entries.groupBy("h", "id").agg(F.first("packed").alias("packed")), "vector-rows")
+    # Equal vectors are one from here on; the numbers they get are fixed as they are written.
+    folded = materialise(
+        owned.groupBy("h").agg(F.first("packed").alias("packed"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("lowest")).withColumn("rep", F.monotonically_increasing_id()),
+        "vectors",
+    )
+    rows = folded.count()
+    found = _exact_links(folded, rows, threshold, plain) if recall >= 1 else _hashed_links(folded, rows, threshold, recall, plain)
+    counted = materialise(found, "links")
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(counted.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     lowest = roots.join(folded.select(F.col("rep").alias("node"), "lowest"), "node").groupBy("root").agg(F.min("lowest").alias("class_id"))

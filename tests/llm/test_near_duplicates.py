@@ -191,6 +191,34 @@ def test_embedding_classes_equal_all_pairs(spark, monkeypatch, cell):
     assert vectors.near_classes(empty).collect() == []
 
 
+def test_no_embedding_link_is_left_out(spark):
+    """1,500 pairs just above the threshold, and as many just below it."""
+    r = np.random.default_rng(9)
+    a, b = r.standard_normal((2, 3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = np.where(np.arange(3000) < 1500, 1e-6, -1e-6)[:, None] + vectors.THRESHOLD
+    v = np.concatenate((a, c * a + np.sqrt(1 - c**2) * b))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(x) for x in vectors.near_classes(table).collect())
+    assert got == [(i, i % 3000, 1) for i in range(6000) if i % 3000 < 1500]
+
+
+@pytest.mark.parametrize("recall", [1.0, 0.9999999])
+def test_chains_of_embeddings_are_one_class(spark, recall):
+    """Four vectors 15 degrees apart in a plane of their own: only neighbours are linked, and all are of one class."""
+    r, rows = np.random.default_rng(2), []
+    ids = r.permutation(160).tolist()
+    for chain in range(40):
+        for step in range(4):
+            v = [0.0] * 80
+            v[2 * chain], v[2 * chain + 1] = np.cos(np.pi / 12 * step).item(), np.sin(np.pi / 12 * step).item()
+            rows.append((ids[4 * chain + step], v))
+    got = {tuple(x) for x in vectors.near_classes(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), recall=recall).collect()}
+    assert got == {(ids[4 * c + s], min(ids[4 * c : 4 * c + 4]), 1 if s in (0, 3) else 2) for c in range(40) for s in range(4)}
+
+
 def test_several_vectors_of_an_id_and_ties(spark):
     rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [2.0, 0.0]), ("d", [-1.0, 0.0])]
     got = vectors.near_classes(spark.createDataFrame(rows, "vec_id string, embedding array<double>"), threshold=0.8, recall=0.999999).collect()
