@@ -329,12 +329,13 @@ def joined_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     if not 0.5 <= t <= 1:
         raise ValueError("the threshold is from 0.5 to 1")
     content = ["tokens", "size", F.when(F.col("own") > 0, F.col("doc_id"))]
-    index = materialise(indexed(docs, n, t).withColumn("k1", F.xxhash64(*content)).withColumn("k2", F.xxhash64(F.lit(1), *content)), "signed")
+    index = materialise(indexed(docs, n, t).withColumn("k1", F.xxhash64(*content)).withColumn("k2", F.xxhash64(F.lit(1), *content)), "signed", free=True)
     owners = materialise(index.select("k1", "k2", "doc_id").distinct(), "set-members")
     sets = materialise(
         index.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("size", "own", "tokens", "signatures")])
         .join(owners.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")), ["k1", "k2"]).withColumn("set_id", F.monotonically_increasing_id()),
         "sets",
+        free=True,
     )
     members = owners.join(sets.select("k1", "k2", "set_id"), ["k1", "k2"]).select("set_id", "doc_id")
     signed = sets.select(F.col("set_id").alias("node"), F.explode("signatures").alias("s"))

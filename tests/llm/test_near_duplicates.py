@@ -2,6 +2,8 @@
 
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -132,6 +134,33 @@ def test_tiny_documents_that_share_one_frequent_phrase(spark):
     assert got == {**dict.fromkeys(range(300), 1), 1000: 300, 1001: 1, 1002: 1}
 
 
+def test_shuffled_tokens_go_when_they_are_written(spark, monkeypatch):
+    """The shuffles that hold the tokens leave no file behind, without a garbage collection in the driver."""
+    folders = [Path(str(f)) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    left, write = {}, nd.materialise
+
+    class Enough(Exception):
+        pass
+
+    def files():
+        return {f for folder in folders for f in folder.rglob("shuffle_*")}
+
+    def materialise(df, label, **options):
+        before, written, end = files(), write(df, label, **options), time.monotonic() + 10
+        while label in ("signed", "sets") and files() - before and time.monotonic() < end:
+            time.sleep(0.1)
+        left[label] = files() - before
+        if label == "sets":
+            raise Enough
+        return written
+
+    monkeypatch.setattr(nd, "materialise", materialise)
+    docs = spark.createDataFrame(corpus(3, 60), "doc_id int, text string")
+    with pytest.raises(Enough):
+        nd.near_duplicate_groups(docs)
+    assert left["signed"] == left["sets"] == set()
+
+
 def test_ids_are_integral(spark):
     docs = spark.createDataFrame([("1", "a b c d")], "doc_id string, text string")
     with pytest.raises(TypeError, match="integral"):
