@@ -56,6 +56,8 @@ from .words import chunks, mix, word_hashes
 #: Numbers that are no word's: unknown words, and the marks.
 UNKNOWN, START, END, FIRST = (np.uint64(x) for x in range(4))
 BLOCK_TOKENS = 1_200_000
+#: Bytes behind a narrow column, so that its last number can be read by the next machine width.
+BEHIND = 8
 #: Distinct words that a task collects before it sends them.
 BLOCK_WORDS = 600_000
 STATS = "part string, slice int, target int, piece binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n3plus bigint, total bigint, types bigint"
@@ -184,7 +186,7 @@ def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def _load(path: str) -> dict[str, np.ndarray]:
-    data = np.memmap(path, np.uint8, "r")
+    data = np.memmap(path, np.uint8, "r").view(np.ndarray)
     at = 8 + int(data[:8].view(np.uint64)[0])
     out = {}
     for key, kind, length in json.loads(data[8:at].tobytes()):
@@ -210,17 +212,21 @@ def _counts(part: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarra
 
 
 def _narrow(name: str, values: np.ndarray, width: int) -> dict[str, np.ndarray]:
-    """Numbers of ``width`` bytes."""
-    return {name: np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel(), f"{name}_width": np.array([width], np.int64)}
+    """Numbers of ``width`` bytes, and bytes behind the last that are read with it."""
+    rows = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].ravel()
+    return {name: np.concatenate((rows, np.zeros(BEHIND, np.uint8))), f"{name}_width": np.array([width], np.int64)}
+
+
+def _numbers(part: dict[str, np.ndarray], name: str) -> tuple[np.ndarray, np.unsignedinteger]:
+    """(the numbers of a narrow column where they lie, each with the bytes up to the next machine width, a mask of its own)."""
+    width, data = int(part[f"{name}_width"][0]), part[name]
+    numbers = np.ndarray((len(data) - BEHIND) // width, f"<u{1 << (width - 1).bit_length()}", data, strides=(width,))
+    return numbers, numbers.dtype.type((1 << 8 * width) - 1)
 
 
 def _wide(part: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
-    width = int(part[f"{name}_width"][0])
-    rows = part[name].reshape(-1, width)[at]
-    out = np.zeros(len(at), np.uint64)
-    for k in range(width):
-        out |= rows[:, k].astype(np.uint64) << np.uint64(8 * k)
-    return out
+    numbers, own = _numbers(part, name)
+    return numbers[at] & own
 
 
 def _keys(name: str, keys: np.ndarray, slice_: int, bits: int, n_slices: int) -> dict[str, np.ndarray]:
@@ -246,19 +252,22 @@ def _find(part: dict[str, np.ndarray], name: str, wanted: np.ndarray) -> tuple[n
 
 
 def _ragged(part: dict[str, np.ndarray], name: str, begin: np.ndarray, end: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, whether it is there) by binary search for wanted[i] among the sorted numbers begin[i] to end[i]."""
-    a, b = begin.copy(), end.copy()
-    open_ = np.flatnonzero(a < b)
-    while len(open_):
-        middle = (a[open_] + b[open_]) >> 1
-        below = _wide(part, name, middle) < wanted[open_]
-        a[open_[below]] = middle[below] + 1
-        b[open_[~below]] = middle[~below]
-        open_ = open_[a[open_] < b[open_]]
-    inside = np.flatnonzero(a < end)
-    known = np.zeros(len(a), bool)
-    known[inside] = _wide(part, name, a[inside]) == wanted[inside]
-    return np.where(known, a, 0), known
+    """(place, whether it is there) by binary search for wanted[i], a number of the column's width, among the sorted numbers begin[i] to end[i]."""
+    numbers, own = _numbers(part, name)
+    inside = np.flatnonzero(begin < end)
+    # Ranges that take more halvings come first: those that are still open are a prefix.
+    halvings = np.frexp(end[inside] - begin[inside] - 1.0)[1].astype(np.int8)
+    order = inside[np.argsort(-halvings, kind="stable")]
+    a, length, sought = begin[order], (end - begin)[order], wanted[order].astype(numbers.dtype)
+    for k in len(order) - np.cumsum(np.bincount(halvings))[:-1]:
+        half = length[:k] >> 1
+        middle = a[:k] + half
+        np.copyto(a[:k], middle, where=numbers[middle] & own <= sought[:k])
+        length[:k] -= half
+    place, known = np.zeros(len(begin), np.int64), np.zeros(len(begin), bool)
+    known[order] = hit = numbers[a] & own == sought
+    place[order] = np.where(hit, a, 0)
+    return place, known
 
 
 def _stats(part: str, slice_: int, numbers: list[int], total: int, types: int) -> dict:

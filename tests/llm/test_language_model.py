@@ -2,8 +2,10 @@
 
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from loomspan.llm import language_model as lm
@@ -145,3 +147,46 @@ def test_the_query_looks_at_more_than_the_previous_word(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["log_prob"] for r in queries.op5_lm_perplexity(spark, str(tmp_path)).collect()}
     assert got[9] < got[0] - 1
+
+
+@pytest.mark.parametrize("width", range(1, 9))
+def test_search_in_ranges_of_narrow_numbers(tmp_path, width):
+    rng = np.random.default_rng(width)
+    top = (1 << 8 * width) - 1
+    ranges = [np.unique(rng.integers(0, top, n, np.uint64, endpoint=True)) for n in [0, 1, 2, 3, 0, 5, 8, 9, 100, 1000, 1, 0]]
+    ranges[-2][:] = top
+    lm._save(str(tmp_path), "part", lm._narrow("n", np.concatenate(ranges), width))
+    part = lm._load(f"{tmp_path}/part")
+    ends = np.cumsum([len(r) for r in ranges])
+    asked = [(i, int(x)) for i, r in enumerate(ranges) for x in [0, top, *r, *rng.integers(0, top, 20, np.uint64, endpoint=True)]]
+    rng.shuffle(asked)
+    of = np.array([i for i, _ in asked], np.int64)
+    at, known = lm._ragged(part, "n", ends[of] - [len(ranges[i]) for i in of], ends[of], np.array([x for _, x in asked], np.uint64))
+    assert known.tolist() == [x in ranges[i] for i, x in asked]
+    assert np.concatenate(ranges)[at[known]].tolist() == [x for (_, x), k in zip(asked, known, strict=True) if k]
+    assert not lm._ragged(part, "n", ends[:0], ends[:0], np.zeros(0, np.uint64))[1].size
+
+
+def test_a_search_takes_little_longer_than_in_plain_numbers():
+    # Scoring is these searches for the most part: more than its budget went on putting each number together from its bytes.
+    rng = np.random.default_rng(5)
+    numbers = np.sort(rng.integers(0, 1 << 22, (200, 4096), np.uint64), axis=1).ravel()
+    part = lm._narrow("n", numbers, 3)
+    begin = rng.integers(0, 200, 300_000) * 4096
+    wanted = numbers[begin + rng.integers(0, 4096, len(begin))]
+    plain, sought = numbers.astype(np.uint32), wanted.astype(np.uint32)
+
+    def plainly():
+        a = begin.copy()
+        for half in (1 << k for k in range(11, -1, -1)):
+            a = np.where(plain[a + half] <= sought, a + half, a)
+        return a
+
+    def seconds(f):
+        began = time.thread_time()
+        f()
+        return time.thread_time() - began
+
+    assert (numbers[plainly()] == wanted).all()
+    assert lm._ragged(part, "n", begin, begin + 4096, wanted)[1].all()
+    assert min(seconds(lambda: lm._ragged(part, "n", begin, begin + 4096, wanted)) for _ in range(5)) < 4.5 * min(seconds(plainly) for _ in range(5))
