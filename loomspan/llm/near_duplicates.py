@@ -52,11 +52,13 @@ from pyspark.sql import functions as F
 
 from . import blobs, runs
 from .components import components
-from .store import fresh, integral, materialise, slices_for
+from .store import fresh, integral, lean_group, lean_stream, materialise, slices_for
 from .words import chunks, gram_hashes, mix, word_hashes
 
 NGRAM, THRESHOLD = 3, 0.5
 BLOCK_TOKENS = 600_000
+#: Rows, each with a text or two sets, that a worker is sent at once.
+BATCH_ROWS = 1000
 #: Document frequencies above which tokens sign in combinations of 2, and of 3.
 FREQUENT = (128, 100_000)
 #: Sets of a component that a task compares with as many others.
@@ -203,18 +205,22 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
     def find_shared(group: pa.Table) -> pa.Table:
         if group.column("slice")[0].as_py() < 0:  # the documents of a block: nothing to count
             return group.select(["block", "slice", "piece"])
+        # Arrays of a whole slice are narrow, and go as soon as they are used.
         blocks = group.column("block").to_pylist()
-        pieces = [blobs.decode(x.as_py()) for x in group.column("piece")]
+        pieces = [(tokens, owner.astype(np.uint32)) for tokens, owner in (blobs.decode(x.as_py()) for x in group.column("piece"))]
         sizes = [len(p[0]) for p in pieces]
+        owner = np.concatenate([p[1] for p in pieces])
         tokens = np.concatenate([p[0] for p in pieces])
-        owner = np.concatenate([p[1].astype(np.uint32) for p in pieces])
         del pieces
         order = np.argsort(tokens, kind="stable")
         ordered = tokens[order]
-        starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        df = np.diff(np.concatenate((starts, [len(ordered)])))
+        new = np.ones(len(ordered) + 1, bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:-1])
+        del ordered
+        df = np.diff(np.flatnonzero(new)).astype(np.uint32)
         frequency = np.empty(len(tokens), np.uint32)
         frequency[order] = np.repeat(df, df)
+        del order, new, df
         out, at = [], 0
         for block, size in zip(blocks, sizes, strict=True):
             shared = np.flatnonzero(frequency[at : at + size] > 1) + at
@@ -248,11 +254,11 @@ def indexed(docs: DataFrame, n: int, t: float) -> DataFrame:
             [pa.array(ids), pa.array(size, pa.int32()), pa.array(own, pa.int32()), pa.array(sets, pa.binary()), lists], names=["doc_id", "size", "own", "tokens", "signatures"]
         )
 
-    pieces = rows.mapInArrow(send, "slice int, block bigint, piece binary")
+    pieces = rows.mapInArrow(lambda batches: lean_stream(send, batches), "slice int, block bigint, piece binary")
     # The documents of a block travel under a key of their own, so that no slice gathers them all.
     keyed = pieces.withColumn("at", F.when(F.col("slice") < 0, -1 - F.col("block")).otherwise(F.col("slice").cast("bigint")))
-    shared = keyed.groupBy("at").applyInArrow(lambda g: find_shared(g), "block bigint, slice int, piece binary")
-    return shared.groupBy("block").applyInArrow(sign, "doc_id bigint, size int, own int, tokens binary, signatures array<bigint>")
+    shared = keyed.groupBy("at").applyInArrow(lambda g: lean_group(find_shared, g), "block bigint, slice int, piece binary")
+    return shared.groupBy("block").applyInArrow(lambda g: lean_group(sign, g), "doc_id bigint, size int, own int, tokens binary, signatures array<bigint>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -261,7 +267,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity reaches t."""
+    """The pairs (a, b) of sets whose similarity reaches t, written."""
     pairs = _small(materialise(pairs, "pairs"))
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("tokens").alias(f"tokens_{x}")).join(pairs, x)
     both = side("a").join(side("b"), ["a", "b"]).where(F.least("size_a", "size_b") >= F.lit(t) * F.greatest("size_a", "size_b") - 1e-9)
@@ -275,7 +281,7 @@ def verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
             keep = pa.array(np.flatnonzero(common >= t * (size - common) - 1e-9))
             yield pa.record_batch([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
 
-    return both.mapInArrow(check, "a bigint, b bigint")
+    return materialise(both.mapInArrow(lambda batches: lean_stream(check, batches), "a bigint, b bigint"), "joined", batch=BATCH_ROWS)
 
 
 def _placed(places: DataFrame, known: DataFrame) -> DataFrame:
@@ -329,7 +335,7 @@ def joined_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     if not 0.5 <= t <= 1:
         raise ValueError("the threshold is from 0.5 to 1")
     content = ["tokens", "size", F.when(F.col("own") > 0, F.col("doc_id"))]
-    index = materialise(indexed(docs, n, t).withColumn("k1", F.xxhash64(*content)).withColumn("k2", F.xxhash64(F.lit(1), *content)), "signed", free=True)
+    index = materialise(indexed(docs, n, t).withColumn("k1", F.xxhash64(*content)).withColumn("k2", F.xxhash64(F.lit(1), *content)), "signed", free=True, batch=BATCH_ROWS)
     owners = materialise(index.select("k1", "k2", "doc_id").distinct(), "set-members")
     sets = materialise(
         index.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("size", "own", "tokens", "signatures")])
@@ -347,7 +353,7 @@ def joined_sets(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame
     edges, turn = None, 0
     while True:  # each round joins components through their most promising candidates
         pairs = materialise(_promising(placed, turn, t), "promising")
-        found = materialise(verified(pairs, sets, t), "joined")
+        found = verified(pairs, sets, t)
         edges = found if edges is None else edges.unionByName(found)
         placed, turn = _placed(placed, components(edges)), turn + 1
         if found.count() <= YIELD * pairs.count() or placed.isEmpty():

@@ -6,6 +6,7 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomspan.llm import near_duplicates as nd
@@ -161,6 +162,47 @@ def test_shuffled_tokens_go_when_they_are_written(spark, monkeypatch):
     assert left["signed"] == left["sets"] == set()
 
 
+def test_workers_give_back_what_earlier_stages_left(spark):
+    """An earlier stage leaves freed memory in every Python worker; after the index most of it is gone."""
+    psutil = pytest.importorskip("psutil")
+
+    def leave(batches):
+        import sys
+
+        for _ in batches:
+            blocks = [(np.ones(100_000, np.uint8), np.ones(20_000, np.uint8)) for _ in range(1500)]
+            sys.pinned = [small for _, small in blocks]  # between the large ones, so that freeing those alone returns nothing
+            del blocks
+            time.sleep(1)  # the tasks run side by side, each in its worker
+            yield pa.record_batch([[1]], ["n"])
+
+    def held():
+        workers = [p.pid for p in psutil.Process().children(recursive=True) if "pyspark.daemon" in " ".join(p.cmdline())]
+        return sum(int(mb) for pid in workers for mb in re.findall(r"\nPrivate_Dirty:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())) / 1024
+
+    spark.range(0, 4, 1, 4).mapInArrow(leave, "n bigint").collect()
+    before = held()
+    docs = spark.createDataFrame(corpus(3, 60), "doc_id int, text string").repartition(12)
+    nd.materialise(nd.indexed(docs, 3, 0.5), "signed")
+    assert before > 600 and before - (after := held()) > 200, (before, after)
+
+
+def test_rows_are_sent_few_at_once(spark, monkeypatch):
+    """Texts and pairs of sets reach a worker at most BATCH_ROWS at once; the session's setting is as it was."""
+    setting, asked, write = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, nd.materialise
+
+    def materialise(df, label, **options):
+        asked.setdefault(label, options.get("batch"))
+        return write(df, label, **options)
+
+    monkeypatch.setattr(nd, "materialise", materialise)
+    nd.near_duplicate_groups(spark.createDataFrame(corpus(3, 60), "doc_id int, text string"), links=False)
+    assert asked["signed"] == asked["joined"] == nd.BATCH_ROWS
+    before = spark.conf.get(setting)
+    sizes = write(spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (pa.record_batch([[b.num_rows]], ["n"]) for b in batches), "n bigint"), "sizes", batch=8)
+    assert max(r["n"] for r in sizes.collect()) == 8 and spark.conf.get(setting) == before
+
+
 def test_ids_are_integral(spark):
     docs = spark.createDataFrame([("1", "a b c d")], "doc_id string, text string")
     with pytest.raises(TypeError, match="integral"):
