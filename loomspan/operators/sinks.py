@@ -25,15 +25,26 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def templated(docs: DataFrame, bundle: str, title: str, body: str, order: str, template: str = "default") -> DataFrame:
-    """(bundle, page): default joins bodies under titles, minimal bodies, detailed adds a contents list, api-reference sorts by title."""
+def template_opening(template: str) -> str:
+    return "# Contents\n\n" if template == "detailed" else ""
+
+
+def template_pieces(docs: DataFrame, bundle: str, title: str, body: str, order: str, template: str = "default") -> DataFrame:
+    """(bundle, section, key, pos, piece, separator): what a page is joined from, each piece with what separates it from the one before."""
     head = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.col(body))
-    by = F.struct(F.lower(title), F.col(order)) if template == "api-reference" else F.struct(F.col(order))
-    part = F.col(body) if template == "minimal" else head
-    page = ordered_text(part, by, "\n\n")
+    key = F.lower(title) if template == "api-reference" else F.lit("")
+    of = lambda section, piece, separator: F.struct(F.lit(section).alias("section"), piece.alias("piece"), F.lit(separator).alias("separator"))
+    parts = [of(1, F.col(body) if template == "minimal" else head, "\n\n")]
     if template == "detailed":
-        page = F.concat(F.lit("# Contents\n\n"), ordered_text(F.concat(F.lit("- "), F.col(title)), by, "\n"), F.lit("\n\n"), page)
-    return docs.groupBy(bundle).agg(page.alias("page"))
+        parts = [of(0, F.concat(F.lit("- "), F.col(title)), "\n"), *parts]
+    return docs.select(F.col(bundle), key.alias("key"), F.col(order).alias("pos"), F.inline(F.array(*parts)))
+
+
+def templated(docs: DataFrame, bundle: str, title: str, body: str, order: str, template: str = "default") -> DataFrame:
+    """(bundle, page): default joins bodies under titles, minimal bodies, detailed adds a contents list, api-reference sorts by title.  A page is one value here; template_pieces has it of any length."""
+    pieces = template_pieces(docs, bundle, title, body, order, template)
+    page = ordered_text(F.concat("separator", "piece"), F.struct("section", "key", "pos"), "")
+    return pieces.groupBy(bundle).agg(F.concat(F.lit(template_opening(template)), F.regexp_replace(page, r"\A\n" if template == "detailed" else r"\A\n\n", "")).alias("page"))
 
 
 def escaped_html(text: Column) -> Column:

@@ -1,12 +1,14 @@
 """What must hold however large a table is, on small tables cut into many slices."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions import text
+from loomspan.operators import catalog, digest, readmodels, sinks
 from loomspan.operators import compile as compiling
-from loomspan.operators import digest
 
 TEXTS = [(g, i, f"{g} é text {i} " * (i % 5)) for g in ("a", "b", None) for i in range(120 if g != "b" else 3)]
 
@@ -32,3 +34,49 @@ def test_pieces_of_a_bundle_are_its_text(spark):
     pieces = compiling.consolidated_pieces(rows, "b", "t", "title", "url", "body", "i")
     (hashed,) = digest.joined_digest(pieces, "b", ["first", "topic", "pos"], "piece", F.lit("\n"), slice_bytes=20).collect()
     assert (hashed["n_chars"], hashed["sha256"]) == (len(whole["text"]), hashlib.sha256(whole["text"].encode()).hexdigest())
+
+
+@pytest.mark.parametrize("template", ["default", "minimal", "detailed", "api-reference"])
+def test_pieces_of_a_template_are_its_page(spark, template):
+    rows = spark.createDataFrame([("en", "B", "x\n", 1), ("en", "a", "y", 2), ("de", "c", "\nz", 3), ("en", "A", None, 4)], "b string, title string, body string, i int")
+    pages = {r["b"]: r["page"] for r in sinks.templated(rows, "b", "title", "body", "i", template).collect()}
+    assert pages["en"] == {
+        "default": "## B\n\nx\n\n\n## a\n\ny", "minimal": "x\n\n\ny", "detailed": "# Contents\n\n- B\n- a\n- A\n\n## B\n\nx\n\n\n## a\n\ny", "api-reference": "## a\n\ny\n\n## B\n\nx\n",
+    }[template]
+    pieces = sinks.template_pieces(rows, "b", "title", "body", "i", template)
+    got = digest.joined_digest(pieces, "b", ["section", "key", "pos"], "piece", F.col("separator"), sinks.template_opening(template), slice_bytes=10).collect()
+    assert {r["b"]: r["sha256"] for r in got} == {b: hashlib.sha256(p.encode()).hexdigest() for b, p in pages.items()}
+
+
+def test_context_keeps_digits_at_the_start_of_a_line(spark):
+    rows = spark.createDataFrame([("# h\n_Source: x_\n20.1 kept 2",), ("0 kept 0",)], "t string")
+    assert [r[0] for r in rows.select(readmodels.body_context(F.col("t"))).collect()] == ["20.1 kept 2", "0 kept 0"]
+
+
+def test_a_name_asked_for_goes_before_versions_of_others(spark):
+    entries = [(0, "hub", "brand#1~3", "Brand#1", "3", []), (1, "hub", "brand#13~2", "Brand#13", "2", []), (2, "web", "brand#14~5", "Brand#14", "5", []), (3, "hub", "brand#1~4", "Brand#1", "4", [])]
+    terms = catalog.with_terms(spark.createDataFrame(entries, "pos int, source string, slug string, display_name string, version string, aliases array<string>"), ascii_only=True)
+    wanted = spark.createDataFrame([("Brand#13",), ("Brand#14",), ("brand#2",)], "request string")
+    got = {r["request"]: (r["source"], r["slug"], r["bucket"]) for r in catalog.resolve(terms, wanted, ascii_only=True, literal=True).collect()}
+    assert got == {"Brand#13": ("hub", "brand#13~2", 2), "Brand#14": ("web", "brand#14~5", 2), "brand#2": (None, None, None)}
+    assert {r["request"]: r["slug"] for r in catalog.resolve(terms, wanted, ascii_only=True).collect()}["Brand#13"] == "brand#1~3"  # as in versioned catalogs
+
+
+def test_suggestions_work_a_name_out_once(spark):
+    calls = text.normalise_language(F.col("x"), True)._jc.toString().count("regexp_extract")
+    assert calls <= 2
+    entries = [(i, "hub", f"x{i % 3}~{i}", f"X{i % 3}", str(i), ["yx1"]) for i in range(9)] + [(9, "web", "none", "None", "", [])]
+    terms = catalog.with_terms(spark.createDataFrame(entries, "pos int, source string, slug string, display_name string, version string, aliases array<string>"), ascii_only=True)
+    got = [tuple(r) for r in catalog.suggestions(terms, "x1", "x1").collect()]
+    assert got == [("hub", "x1~1", "X1", 0), ("hub", "x0~0", "X0", 2), ("hub", "x2~2", "X2", 2)]
+
+
+def test_slugs_of_a_hot_topic_are_numbered_in_linear_time(spark):
+    n = 12_000
+    rows = spark.range(n).select(F.lit("t").alias("topic"), F.when(F.col("id") == 5, "a-3").when(F.col("id") % 4 == 3, "b").otherwise("a").alias("slug"), F.col("id").alias("pos"))
+    began = time.perf_counter()
+    got = [(r["slug"], r["final_slug"]) for r in compiling.unique_slugs(rows, "topic", "slug", "pos").orderBy("pos").collect()]
+    assert time.perf_counter() - began < 20  # the square of the rows took minutes
+    names = [f for _, f in got]
+    assert len(set(names)) == n and names[:8] == ["a", "a-2", "a-3", "b", "a-4", "a-3-2", "a-5", "b-2"]
+    assert sum(f.startswith("b") for f in names) == n // 4 and f"b-{n // 4}" in names
