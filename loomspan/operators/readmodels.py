@@ -85,7 +85,7 @@ def lowest_documents(results: DataFrame, by: str, score: str, order: str, n: int
 
 def body_context(text: Column, most: int = 240) -> Column:
     """The first line of a document that is neither blank, heading nor its language or source line, cut for show."""
-    lines = F.transform(F.split(text, "\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.trim(x))  # trim itself would take the line's number for the characters to trim
     plain = F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("_Language:") & ~x.startswith("_Source:"))
     return F.coalesce(F.substring(F.get(plain, 0), 1, most), F.lit(""))
 
