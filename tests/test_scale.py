@@ -80,3 +80,10 @@ def test_slugs_of_a_hot_topic_are_numbered_in_linear_time(spark):
     names = [f for _, f in got]
     assert len(set(names)) == n and names[:8] == ["a", "a-2", "a-3", "b", "a-4", "a-3-2", "a-5", "b-2"]
     assert sum(f.startswith("b") for f in names) == n // 4 and f"b-{n // 4}" in names
+
+
+def test_a_slug_is_worked_out_once(spark):
+    rows = spark.createDataFrame([("--Été & Ñandú!",), ("CON",), ("***",), (None,), ("a" * 50 + "?",)], "t string")
+    slug = text.slugify(F.col("t"))
+    assert [r[0] for r in rows.select(slug).collect()] == ["ete-nandu", "con-item", "document", None, "a" * 50]
+    assert str(slug._jc.toString()).count("regexp_replace") == 1
