@@ -8,7 +8,7 @@ from ..operators import index as X
 from ..operators import search as S
 from ..registry import register
 from ..sources.tables import table
-from ..storage import exists, shared_dir, version_of
+from ..storage import shared_dir, version_of
 
 _TOKENS = "WITH d AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens FROM documents)"
 
@@ -27,19 +27,20 @@ def _bm25_sql(terms: list[str], where: str = "TRUE", limit: int = 25) -> str:
     SELECT doc_id, CAST(0.0 {score} AS DOUBLE) AS score FROM c, t WHERE {every} AND ({where}) ORDER BY score, doc_id LIMIT {limit}"""
 
 
-def _index(spark, sf_dir) -> X.Index:
-    """The stored index of the documents; it is written when it isn't there or the documents have changed."""
+def _index(spark, sf_dir, *parts: str) -> X.Index:
+    """The stored index of the documents; what a query reads of it is written when it isn't there or the documents have changed."""
     docs = table(spark, sf_dir, "documents")
     attributes = tuple(c for c in ("source",) if c in docs.columns)
     folder = f"{shared_dir(spark)}/index-{version_of(spark, f'{sf_dir}/documents.parquet')}"
-    if not exists(spark, f"{folder}/COMPLETE"):
-        return X.write_index(docs.where("doc_id is not null and text is not null"), folder, attributes=attributes)
+    lacking = tuple(p for p in parts if not X.is_written(spark, folder, p))
+    if lacking:
+        return X.write_index(docs.where("doc_id is not null and text is not null"), folder, attributes=attributes, parts=lacking)
     return X.Index(folder, attributes=attributes)
 
 
 @register("search_bm25_topk", _bm25_sql(["the", "thing"]))
 def search_bm25_topk(spark, sf_dir):
-    return X.bm25(spark, _index(spark, sf_dir), ["the", "thing"])
+    return X.bm25(spark, _index(spark, sf_dir, "postings", "documents"), ["the", "thing"])
 
 
 @register("search_bm25_scan", _bm25_sql(["the", "thing"]))
@@ -49,18 +50,18 @@ def search_bm25_scan(spark, sf_dir):
 
 @register("search_bm25_rare_terms", _bm25_sql(["worthless", "clown"], limit=10))
 def search_bm25_rare_terms(spark, sf_dir):
-    return X.bm25(spark, _index(spark, sf_dir), ["worthless", "clown"], limit=10)
+    return X.bm25(spark, _index(spark, sf_dir, "postings", "documents"), ["worthless", "clown"], limit=10)
 
 
 @register("search_language_filter", _bm25_sql(["der"], "lang = 'de'"))
 def search_language_filter(spark, sf_dir):
-    return X.bm25(spark, _index(spark, sf_dir), ["der"], keep=F.col("language") == "de")
+    return X.bm25(spark, _index(spark, sf_dir, "postings", "documents"), ["der"], keep=F.col("language") == "de")
 
 
 def _match(name: str, query: str, where: str) -> None:
     @register(name, f"{_TOKENS} SELECT doc_id FROM d WHERE {where}")
     def run(spark, sf_dir):
-        return X.match(spark, _index(spark, sf_dir), query, columns={"topic": "source"})
+        return X.match(spark, _index(spark, sf_dir, "postings", "documents"), query, columns={"topic": "source"})
 
     @register(f"{name}_scan", f"{_TOKENS} SELECT doc_id FROM d WHERE {where}")
     def scan(spark, sf_dir):
@@ -84,7 +85,7 @@ _match(
 
 @register("search_blank", "SELECT doc_id FROM documents WHERE FALSE")
 def search_blank(spark, sf_dir):
-    return X.match(spark, _index(spark, sf_dir), "   ")
+    return X.match(spark, _index(spark, sf_dir, "documents"), "   ")
 
 
 @register("search_snippets")
@@ -128,7 +129,7 @@ def xref_index(spark, sf_dir):
         SELECT lang, doc_id FROM documents WHERE list_contains({_IDS}, 'Version') ORDER BY lang, doc_id LIMIT 100) GROUP BY lang""",
 )
 def xref_lookup(spark, sf_dir):
-    return X.xref_lookup(spark, _index(spark, sf_dir), "Version")
+    return X.xref_lookup(spark, _index(spark, sf_dir, "identifiers"), "Version")
 
 
 @register(

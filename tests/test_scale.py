@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from loomspan.functions import text
 from loomspan.operators import catalog, digest, readmodels, sinks
 from loomspan.operators import compile as compiling
+from loomspan.operators import index as stored
+from loomspan.storage import exists, scratch
 
 TEXTS = [(g, i, f"{g} é text {i} " * (i % 5)) for g in ("a", "b", None) for i in range(120 if g != "b" else 3)]
 
@@ -87,3 +89,17 @@ def test_a_slug_is_worked_out_once(spark):
     slug = text.slugify(F.col("t"))
     assert [r[0] for r in rows.select(slug).collect()] == ["ete-nandu", "con-item", "document", None, "a" * 50]
     assert str(slug._jc.toString()).count("regexp_replace") == 1
+
+
+def test_the_index_is_written_without_a_shuffle(spark, capsys):
+    texts = [(1, "b a\u212a b, Ünï_x B", "en"), (2, "", "de"), (3, "!?", "en"), (4, "a a z9 a", None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string").coalesce(1)
+    rows = stored.postings(docs, keep=("lang",))
+    got = [(r["term"], r["doc_id"], r["tf"], r["len"], list(r["positions"]), r["lang"]) for r in rows.collect()]
+    assert got == [("a", 4, 3, 4, [0, 1, 3], None), ("ak", 1, 1, 6, [1], "en"), ("b", 1, 3, 6, [0, 2, 5], "en"), ("n", 1, 1, 6, [3], "en"), ("x", 1, 1, 6, [4], "en"), ("z9", 4, 1, 4, [2], None)]
+    rows.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    at = stored.write_index(docs, scratch(spark, "index"), parts=("identifiers",))
+    assert exists(spark, f"{at.folder}/identifiers") and not exists(spark, f"{at.folder}/postings") and not stored.is_written(spark, at.folder, "postings")
+    tasks = stored.write_index(docs.repartition(3), scratch(spark, "index")).of_terms(spark, ["a", "b"])
+    assert sorted((r["term"], r["doc_id"]) for r in tasks.collect()) == [("a", 4), ("b", 1)]
