@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +22,11 @@ def unused(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def in_pieces(values: Iterator, kind: pa.DataType, rows: int = 200) -> pa.Array:
+    """An Arrow array of values of which only a few are Python objects at a time."""
+    pieces = []
+    while piece := list(islice(values, rows)):
+        pieces.append(pa.array(piece, kind))
+    return pa.concat_arrays(pieces) if pieces else pa.array([], kind)

@@ -1,7 +1,7 @@
 """Chunking of documents for retrieval: by characters, by tokens, by headings.
 
 Each start depends on the previous end, so no window frame expresses it: an Arrow
-function folds over one text at a time and the rows are exploded in the JVM.
+function folds over one text at a time and hands over a row a chunk.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import os
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from ..storage import give_back
 
 CHUNK = StructType(
     [StructField(n, IntegerType()) for n in ("chunk_index", "char_start", "char_end", "token_start", "token_end")] + [StructField(n, StringType()) for n in ("text", "parent_heading", "section_heading")]
@@ -149,23 +151,44 @@ def _rows(text: str, strategy: str, max_chars: int, overlap: int, max_tokens: in
     raise ValueError("the strategy is chars, tokens or semantic")
 
 
-def chunked(
-    text: Column, strategy: str = "chars", max_chars: int = 8000, overlap: int = 400, max_tokens: int = 1000, overlap_tokens: int = 100, tokenizer: Callable = word_spans
-) -> Column:
-    """An array of CHUNK for each text."""
+#: Characters of texts whose chunks are made before they are handed over.
+OUT_CHARACTERS = 1 << 20
+
+
+def chunk_rows(
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), fields: tuple[str, ...] = tuple(CHUNK.names), strategy: str = "chars", max_chars: int = 8000, overlap: int = 400, max_tokens: int = 1000, overlap_tokens: int = 100,
+    tokenizer: Callable = word_spans,
+) -> DataFrame:
+    """(kept columns, fields of CHUNK): a row a chunk, handed over a few texts at a time, so that a worker holds the chunks of those only."""
+    schema = StructType([docs.schema[k] for k in keep] + [CHUNK[f] for f in fields])
+    places, types = [CHUNK.names.index(f) for f in fields], [pa.string() if CHUNK[f].dataType == StringType() else pa.int32() for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, made, size = [], [], 0
+
+            def flush(batch=batch):
+                take = pa.array(owner, pa.int64())
+                return pa.record_batch([*[batch.column(1 + i).take(take) for i in range(len(keep))], *[pa.array([r[p] for r in made], t) for p, t in zip(places, types, strict=True)]], names=[*keep, *fields])
 
-    @F.pandas_udf(ArrayType(CHUNK))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = CHUNK.names
-        for texts in batches:
-            yield texts.map(
-                lambda t: [dict(zip(names, r, strict=True)) for r in _rows(t, strategy, max_chars, overlap, max_tokens, overlap_tokens, tokenizer)] if t else [], na_action="ignore"
-            )
+            for i, value in enumerate(batch.column(0)):
+                if t := value.as_py():
+                    rows = _rows(t, strategy, max_chars, overlap, max_tokens, overlap_tokens, tokenizer)
+                    owner += [i] * len(rows)
+                    made += rows
+                    size += len(t)
+                if size > OUT_CHARACTERS:
+                    yield flush()
+                    owner, made, size = [], [], 0
+            if owner:
+                yield flush()
+            owner, made = [], []
+            give_back()
 
-    return run(text)
+    return docs.select(text, *keep).mapInArrow(run, schema)
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(key, chunk_index, chunk_total, char_start, char_end, …, text); totals count the chunks of a key."""
-    rows = docs.select(key, F.inline(chunked(F.col(text), **options)))
+    rows = chunk_rows(docs, text, (key,), **options)
     return rows.withColumn("chunk_total", F.count(F.lit(1)).over(Window.partitionBy(key)))

@@ -3,11 +3,13 @@
 import hashlib
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.frames import in_pieces
 from loomspan.functions import text
-from loomspan.operators import catalog, digest, readmodels, sinks
+from loomspan.operators import catalog, chunking, digest, readmodels, sinks
 from loomspan.operators import compile as compiling
 from loomspan.operators import index as stored
 from loomspan.storage import exists, scratch
@@ -103,3 +105,15 @@ def test_the_index_is_written_without_a_shuffle(spark, capsys):
     assert exists(spark, f"{at.folder}/identifiers") and not exists(spark, f"{at.folder}/postings") and not stored.is_written(spark, at.folder, "postings")
     tasks = stored.write_index(docs.repartition(3), scratch(spark, "index")).of_terms(spark, ["a", "b"])
     assert sorted((r["term"], r["doc_id"]) for r in tasks.collect()) == [("a", 4), ("b", 1)]
+
+
+def test_chunks_are_handed_over_a_few_texts_at_a_time(spark):
+    rows = spark.createDataFrame([(i, f"k{i}", ("word " * 100 + "\n") * 700 if i % 3 else None) for i in range(9)], "i int, k string, t string")
+    made = chunking.chunk_rows(rows, "t", ("k",), ("chunk_index", "char_end"), strategy="chars", max_chars=2000, overlap=200)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["k"], []).append((r["chunk_index"], r["char_end"]))
+    spans = chunking.char_chunks(("word " * 100 + "\n") * 700, 2000, 200)
+    assert made.columns == ["k", "chunk_index", "char_end"] and set(got) == {f"k{i}" for i in range(9) if i % 3}
+    assert all(v == [(n, b) for n, (_, b) in enumerate(spans)] for v in got.values())
+    assert in_pieces((f"v{i}" for i in range(1000)), pa.string(), 7).to_pylist() == [f"v{i}" for i in range(1000)] and len(in_pieces(iter([]), pa.string())) == 0
