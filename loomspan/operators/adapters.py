@@ -94,24 +94,27 @@ def archive_documents(members: DataFrame, area: str, core: list[str] = (), mode:
     Skipped are pages up to the position ``after`` and, in mode important with core types, pages of no core type.
     """
     pages = archive_pages(members, marker).where(F.col("area") == area)
-    place = F.row_number().over(Window.partitionBy("area").orderBy("member")) - 1
-    rows = pages.withColumn("order_hint", place).withColumn("head", frontmatter.parse(F.col("content")))
+    rows = pages.withColumn("head", frontmatter.parse(F.col("content")))
     folder = F.filter(F.split(F.regexp_replace(F.substr("relative", F.lit(len(area) + 2)), "/?index\\.md$", ""), "/"), lambda x: x != "")
     rows = rows.withColumn("folder", folder)
     types = F.get_json_object("head.meta", "$['page-type']")
     listed = F.coalesce(F.from_json(types, "array<string>"), F.filter(F.array(F.trim(types)), lambda x: x != ""))
     hit = F.exists(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.lower(x).isin([c.lower() for c in core]))
-    early = F.lit(False) if after is None else F.col("order_hint") <= after
     filtered = ~hit if mode == "important" and core else F.lit(False)
     path = F.array_join("folder", "/")
     dashed = F.lower(F.regexp_replace(F.regexp_replace(path, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
     words = lambda x: F.initcap(F.regexp_replace(x, "_", " "))
-    return rows.select(
-        "member", "order_hint", F.coalesce(F.nullif(words(F.coalesce(F.get("folder", 0), F.lit("reference"))), F.lit("")), F.lit("Reference")).alias("topic"),
+    # Pages are read where they lie; only what has been made of them is gathered to be numbered.
+    made = rows.select(
+        "member", "area", F.coalesce(F.nullif(words(F.coalesce(F.get("folder", 0), F.lit("reference"))), F.lit("")), F.lit("Reference")).alias("topic"),
         F.when(dashed == "", "index").otherwise(dashed).alias("slug"), F.coalesce(_meta("title"), F.regexp_replace(F.coalesce(F.try_element_at("folder", F.lit(-1)), F.lit("")), "_", " ")).alias("title"),
-        F.coalesce(_meta("slug"), path).alias("page_slug"), F.trim("head.body").alias("markdown"), F.when(early, "checkpoint_resume_skip").when(filtered, "filtered_mode").alias("skip_reason"),
+        F.coalesce(_meta("slug"), path).alias("page_slug"), F.trim("head.body").alias("markdown"), filtered.alias("filtered"),
         (F.col("head.warning") != "").alias("malformed_frontmatter"),
     )
+    early = F.lit(False) if after is None else F.col("order_hint") <= after
+    reason = F.when(early, "checkpoint_resume_skip").when(F.col("filtered"), "filtered_mode")
+    placed = made.withColumn("order_hint", F.row_number().over(Window.partitionBy("area").orderBy("member")) - 1)
+    return placed.select("member", "order_hint", "topic", "slug", "title", "page_slug", "markdown", reason.alias("skip_reason"), "malformed_frontmatter")
 
 
 # Catalogs read from an index page of anchors.

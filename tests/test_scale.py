@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.frames import in_pieces
 from loomspan.functions import text
-from loomspan.operators import catalog, chunking, digest, readmodels, sinks
+from loomspan.operators import adapters, catalog, chunking, digest, readmodels, sinks
 from loomspan.operators import compile as compiling
 from loomspan.operators import index as stored
 from loomspan.storage import exists, scratch
@@ -117,3 +117,12 @@ def test_chunks_are_handed_over_a_few_texts_at_a_time(spark):
     assert made.columns == ["k", "chunk_index", "char_end"] and set(got) == {f"k{i}" for i in range(9) if i % 3}
     assert all(v == [(n, b) for n, (_, b) in enumerate(spans)] for v in got.values())
     assert in_pieces((f"v{i}" for i in range(1000)), pa.string(), 7).to_pylist() == [f"v{i}" for i in range(1000)] and len(in_pieces(iter([]), pa.string())) == 0
+
+
+def test_pages_of_an_archive_are_read_before_they_are_numbered(spark, capsys):
+    members = spark.createDataFrame([(f"c/files/en-us/learn/p{i}/index.md", f"---\ntitle: T{i}\n---\nBody {i}") for i in range(5)], "member string, content string")
+    made = adapters.archive_documents(members, "learn", ["guide"], "important", 1)
+    assert [(r["order_hint"], r["title"], r["skip_reason"]) for r in made.orderBy("member").collect()] == [(i, f"T{i}", "checkpoint_resume_skip" if i <= 1 else "filtered_mode") for i in range(5)]
+    made.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("Window") < plan.index("EvalPython")  # plans are printed from their end
